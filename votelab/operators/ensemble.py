@@ -140,10 +140,11 @@ def vote_fixed(pred: DataFrame, models: list[str], rule: str = "majority", kind:
     """One given combo over the cells every member has (lang, id, label, value)."""
     r = len(models)
     x = pred.where(F.col("model").isin(models))
+    # the member set per cell is bounded by r, so collect_set stays small
     agg = x.groupBy("lang", "id", "label").agg(F.sum("value").alias("s"), F.max("value").alias("mx"),
-                                               F.count_distinct("model").alias("k"))
+                                               F.size(F.collect_set("model")).alias("k"))
     return agg.where(F.col("k") == r).select(
-        "lang", "id", "label", decide(rule, kind, F.col("s"), F.col("mx"), F.lit(r)).alias("value"))
+        "lang", "id", "label", decide(rule, kind, F.col("s"), F.col("mx"), F.lit(r)).cast("int").alias("value"))
 
 
 def alignment_violations(pred: DataFrame) -> DataFrame:

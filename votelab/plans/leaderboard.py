@@ -121,3 +121,27 @@ def pearson(gold: DataFrame, pred: DataFrame, members: list[str], rule: str = "m
     per_lang = per_label.groupBy("combo", "lang").agg(F.avg("pearson").alias("pearson"))
     return per_lang.groupBy("combo").agg(F.avg("pearson").alias("avg_pearson"),
                                          F.count("pearson").alias("n_langs"))
+
+
+def ensemble_votes(pred: DataFrame, members: list[str], rule: str = "majority", kind: str = "binary",
+                   min_size: int = 2, max_size: int | None = None) -> DataFrame:
+    """E4-E7 (compact): (combo, lang, id, label, value) for every available (combo, language).
+
+    One shuffle groups the member values of a cell into a ``votes`` array (bounded state: one max
+    per member); the broadcast combo table is then crossed in-stage, so the output is written
+    without a second data-sized shuffle (the exploded form shuffles ~15 rows per cell)."""
+    spark: SparkSession = pred.sparkSession
+    combos = E.combos_frame(spark, members, min_size, max_size)
+    mdf = F.broadcast(E.members_frame(spark, members))
+    p = pred.join(mdf, "model")
+    cells = p.groupBy("lang", "id", "label").agg(
+        F.array(*[F.max(F.when(F.col("idx") == k, F.col("value").cast("int"))) for k in range(len(members))]
+                ).alias("votes"),
+        F.bit_or(shl(1, F.col("idx"))).alias("pres"))
+    lang_pres = cells.groupBy("lang").agg(F.bit_or("pres").alias("lang_pres"))
+    x = cells.join(lang_pres, "lang").crossJoin(F.broadcast(combos)) \
+        .where(F.col("mask").bitwiseAND(F.col("lang_pres")) == F.col("mask"))
+    vals = F.transform("sel", lambda k: F.coalesce(F.element_at("votes", k + 1), F.lit(0)))
+    s = F.aggregate(vals, F.lit(0), lambda a, v: a + v)
+    return x.select("combo", "lang", "id", "label",
+                    E.decide(rule, kind, s, F.array_max(vals), F.col("r")).cast("int").alias("value"))
