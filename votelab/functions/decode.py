@@ -97,7 +97,7 @@ def intensity_pairs(content) -> Column:
     parts = F.transform(bracketed, lambda x: F.split(x, r"\(", -1))
 
     def num(a):
-        return py_strip(F.replace(F.element_at(a, 2), F.lit(")"), F.lit("")))
+        return py_strip(F.replace(F.try_element_at(a, F.lit(2)), F.lit(")"), F.lit("")))
 
     ok = F.filter(parts, lambda a: (F.size(a) == 2) & num(a).rlike(INT_PATTERN))
     return F.transform(ok, lambda a: F.struct(py_strip(F.lower(F.element_at(a, 1))).alias("label"),
@@ -107,7 +107,7 @@ def intensity_pairs(content) -> Column:
 def intensity_for(pairs, label) -> Column:
     """Last value given for ``label`` (0 when none)."""
     hits = F.filter(_c(pairs), lambda x: x["label"] == _c(label))
-    return F.coalesce(F.element_at(hits, -1)["v"], F.lit(0))
+    return F.coalesce(F.try_element_at(hits, F.lit(-1))["v"], F.lit(0))
 
 
 # ---------------------------------------------------------------- DuckDB text (oracle side)
@@ -136,3 +136,31 @@ def intensity_pairs_sql(content: str) -> str:
 
 def intensity_for_sql(pairs: str, label: str) -> str:
     return f"coalesce(list_filter({pairs}, lambda x: x.label = {label})[-1].v, 0)"
+
+
+def decode_scores(scores, catalog, mode: str = "binary"):
+    """Scorer output (lang, model, id, label, score) -> (lang, model, id, label, value) for
+    every label the language's gold has: label names lower-cased, unknown labels ignored, a label the
+    scorer did not emit is 0. One shuffle groups a text's scores (bounded by the scorer's labels);
+    the catalog per language is a bounded broadcast (languages x labels)."""
+    dec = score_to_binary if mode == "binary" else score_to_intensity
+    rows = scores.groupBy("lang", "model", "id").agg(
+        F.collect_list(F.struct(F.lower("label").alias("label"), F.col("score"))).alias("s"))
+    cat = catalog.groupBy("lang").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    x = rows.join(F.broadcast(cat), "lang").select("lang", "model", "id", F.explode("labels").alias("label"), "s")
+    val = F.aggregate(F.filter("s", lambda e: e["label"] == F.col("label")), F.lit(0),
+                      lambda acc, e: F.greatest(acc, dec(e["score"])))
+    return x.select("lang", "model", "id", "label", val.cast("int").alias("value"))
+
+
+def parse_replies(replies, catalog, kind: str = "labels"):
+    """Raw replies (lang, id, raw) -> (lang, id, label, value) for the language's labels."""
+    content = reply_content("raw")
+    cat = catalog.groupBy("lang").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    if kind == "labels":
+        parsed = replies.select("lang", "id", label_list(content).alias("items"))
+        x = parsed.join(F.broadcast(cat), "lang").select("lang", "id", "items", F.explode("labels").alias("label"))
+        return x.select("lang", "id", "label", label_flag("items", "label").alias("value"))
+    parsed = replies.select("lang", "id", intensity_pairs(content).alias("pairs"))
+    x = parsed.join(F.broadcast(cat), "lang").select("lang", "id", "pairs", F.explode("labels").alias("label"))
+    return x.select("lang", "id", "label", intensity_for("pairs", "label").cast("int").alias("value"))
