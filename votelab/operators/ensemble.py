@@ -19,6 +19,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import local_table
+
 from ..functions.keys import shl, shr
 
 # Broadcast the combo table only up to this many rows (2^16 combos); beyond it, a shuffle join.
@@ -48,7 +50,7 @@ def members_frame(spark: SparkSession, members: list[str]) -> DataFrame:
     """(model, idx) for an ordered member list; idx is the bit position."""
     if len(members) > MAX_MEMBERS:
         raise ValueError(f"at most {MAX_MEMBERS} members")
-    return spark.createDataFrame([(m, i) for i, m in enumerate(members)], "model string, idx int")
+    return local_table(spark, [(m, i) for i, m in enumerate(members)], "model string, idx int")
 
 
 def members_from_data(pred: DataFrame) -> DataFrame:
@@ -90,7 +92,7 @@ def combos_frame(spark: SparkSession, members: list[str], min_size: int = 2,
     for k in range(min_size, hi + 1):
         for sel in combinations(range(len(members)), k):
             rows.append(("_".join(members[i] for i in sel), sum(1 << i for i in sel), k, list(sel)))
-    return spark.createDataFrame(rows, "combo string, mask long, r int, sel array<int>")
+    return local_table(spark, rows, "combo string, mask bigint, r int, sel array<int>")
 
 
 def combo_members(combos: DataFrame, members: DataFrame) -> DataFrame:

@@ -51,22 +51,27 @@ def label_counts(df: DataFrame, keys: list[str], gold: str = "gold", pred: str =
         F.sum(w).alias("n"))
 
 
-def multilabel_from_counts(lc: DataFrame, keys: list[str]) -> DataFrame:
-    """M1-M3 from per-label counts: keys -> 9 metrics and the label count."""
+def multilabel_from_counts(lc: DataFrame, keys: list[str], with_accuracy: bool = False) -> DataFrame:
+    """M1-M3 from per-label counts: keys -> 9 metrics and the label count. With ``with_accuracy``,
+    ``lc`` also carries ``rows`` / ``exact_rows`` (counted on one label per row) and subset accuracy
+    comes out of the same aggregate (M4)."""
     P, R, F1 = _prf(F.col("tp"), F.col("fp"), F.col("fn"))
     sup = F.col("tp") + F.col("fn")
-    per = lc.select(*keys, "tp", "fp", "fn", sup.alias("sup"), P.alias("p"), R.alias("r"), F1.alias("f"))
+    extra = ["rows", "exact_rows"] if with_accuracy else []
+    per = lc.select(*keys, "tp", "fp", "fn", sup.alias("sup"), P.alias("p"), R.alias("r"), F1.alias("f"), *extra)
+    aggs = [F.sum(c).alias(c) for c in extra]
     agg = per.groupBy(*keys).agg(
         F.avg("f").alias("f1_macro"), F.avg("p").alias("precision_macro"), F.avg("r").alias("recall_macro"),
         F.sum("tp").alias("TP"), F.sum("fp").alias("FP"), F.sum("fn").alias("FN"), F.sum("sup").alias("S"),
         F.sum(F.col("f") * F.col("sup")).alias("wf"), F.sum(F.col("p") * F.col("sup")).alias("wp"),
-        F.sum(F.col("r") * F.col("sup")).alias("wr"), F.count("*").alias("n_labels"))
+        F.sum(F.col("r") * F.col("sup")).alias("wr"), F.count("*").alias("n_labels"), *aggs)
     mp, mr, mf = _prf(F.col("TP"), F.col("FP"), F.col("FN"))
+    acc = [sdiv(F.col("exact_rows"), F.col("rows")).alias("accuracy")] if with_accuracy else []
     return agg.select(*keys, "f1_macro", "precision_macro", "recall_macro",
                       mf.alias("f1_micro"), mp.alias("precision_micro"), mr.alias("recall_micro"),
                       sdiv(F.col("wf"), F.col("S")).alias("f1_weighted"),
                       sdiv(F.col("wp"), F.col("S")).alias("precision_weighted"),
-                      sdiv(F.col("wr"), F.col("S")).alias("recall_weighted"), "n_labels")
+                      sdiv(F.col("wr"), F.col("S")).alias("recall_weighted"), *acc, "n_labels")
 
 
 def subset_accuracy(pairs: DataFrame, keys: list[str], gold: str = "gold", pred: str = "pred") -> DataFrame:

@@ -28,8 +28,8 @@ from ..operators import metrics as M
 
 
 def row_signatures(gold: DataFrame, pred: DataFrame, members: list[str]) -> DataFrame:
-    """(lang, id, pres, sig): sig = sorted array<struct<label, gold, votes array<int>>>; pres = bitmask
-    of members that have any value for the row. Cells without gold are not evaluated."""
+    """(lang, id, sig): sig = sorted array<struct<label, gold, votes array<int>>>, one vote slot per
+    member (NULL when that member has no value). Cells without gold are not evaluated."""
     spark = pred.sparkSession
     mdf = F.broadcast(E.members_frame(spark, members))
     g = gold.select("lang", "id", "label", F.lit(-1).alias("idx"), F.col("value").cast("int").alias("value"))
@@ -39,19 +39,28 @@ def row_signatures(gold: DataFrame, pred: DataFrame, members: list[str]) -> Data
         F.max(F.when(F.col("idx") == -1, F.col("value"))).alias("gold"),
         F.array(*[F.max(F.when(F.col("idx") == k, F.col("value"))) for k in range(len(members))]).alias("votes"))
     cells = cells.where(F.col("gold").isNotNull())
-    pres = F.aggregate(F.sequence(F.lit(0), F.lit(len(members) - 1)), F.lit(0).cast("long"),
-                       lambda acc, k: acc.bitwiseOR(
-                           F.when(F.element_at("votes", k + 1).isNotNull(),
-                                  shl(1, k)).otherwise(F.lit(0).cast("long"))))
-    cells = cells.withColumn("pres", pres)
     return cells.groupBy("lang", "id").agg(
-        F.bit_or("pres").alias("pres"),
         F.array_sort(F.collect_list(F.struct("label", "gold", "votes"))).alias("sig"))
 
 
 def histogram(gold: DataFrame, pred: DataFrame, members: list[str]) -> DataFrame:
-    """(lang, pres, sig, n): identical rows collapsed."""
-    return row_signatures(gold, pred, members).groupBy("lang", "pres", "sig").agg(F.count("*").alias("n"))
+    """(lang, sig, n): identical rows collapsed (partial aggregate map-side)."""
+    return row_signatures(gold, pred, members).groupBy("lang", "sig").agg(F.count("*").alias("n"))
+
+
+def available_combos(pred: DataFrame, members: list[str], min_size: int = 2,
+                     max_size: int | None = None) -> DataFrame:
+    """E1 as a small table (combo, lang, r, sel): combos whose members all have predictions in the
+    language. Presence comes from a 2-column partial aggregate of ``pred`` (partition metadata when
+    ``pred`` is partitioned by model and lang), never from the data-sized shuffle."""
+    spark: SparkSession = pred.sparkSession
+    combos = E.combos_frame(spark, members, min_size, max_size)  # size checked on the driver
+    mdf = F.broadcast(E.members_frame(spark, members))
+    pres = pred.select("lang", "model").join(mdf, "model").groupBy("lang").agg(
+        F.bit_or(shl(1, F.col("idx"))).alias("lang_pres"))
+    return F.broadcast(combos).crossJoin(pres) \
+        .where(F.col("mask").bitwiseAND(F.col("lang_pres")) == F.col("mask")) \
+        .select("combo", "lang", "r", "sel")
 
 
 def _decisions(rule: str, kind: str):
@@ -68,12 +77,10 @@ def _decisions(rule: str, kind: str):
 def combo_rows(gold: DataFrame, pred: DataFrame, members: list[str], rule: str, kind: str,
                min_size: int = 2, max_size: int | None = None) -> DataFrame:
     """(combo, lang, n, pos, label, g, p, exact): one row per (combo, histogram row, label)."""
-    spark: SparkSession = pred.sparkSession
-    combos = E.combos_frame(spark, members, min_size, max_size)  # size checked on the driver
     h = histogram(gold, pred, members)
-    lang_pres = h.groupBy("lang").agg(F.bit_or("pres").alias("lang_pres"))
-    h = h.join(lang_pres, "lang")
-    x = h.crossJoin(F.broadcast(combos)).where(F.col("mask").bitwiseAND(F.col("lang_pres")) == F.col("mask"))
+    # bounded by (checked combo count) x (languages): broadcast
+    avail = F.broadcast(available_combos(pred, members, min_size, max_size))
+    x = h.join(avail, "lang")
     d = x.select("combo", "lang", "n", _decisions(rule, kind).alias("d"))
     d = d.withColumn("exact", F.forall("d", lambda t: t["g"] == t["p"]))
     return d.select("combo", "lang", "n", "exact", F.posexplode("d").alias("pos", "t")) \
@@ -92,9 +99,7 @@ def per_language(gold: DataFrame, pred: DataFrame, members: list[str], rule: str
             F.sum(F.when((F.col("g") >= 1) & (F.col("p") < 1), F.col("n")).otherwise(0)).alias("fn"),
             F.sum(F.when(F.col("pos") == 0, F.col("n")).otherwise(0)).alias("rows"),
             F.sum(F.when((F.col("pos") == 0) & F.col("exact"), F.col("n")).otherwise(0)).alias("exact_rows"))
-        m = M.multilabel_from_counts(lc, keys)
-        acc = lc.groupBy(*keys).agg(M.sdiv(F.sum("exact_rows"), F.sum("rows")).alias("accuracy"))
-        return m.join(acc, keys).select(*keys, *M.METRICS)
+        return M.multilabel_from_counts(lc, keys, with_accuracy=True).select(*keys, *M.METRICS)
     cube = rows.groupBy(*keys, "label", F.col("g").alias("gold"), F.col("p").alias("pred")).agg(
         F.sum("n").alias("n"))
     return M.multiclass_report(cube, keys).select(*keys, *M.METRICS)
@@ -131,16 +136,12 @@ def ensemble_votes(pred: DataFrame, members: list[str], rule: str = "majority",
     per member); the broadcast combo table is then crossed in-stage, so the output is written
     without a second data-sized shuffle (the exploded form shuffles ~15 rows per cell)."""
     spark: SparkSession = pred.sparkSession
-    combos = E.combos_frame(spark, members, min_size, max_size)
     mdf = F.broadcast(E.members_frame(spark, members))
     p = pred.join(mdf, "model")
     cells = p.groupBy("lang", "id", "label").agg(
         F.array(*[F.max(F.when(F.col("idx") == k, F.col("value").cast("int"))) for k in range(len(members))]
-                ).alias("votes"),
-        F.bit_or(shl(1, F.col("idx"))).alias("pres"))
-    lang_pres = cells.groupBy("lang").agg(F.bit_or("pres").alias("lang_pres"))
-    x = cells.join(lang_pres, "lang").crossJoin(F.broadcast(combos)) \
-        .where(F.col("mask").bitwiseAND(F.col("lang_pres")) == F.col("mask"))
+                ).alias("votes"))
+    x = cells.join(F.broadcast(available_combos(pred, members, min_size, max_size)), "lang")
     vals = F.transform("sel", lambda k: F.coalesce(F.element_at("votes", k + 1), F.lit(0)))
     s = F.aggregate(vals, F.lit(0), lambda a, v: a + v)
     return x.select("combo", "lang", "id", "label",

@@ -64,3 +64,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
+
+
+def _sql_literal(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, int):
+        return f"{v}L" if abs(v) > 2**31 - 1 else str(v)
+    if isinstance(v, float):
+        return f"{v!r}D"
+    if isinstance(v, (list, tuple)):
+        return "array(" + ", ".join(_sql_literal(x) for x in v) + ")"
+    s = str(v).replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{s}'"
+
+
+def local_table(spark: SparkSession, rows: list[tuple], schema: str):
+    """A small parameter table as a local relation (SQL VALUES): no RDD, no job to broadcast it.
+
+    ``schema`` is 'name type, name type, ...'; values are cast to it."""
+    fields = [f.strip().split(" ", 1) for f in schema.split(",")]
+    names = [n for n, _ in fields]
+    casts = ", ".join(f"CAST({n} AS {t}) AS {n}" for n, t in fields)
+    if not rows:
+        return spark.sql(f"SELECT {casts} FROM (SELECT " +
+                         ", ".join(f"NULL AS {n}" for n in names) + ") WHERE false")
+    values = ", ".join("(" + ", ".join(_sql_literal(v) for v in r) + ")" for r in rows)
+    return spark.sql(f"SELECT {casts} FROM VALUES {values} AS t({', '.join(names)})")

@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import local_table
+
 from ..functions.keys import hx, hx_sql
 from .tables import read_table
 
@@ -52,7 +54,7 @@ TEXT_TOKENS = [e for e, _ in EMOTICONS] + ["\U0001F600", "\U0001F389", "\U0001F4
 
 
 def _members(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(MEMBERS, "model string, idx int, flip int")
+    return local_table(spark, MEMBERS, "model string, idx int, flip int")
 
 
 def gold_wide(spark: SparkSession, sf_dir: str) -> DataFrame:

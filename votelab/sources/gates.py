@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import local_table
+
 PRED_PREFIX = "pred_"
 
 
@@ -17,7 +19,7 @@ def lang_from_file(path: Column, strip_prefix: bool = True) -> Column:
 
 def available_models(spark: SparkSession, requested: list[str], pred: DataFrame) -> DataFrame:
     """(model, available) for a requested model list; a model without predictions is skipped."""
-    req = spark.createDataFrame([(m,) for m in requested], "model string")
+    req = local_table(spark, [(m,) for m in requested], "model string")
     present = pred.select("model").distinct().withColumn("available", F.lit(True))
     # the distinct model set is bounded by the number of models
     return req.join(F.broadcast(present), "model", "left").select(
