@@ -130,11 +130,12 @@ def pearson_per_label(cube: DataFrame, keys: list[str]) -> DataFrame:
     """Keys + label -> Pearson r of gold vs prediction from moments; NULL if a side is constant."""
     g, p, n = F.col("gold").cast("double"), F.col("pred").cast("double"), F.col("n").cast("double")
     m = cube.groupBy(*keys, "label").agg(
-        F.sum(n).alias("k"), F.sum(g * n).alias("sx"), F.sum(p * n).alias("sy"),
-        F.sum(g * g * n).alias("sxx"), F.sum(p * p * n).alias("syy"), F.sum(g * p * n).alias("sxy"))
-    num = F.col("k") * F.col("sxy") - F.col("sx") * F.col("sy")
-    vx = F.col("k") * F.col("sxx") - F.col("sx") * F.col("sx")
-    vy = F.col("k") * F.col("syy") - F.col("sy") * F.col("sy")
+        F.sum(n).alias("_k"), F.sum(g * n).alias("_sx"), F.sum(p * n).alias("_sy"),
+        F.sum(g * g * n).alias("_sxx"), F.sum(p * p * n).alias("_syy"), F.sum(g * p * n).alias("_sxy"))
+    k, sx, sy = F.col("_k"), F.col("_sx"), F.col("_sy")
+    num = k * F.col("_sxy") - sx * sy
+    vx = k * F.col("_sxx") - sx * sx
+    vy = k * F.col("_syy") - sy * sy
     r = F.when((vx > 0) & (vy > 0), num / F.sqrt(vx * vy))
     return m.select(*keys, "label", r.alias("pearson"))
 

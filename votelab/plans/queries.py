@@ -36,22 +36,27 @@ def _pairs(spark: SparkSession, sf: str, kind: str = "binary") -> DataFrame:
 
 @register("leaderboard_majority", lambda: O.leaderboard_sql("majority", "binary"))
 def leaderboard_majority(spark: SparkSession, sf: str) -> DataFrame:
+    """M9 + E3/E4 (flagship): binary majority of every combo of >= 2 members, ten metrics averaged
+    over the languages each combo is available in."""
     return _r(L.leaderboard(fx.gold_table(spark, sf), fx.pred_table(spark, sf), MEMBERS, "majority", "binary"))
 
 
 @register("leaderboard_union", lambda: O.leaderboard_sql("union", "binary"))
 def leaderboard_union(spark: SparkSession, sf: str) -> DataFrame:
+    """M9 + E5: binary union of every combo, averaged over languages."""
     return _r(L.leaderboard(fx.gold_table(spark, sf), fx.pred_table(spark, sf), MEMBERS, "union", "binary"))
 
 
 @register("leaderboard_majority_intensity", lambda: O.leaderboard_sql("majority", "intensity"))
 def leaderboard_majority_intensity(spark: SparkSession, sf: str) -> DataFrame:
+    """M9 + E6 + M5/M6: intensity majority of every combo, multiclass metrics per label column."""
     return _r(L.leaderboard(fx.gold_table(spark, sf, "intensity"), fx.pred_table(spark, sf, "intensity"),
                             MEMBERS, "majority", "intensity"))
 
 
 @register("leaderboard_union_intensity", lambda: O.leaderboard_sql("union", "intensity"))
 def leaderboard_union_intensity(spark: SparkSession, sf: str) -> DataFrame:
+    """M9 + E7 + M5/M6: intensity union of every combo, multiclass metrics per label column."""
     return _r(L.leaderboard(fx.gold_table(spark, sf, "intensity"), fx.pred_table(spark, sf, "intensity"),
                             MEMBERS, "union", "intensity"))
 
