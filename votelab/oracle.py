@@ -126,6 +126,21 @@ def leaderboard_sql(rule: str, kind: str, process: str | None = None, min_size:
     return with_ctes(body, ctes)
 
 
+def per_language_sql(rule: str, kind: str, min_size: int = 2, max_size: int | None = None) -> str:
+    """(combo, lang, 10 metrics rounded) for every available (combo, language)."""
+    value = "pred" if kind == "binary" else "pred_b"
+    gcol = "gold" if kind == "binary" else "gold_b"
+    ctes = {}
+    ctes.update(combo_ctes(min_size, max_size))
+    ctes.update(avail_ctes())
+    ctes.update(vote_ctes(rule, kind, value))
+    ctes["pairs"] = (f"SELECT e.combo, e.lang, e.id, e.label, g.{gcol} AS g, e.value AS p FROM ens e "
+                     f"JOIN gold g ON g.lang = e.lang AND g.id = e.id AND g.label = e.label")
+    ctes.update((multilabel_ctes if kind == "binary" else multiclass_ctes)("pairs", ["combo", "lang"]))
+    cols = ", ".join(f"{r6(m)} AS {m}" for m in METRICS)
+    return with_ctes(f"SELECT combo, lang, {cols} FROM per_key", ctes)
+
+
 def _metric_cols(prefix: str = "") -> str:
     return ", ".join(f"{r6(prefix + m)} AS {m}" for m in METRICS)
 

@@ -11,10 +11,19 @@ PRED_PREFIX = "pred_"
 
 
 def lang_from_file(path: Column, strip_prefix: bool = True) -> Column:
-    """The language key of a gold or prediction file: base name without '.csv' and, for
-    prediction files, without the 'pred_' prefix (optional: some outputs lack it)."""
-    base = F.regexp_extract(path, r"([^/]+?)(\.csv)?$", 1)
-    return F.regexp_replace(base, f"^{PRED_PREFIX}", "") if strip_prefix else base
+    """The language key of a gold or prediction file. A Hive-style folder ``lang=<x>`` (what a
+    partitioned Spark write produces) wins; otherwise the file (or part-file folder) name without
+    '.csv' and, for prediction files, without the 'pred_' prefix (optional: some outputs lack it)."""
+    hive = F.regexp_extract(path, r"/lang=([^/]+)/", 1)
+    base = F.regexp_extract(path, r"([^/]+?)\.csv(/[^/]*)?$", 1)
+    base = F.regexp_replace(base, f"^{PRED_PREFIX}", "") if strip_prefix else base
+    return F.when(hive != "", hive).otherwise(base)
+
+
+def model_from_file(path: Column) -> Column:
+    """The model key: a ``model=<x>`` folder, else the folder holding the prediction file."""
+    hive = F.regexp_extract(path, r"/model=([^/]+)/", 1)
+    return F.when(hive != "", hive).otherwise(F.regexp_extract(path, r"([^/]+)/[^/]+\.csv(/[^/]*)?$", 1))
 
 
 def available_models(spark: SparkSession, requested: list[str], pred: DataFrame) -> DataFrame:
