@@ -87,9 +87,13 @@ def parse_label_list(spark: SparkSession, sf: str) -> DataFrame:
     return D.parse_replies(fx.responses_a(spark, sf), _catalog(spark, sf), "labels")
 
 
-@register("parse_intensity_list", lambda: W(
-    f"SELECT r.lang, r.id, c.label, CAST({D.intensity_for_sql(D.intensity_pairs_sql(D.reply_content_sql('r.raw')), 'c.label')} "
-    f"AS INTEGER) AS value FROM responses_b r JOIN catalog c ON c.lang = r.lang", CATALOG_SQL))
+def parse_intensity_sql() -> str:
+    pairs = D.intensity_pairs_sql(D.reply_content_sql("r.raw"))
+    return W(f"SELECT r.lang, r.id, c.label, CAST({D.intensity_for_sql(pairs, 'c.label')} AS INTEGER) AS value "
+             f"FROM responses_b r JOIN catalog c ON c.lang = r.lang", CATALOG_SQL)
+
+
+@register("parse_intensity_list", parse_intensity_sql)
 def parse_intensity_list(spark: SparkSession, sf: str) -> DataFrame:
     """C11: 'joy(2), fear(1)' -> intensity per label of the language (last wins, malformed pieces skipped)."""
     return D.parse_replies(fx.responses_b(spark, sf), _catalog(spark, sf), "intensity")

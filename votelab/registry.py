@@ -26,4 +26,4 @@ def register(name: str, oracle: str | Callable[[], str] | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from .plans import queries, queries_io, queries_ops, queries_text  # noqa: F401
+    from .plans import queries, queries_io, queries_models, queries_ops, queries_text  # noqa: F401
