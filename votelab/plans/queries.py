@@ -19,6 +19,7 @@ MEMBERS = [m for m, _, _ in fx.MEMBERS]
 # Fixed combos of the per-label reports and the test-split ensembles (three members, list order).
 FIXED_COMBO = ["m1", "m2", "m3"]
 FIXED_PAIR = ["m2", "m3"]
+FIXED_PAIR_UNION = ["m1", "m3"]
 
 
 def _r(df: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from ..registry import register
 from ..sources import fixtures as fx
 from ..sources import gates as G
 from . import leaderboard as L
-from .queries import FIXED_COMBO, FIXED_PAIR, MEMBERS, _pairs, _r
+from .queries import FIXED_COMBO, FIXED_PAIR, FIXED_PAIR_UNION, MEMBERS, _pairs, _r
 
 W = fx.with_ctes
 R6 = O.r6
@@ -320,6 +320,23 @@ def per_label_report_intensity(spark: SparkSession, sf: str) -> DataFrame:
     return _r(_per_label(spark, sf, FIXED_PAIR, "majority", "intensity"))
 
 
+@register("per_label_report_intensity_union", lambda: _per_label_sql(
+    FIXED_PAIR_UNION, "union", "intensity", "pred_b", "gold_b",
+    f"SELECT lang, label, metric, {R6('value')} AS value FROM pl_long"))
+def per_label_report_intensity_union(spark: SparkSession, sf: str) -> DataFrame:
+    """M8 + E11: per-label report of the fixed union pair on intensities, binarised (>= 1)."""
+    return _r(_per_label(spark, sf, FIXED_PAIR_UNION, "union", "intensity"))
+
+
+@register("per_label_average_intensity", lambda: _per_label_sql(
+    FIXED_PAIR, "majority", "intensity", "pred_b", "gold_b",
+    f"SELECT label, metric, {R6('avg(value)')} AS value FROM pl_long GROUP BY label, metric"))
+def per_label_average_intensity(spark: SparkSession, sf: str) -> DataFrame:
+    """M10 on M8: mean per (label, metric) over languages of the fixed majority pair's report."""
+    pl = _per_label(spark, sf, FIXED_PAIR, "majority", "intensity")
+    return _r(pl.groupBy("label", "metric").agg(F.avg("value").alias("value")).orderBy("label", "metric"))
+
+
 @register("per_label_average", lambda: _per_label_sql(
     FIXED_COMBO, "union", "binary", "pred", "gold",
     f"SELECT label, metric, {R6('avg(value)')} AS value FROM pl_long GROUP BY label, metric"))
