@@ -47,7 +47,7 @@ def test_compact_votes_equal_exploded(spark):
         pred = fx.pred_table(spark, sf, kind)
         for rule in ("majority", "union"):
             a = L.ensemble_votes(pred, members, rule, kind)
-            b = E.vote_exploded(pred, E.combos_frame(spark, members), E.members_frame(spark, members), rule, kind)
+            b = E.vote_exploded(pred, members, rule, kind)
             assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 

@@ -47,10 +47,15 @@ def default_emoji_names() -> tuple[tuple[str, str], ...]:
     return tuple(out)
 
 
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _emoji_map(names) -> Column:
-    keys = [F.lit(k) for k, _ in names]
-    vals = [F.lit(v) for _, v in names]
-    return F.map_from_arrays(F.array(*keys), F.array(*vals))
+    """The dictionary as one constant map expression (parsed once by the JVM, folded to a literal)."""
+    keys = ", ".join(_sql_str(k) for k, _ in names)
+    vals = ", ".join(_sql_str(v) for _, v in names)
+    return F.expr(f"map_from_arrays(array({keys}), array({vals}))")
 
 
 def replace_emojis(text, names=None) -> Column:

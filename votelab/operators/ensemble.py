@@ -82,9 +82,8 @@ def combos_from_members(members: DataFrame, min_size: int = 2, max_size: int | N
         F.transform("sel", lambda m: m["idx"]).alias("sel"))
 
 
-def combos_frame(spark: SparkSession, members: list[str], min_size: int = 2,
-                 max_size: int | None = None) -> DataFrame:
-    """Combo table for a known member list, built on the driver (its size is known: checked here)."""
+def combo_rows_local(members: list[str], min_size: int = 2, max_size: int | None = None) -> list[tuple]:
+    """(combo, mask, r, sel) for a known member list, in list order; the count is checked here."""
     if n_combos(len(members), min_size, max_size) > MAX_BROADCAST_COMBOS:
         raise ValueError("combo table too large to broadcast; pass fewer members or a max_size")
     hi = len(members) if max_size is None else min(max_size, len(members))
@@ -92,7 +91,33 @@ def combos_frame(spark: SparkSession, members: list[str], min_size: int = 2,
     for k in range(min_size, hi + 1):
         for sel in combinations(range(len(members)), k):
             rows.append(("_".join(members[i] for i in sel), sum(1 << i for i in sel), k, list(sel)))
-    return local_table(spark, rows, "combo string, mask bigint, r int, sel array<int>")
+    return rows
+
+
+def combos_frame(spark: SparkSession, members: list[str], min_size: int = 2,
+                 max_size: int | None = None) -> DataFrame:
+    """Combo table for a known member list (a local relation; its size is checked)."""
+    return local_table(spark, combo_rows_local(members, min_size, max_size),
+                       "combo string, mask bigint, r int, sel array<int>")
+
+
+def combos_array(members: list[str], min_size: int = 2, max_size: int | None = None):
+    """The combo table as one constant array<struct<combo, mask, r, sel>> column: each row can fan
+    out to its combos with ``explode`` (no join). Size checked by :func:`combo_rows_local`."""
+    items = []
+    for combo, mask, r, sel in combo_rows_local(members, min_size, max_size):
+        sel_sql = "array(" + ", ".join(str(i) for i in sel) + ")"
+        items.append(f"named_struct('combo', '{combo.replace(chr(39), chr(92) + chr(39))}', 'mask', {mask}L, "
+                     f"'r', {r}, 'sel', {sel_sql})")
+    return F.expr("array(" + ", ".join(items) + ")")
+
+
+def lang_presence(pred: DataFrame, members: DataFrame) -> DataFrame:
+    """(lang, lang_pres): bitmask of the members with predictions per language. A 2-column partial
+    aggregate (partition metadata when predictions are partitioned by model and lang); one row per
+    language, so it is safe to broadcast."""
+    return pred.select("lang", "model").join(F.broadcast(members), "model") \
+        .groupBy("lang").agg(F.bit_or(shl(1, F.col("idx"))).alias("lang_pres"))
 
 
 def combo_members(combos: DataFrame, members: DataFrame) -> DataFrame:
@@ -100,25 +125,26 @@ def combo_members(combos: DataFrame, members: DataFrame) -> DataFrame:
     return combos.select("combo", "mask", "r", F.explode("sel").alias("idx")).join(F.broadcast(members), "idx")
 
 
-def availability(pred: DataFrame, combos: DataFrame, members: DataFrame) -> DataFrame:
+def availability(pred: DataFrame, member_list: list[str], min_size: int = 2,
+                 max_size: int | None = None) -> DataFrame:
     """(combo, lang, r, n_present, available). A combo is evaluated on a language only if every
-    member has predictions for it. Languages come from the data; the presence mask per language is a
-    partial aggregate, so the shuffle carries one row per (partition, lang)."""
-    present = pred.select("lang", "model").join(F.broadcast(members), "model") \
-        .groupBy("lang").agg(F.bit_or(shl(1, F.col("idx"))).alias("pres"))
-    x = F.broadcast(combos).crossJoin(present)
-    hit = F.col("mask").bitwiseAND(F.col("pres"))
-    return x.select("combo", "lang", "r", F.bit_count(hit).cast("int").alias("n_present"),
-                    (hit == F.col("mask")).alias("available"))
+    member has predictions for it. Each language row fans out to the (checked, constant) combo list."""
+    members = members_frame(pred.sparkSession, member_list)
+    x = lang_presence(pred, members).select("lang", "lang_pres",
+                                            F.explode(combos_array(member_list, min_size, max_size)).alias("c"))
+    hit = F.col("c.mask").bitwiseAND(F.col("lang_pres"))
+    return x.select(F.col("c.combo").alias("combo"), "lang", F.col("c.r").alias("r"),
+                    F.bit_count(hit).cast("int").alias("n_present"), (hit == F.col("c.mask")).alias("available"))
 
 
-def vote_exploded(pred: DataFrame, combos: DataFrame, members: DataFrame, rule: str = "majority",
+def vote_exploded(pred: DataFrame, member_list: list[str], rule: str = "majority",
                   kind: str = "binary") -> DataFrame:
     """E4-E7, E9 in the simple (exploded) form: each prediction row joins the combos it belongs to
-    (broadcast), then one aggregate per (combo, lang, id, label). Only available (combo, lang)
-    pairs are produced. Output: (combo, lang, id, label, value)."""
-    cm = combo_members(combos, members)
-    avail = availability(pred, combos, members).where("available").select("combo", "lang")
+    (broadcast equi-join on model), then one aggregate per (combo, lang, id, label). Only available
+    (combo, lang) pairs are produced. Output: (combo, lang, id, label, value)."""
+    spark = pred.sparkSession
+    cm = combo_members(combos_frame(spark, member_list), members_frame(spark, member_list))
+    avail = availability(pred, member_list).where("available").select("combo", "lang")
     x = pred.join(F.broadcast(cm.select("combo", "r", "model")), "model")
     agg = x.groupBy("combo", "r", "lang", "id", "label").agg(
         F.sum("value").alias("s"), F.max("value").alias("mx"))

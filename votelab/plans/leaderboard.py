@@ -9,8 +9,9 @@ Plan, for gold ``(lang, id, label, value)`` and predictions ``(lang, model, id,
    a sorted ``sig`` array -- both reuse the partitioning, no exchange.
 3. ``groupBy(lang, pres, sig).count()`` collapses identical rows into a histogram; its partial
    aggregate runs map-side, so a hot signature (e.g. all zeros) costs one row per partition.
-4. The histogram (bounded by the distinct signatures, not by the rows) is crossed with the broadcast
-   combo table (size checked on the driver) and with the per-language member presence (E1).
+4. Each histogram row (bounded by the distinct signatures, not by the rows) fans out to the combos
+   available in its language: a broadcast equi-join with the per-language member presence, then an
+   ``explode`` of the constant combo list (size checked on the driver). No cross join.
 5. Votes, decisions and per-label counts are SQL expressions over arrays (whole-stage codegen, no
    Python), then partial aggregates per (combo, lang, label) feed the metric suite.
 
@@ -48,19 +49,17 @@ def histogram(gold: DataFrame, pred: DataFrame, members: list[str]) -> DataFrame
     return row_signatures(gold, pred, members).groupBy("lang", "sig").agg(F.count("*").alias("n"))
 
 
-def available_combos(pred: DataFrame, members: list[str], min_size: int = 2,
-                     max_size: int | None = None) -> DataFrame:
-    """E1 as a small table (combo, lang, r, sel): combos whose members all have predictions in the
-    language. Presence comes from a 2-column partial aggregate of ``pred`` (partition metadata when
-    ``pred`` is partitioned by model and lang), never from the data-sized shuffle."""
-    spark: SparkSession = pred.sparkSession
-    combos = E.combos_frame(spark, members, min_size, max_size)  # size checked on the driver
-    mdf = F.broadcast(E.members_frame(spark, members))
-    pres = pred.select("lang", "model").join(mdf, "model").groupBy("lang").agg(
-        F.bit_or(shl(1, F.col("idx"))).alias("lang_pres"))
-    return F.broadcast(combos).crossJoin(pres) \
-        .where(F.col("mask").bitwiseAND(F.col("lang_pres")) == F.col("mask")) \
-        .select("combo", "lang", "r", "sel")
+def with_combos(rows: DataFrame, pred: DataFrame, members: list[str], min_size: int = 2,
+                max_size: int | None = None) -> DataFrame:
+    """E1 + fan-out: each row (keyed by ``lang``) is expanded to the combos available in its language:
+    a broadcast equi-join with the per-language member presence (one row per language), then an
+    ``explode`` of the constant, size-checked combo list, kept where every member is present."""
+    mdf = E.members_frame(pred.sparkSession, members)
+    pres = F.broadcast(E.lang_presence(pred, mdf))
+    x = rows.join(pres, "lang").withColumn("c", F.explode(E.combos_array(members, min_size, max_size)))
+    x = x.where(F.col("c.mask").bitwiseAND(F.col("lang_pres")) == F.col("c.mask"))
+    return x.select(*[c for c in rows.columns], F.col("c.combo").alias("combo"), F.col("c.r").alias("r"),
+                    F.col("c.sel").alias("sel"))
 
 
 def _decisions(rule: str, kind: str):
@@ -77,10 +76,7 @@ def _decisions(rule: str, kind: str):
 def combo_rows(gold: DataFrame, pred: DataFrame, members: list[str], rule: str, kind: str,
                min_size: int = 2, max_size: int | None = None) -> DataFrame:
     """(combo, lang, n, pos, label, g, p, exact): one row per (combo, histogram row, label)."""
-    h = histogram(gold, pred, members)
-    # bounded by (checked combo count) x (languages): broadcast
-    avail = F.broadcast(available_combos(pred, members, min_size, max_size))
-    x = h.join(avail, "lang")
+    x = with_combos(histogram(gold, pred, members), pred, members, min_size, max_size)
     d = x.select("combo", "lang", "n", _decisions(rule, kind).alias("d"))
     d = d.withColumn("exact", F.forall("d", lambda t: t["g"] == t["p"]))
     return d.select("combo", "lang", "n", "exact", F.posexplode("d").alias("pos", "t")) \
@@ -133,15 +129,15 @@ def ensemble_votes(pred: DataFrame, members: list[str], rule: str = "majority",
     """E4-E7 (compact): (combo, lang, id, label, value) for every available (combo, language).
 
     One shuffle groups the member values of a cell into a ``votes`` array (bounded state: one max
-    per member); the broadcast combo table is then crossed in-stage, so the output is written
-    without a second data-sized shuffle (the exploded form shuffles ~15 rows per cell)."""
+    per member); each cell then fans out to its language's available combos in-stage, so the output
+    is written without a second data-sized shuffle (the exploded form shuffles ~15 rows per cell)."""
     spark: SparkSession = pred.sparkSession
     mdf = F.broadcast(E.members_frame(spark, members))
     p = pred.join(mdf, "model")
     cells = p.groupBy("lang", "id", "label").agg(
         F.array(*[F.max(F.when(F.col("idx") == k, F.col("value").cast("int"))) for k in range(len(members))]
                 ).alias("votes"))
-    x = cells.join(F.broadcast(available_combos(pred, members, min_size, max_size)), "lang")
+    x = with_combos(cells, pred, members, min_size, max_size)
     vals = F.transform("sel", lambda k: F.coalesce(F.element_at("votes", k + 1), F.lit(0)))
     s = F.aggregate(vals, F.lit(0), lambda a, v: a + v)
     return x.select("combo", "lang", "id", "label",

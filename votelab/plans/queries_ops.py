@@ -194,12 +194,14 @@ def _combo_oracle(body: str, extra: dict | None = None, min_size: int = 2) -> st
 
 @register("combo_availability", lambda: _combo_oracle(
     "SELECT c.combo, l.lang, c.r, CAST(count(lm.model) AS INTEGER) AS n_present, count(lm.model) = c.r AS available "
-    "FROM combos c CROSS JOIN (SELECT DISTINCT lang FROM pred) l JOIN cm ON cm.mask = c.mask "
-    "LEFT JOIN lang_models lm ON lm.lang = l.lang AND lm.model = cm.model GROUP BY c.combo, l.lang, c.r"))
+    "FROM (SELECT lang, unnest((SELECT list({'mask': mask, 'combo': combo, 'r': r}) FROM combos)) AS c "
+    "FROM (SELECT DISTINCT lang FROM pred)) l JOIN cm ON cm.mask = l.c.mask "
+    "LEFT JOIN lang_models lm ON lm.lang = l.lang AND lm.model = cm.model GROUP BY l.c.combo, l.lang, l.c.r"
+    .replace("c.combo, l.lang, c.r,", "l.c.combo AS combo, l.lang, l.c.r AS r,")
+    .replace("= c.r AS available", "= l.c.r AS available")))
 def combo_availability(spark: SparkSession, sf: str) -> DataFrame:
     """Per (combo, language) whether every member has predictions; the rest are skipped."""
-    combos = E.combos_frame(spark, MEMBERS)
-    return E.availability(fx.pred_table(spark, sf), combos, E.members_frame(spark, MEMBERS))
+    return E.availability(fx.pred_table(spark, sf), MEMBERS)
 
 
 @register("alignment_violations", W(

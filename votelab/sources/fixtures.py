@@ -23,8 +23,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import local_table
-
 from ..functions.keys import hx, hx_sql
 from .tables import read_table
 
@@ -53,10 +51,6 @@ EMOTICONS = [
 TEXT_TOKENS = [e for e, _ in EMOTICONS] + ["\U0001F600", "\U0001F389", "\U0001F44D\U0001F44D"]
 
 
-def _members(spark: SparkSession) -> DataFrame:
-    return local_table(spark, MEMBERS, "model string, idx int, flip int")
-
-
 def gold_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
     lab = read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
@@ -74,8 +68,9 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = gold(spark, sf_dir)
-    m = F.broadcast(_members(spark))
-    x = g.crossJoin(m).where(~((F.col("model") == HOLE[0]) & (F.col("lang") == HOLE[1])))
+    ms = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(f).alias("flip")) for m, _, f in MEMBERS])
+    x = g.select("*", F.explode(ms).alias("m")).select("lang", "id", "label", "gold", "gold_b", "m.model", "m.flip")
+    x = x.where(~((F.col("model") == HOLE[0]) & (F.col("lang") == HOLE[1])))
     k = (F.col("model"), F.col("label"), F.col("id"))
     p = F.when(hx("a", *k) < F.col("flip"), 1 - F.col("gold")).otherwise(F.col("gold"))
     pb = F.when(hx("b", *k) < F.col("flip"), hx("c", *k) % 4).otherwise(F.col("gold_b"))
@@ -210,6 +205,10 @@ def _members_sql() -> str:
     return f"SELECT * FROM (VALUES {rows}) t(model, idx, flip)"
 
 
+def _members_list_sql() -> str:
+    return ", ".join(f"{{'model': '{m}', 'flip': {f}}}" for m, _, f in MEMBERS)
+
+
 def _m3_sql(gcol: str, label: str, kind: str) -> str:
     if kind == "binary":
         return f"(CASE WHEN {hx_sql(repr('a'), repr('m3'), repr(label), 'id')} < 21000 THEN 1 - {gcol} ELSE {gcol} END)"
@@ -236,14 +235,15 @@ def duck_ctes() -> dict[str, str]:
                  "CAST(quality * (1 + n_chars % 3) AS INTEGER) AS gold_b FROM gold_wide UNION ALL "
                  "SELECT lang, id, 'toxic' AS label, CAST(toxic AS INTEGER) AS gold, "
                  "CAST(toxic * (1 + id % 3) AS INTEGER) AS gold_b FROM gold_wide")
-    ha = hx_sql("'a'", *k)
-    hb = hx_sql("'b'", *k)
-    hc = hx_sql("'c'", *k)
-    c["pred"] = (f"SELECT g.lang, m.model, g.id, g.label, g.gold, g.gold_b, "
-                 f"CAST(CASE WHEN {ha} < m.flip THEN 1 - g.gold ELSE g.gold END AS INTEGER) AS pred, "
-                 f"CAST(CASE WHEN {hb} < m.flip THEN {hc} % 4 ELSE g.gold_b END AS INTEGER) AS pred_b "
-                 f"FROM gold g CROSS JOIN members m "
-                 f"WHERE NOT (m.model = '{HOLE[0]}' AND g.lang = '{HOLE[1]}')")
+    kg = ("g.m.model", "g.label", "g.id")
+    ha = hx_sql("'a'", *kg)
+    hb = hx_sql("'b'", *kg)
+    hc = hx_sql("'c'", *kg)
+    c["pred"] = (f"SELECT g.lang, g.m.model AS model, g.id, g.label, g.gold, g.gold_b, "
+                 f"CAST(CASE WHEN {ha} < g.m.flip THEN 1 - g.gold ELSE g.gold END AS INTEGER) AS pred, "
+                 f"CAST(CASE WHEN {hb} < g.m.flip THEN {hc} % 4 ELSE g.gold_b END AS INTEGER) AS pred_b "
+                 f"FROM (SELECT *, unnest([{_members_list_sql()}]) AS m FROM gold) g "
+                 f"WHERE NOT (g.m.model = '{HOLE[0]}' AND g.lang = '{HOLE[1]}')")
     hs = hx_sql("'s'", *k)
     c["scores"] = (f"SELECT lang, model, id, label, CAST(0.5 AS DOUBLE) + CAST(2 * pred - 1 AS DOUBLE) * "
                    f"CAST({hs} AS DOUBLE) / CAST(131072 AS DOUBLE) AS score FROM pred")
