@@ -141,26 +141,27 @@ def intensity_for_sql(pairs: str, label: str) -> str:
 def decode_scores(scores, catalog, mode: str = "binary"):
     """Scorer output (lang, model, id, label, score) -> (lang, model, id, label, value) for
     every label the language's gold has: label names lower-cased, unknown labels ignored, a label the
-    scorer did not emit is 0. One shuffle groups a text's scores (bounded by the scorer's labels);
-    the catalog per language is a bounded broadcast (languages x labels)."""
+    scorer did not emit is 0, a repeated label keeps its highest value.
+
+    Both sides are aggregated before they meet (partial aggregates, bounded state): the decoded
+    values per cell, and the texts per (lang, model, id) fanned out to their language's labels
+    (an equi-join with the label catalog). The final left join is on unique keys."""
     dec = score_to_binary if mode == "binary" else score_to_intensity
-    rows = scores.groupBy("lang", "model", "id").agg(
-        F.collect_list(F.struct(F.lower("label").alias("label"), F.col("score"))).alias("s"))
-    cat = catalog.groupBy("lang").agg(F.array_sort(F.collect_set("label")).alias("labels"))
-    x = rows.join(F.broadcast(cat), "lang").select("lang", "model", "id", F.explode("labels").alias("label"), "s")
-    val = F.aggregate(F.filter("s", lambda e: e["label"] == F.col("label")), F.lit(0),
-                      lambda acc, e: F.greatest(acc, dec(e["score"])))
-    return x.select("lang", "model", "id", "label", val.cast("int").alias("value"))
+    vals = scores.select("lang", "model", "id", F.lower("label").alias("label"), dec("score").alias("v")) \
+        .groupBy("lang", "model", "id", "label").agg(F.max("v").alias("v"))
+    grid = scores.select("lang", "model", "id").distinct().join(catalog.select("lang", "label"), "lang")
+    return grid.join(vals, ["lang", "model", "id", "label"], "left").select(
+        "lang", "model", "id", "label", F.coalesce("v", F.lit(0)).cast("int").alias("value"))
 
 
 def parse_replies(replies, catalog, kind: str = "labels"):
     """Raw replies (lang, id, raw) -> (lang, id, label, value) for the language's labels."""
     content = reply_content("raw")
-    cat = catalog.groupBy("lang").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    cat = catalog.select("lang", "label")  # small (languages x labels): AQE broadcasts it by size
     if kind == "labels":
         parsed = replies.select("lang", "id", label_list(content).alias("items"))
-        x = parsed.join(F.broadcast(cat), "lang").select("lang", "id", "items", F.explode("labels").alias("label"))
+        x = parsed.join(cat, "lang")
         return x.select("lang", "id", "label", label_flag("items", "label").alias("value"))
     parsed = replies.select("lang", "id", intensity_pairs(content).alias("pairs"))
-    x = parsed.join(F.broadcast(cat), "lang").select("lang", "id", "pairs", F.explode("labels").alias("label"))
+    x = parsed.join(cat, "lang")
     return x.select("lang", "id", "label", intensity_for("pairs", "label").cast("int").alias("value"))

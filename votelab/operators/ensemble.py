@@ -148,7 +148,7 @@ def vote_exploded(pred: DataFrame, member_list: list[str], rule: str = "majority
     x = pred.join(F.broadcast(cm.select("combo", "r", "model")), "model")
     agg = x.groupBy("combo", "r", "lang", "id", "label").agg(
         F.sum("value").alias("s"), F.max("value").alias("mx"))
-    agg = agg.join(F.broadcast(avail), ["combo", "lang"], "left_semi")
+    agg = agg.join(avail, ["combo", "lang"], "left_semi")  # combos x languages; AQE picks the strategy by size
     return agg.select("combo", "lang", "id", "label", decide(rule, kind, F.col("s"), F.col("mx"), F.col("r")).alias("value"))
 
 
@@ -184,8 +184,8 @@ def alignment_violations(pred: DataFrame) -> DataFrame:
         .select(F.lit("duplicate").alias("kind"), "lang", "model", "id", F.col("n").cast("long"))
     per_id = pred.groupBy("lang", "id").agg(F.collect_set("model").alias("ms"))
     per_lang = pred.select("lang", "model").groupBy("lang").agg(F.collect_set("model").alias("all_ms"))
-    # per_lang has one row per language: a bounded broadcast (languages, not rows).
-    miss = per_id.join(F.broadcast(per_lang), "lang").select(
+    # per_lang has one row per language; AQE broadcasts it once its measured size is small.
+    miss = per_id.join(per_lang, "lang").select(
         "lang", "id", F.explode(F.array_except("all_ms", "ms")).alias("model"))
     miss = miss.select(F.lit("missing").alias("kind"), "lang", "model", "id", F.lit(0).cast("long").alias("n"))
     return dup.unionByName(miss)

@@ -112,8 +112,9 @@ def process_name(flags: dict[str, bool]) -> Column:
 
 
 def restrict_labels(pred: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Keep only the (lang, label) cells the gold has (catalog is bounded by languages x labels)."""
-    return pred.join(F.broadcast(catalog), ["lang", "label"], "left_semi")
+    """Keep only the (lang, label) cells the gold has (the catalog is languages x labels; AQE
+    broadcasts it when its measured size allows)."""
+    return pred.join(catalog, ["lang", "label"], "left_semi")
 
 
 def langs_without_labels(texts: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -2,11 +2,11 @@
 
 Plan, for gold ``(lang, id, label, value)`` and predictions ``(lang, model, id, label, value)``:
 
-1. gold and predictions are unioned and hash-partitioned once on ``(lang, id)``: the only shuffle
-   proportional to the data. Rows of one id are then local, so
-2. ``groupBy(lang, id, label)`` pivots the member values into a ``votes`` array (one max per member:
-   bounded state even for duplicated cells) and ``groupBy(lang, id)`` folds the labels of a row into
-   a sorted ``sig`` array -- both reuse the partitioning, no exchange.
+1. gold and predictions are unioned and aggregated per cell ``(lang, id, label)``: the member values
+   are pivoted into a ``votes`` array (one max per member), combined map-side before the shuffle, so
+   duplicated cells or a hot key cost one row per task. This is the one shuffle proportional to the
+   input rows.
+2. ``groupBy(lang, id)`` folds a row's cells into a sorted ``sig`` array (bounded by the labels).
 3. ``groupBy(lang, pres, sig).count()`` collapses identical rows into a histogram; its partial
    aggregate runs map-side, so a hot signature (e.g. all zeros) costs one row per partition.
 4. Each histogram row (bounded by the distinct signatures, not by the rows) fans out to the combos
@@ -30,13 +30,16 @@ from ..operators import metrics as M
 
 def row_signatures(gold: DataFrame, pred: DataFrame, members: list[str]) -> DataFrame:
     """(lang, id, sig): sig = sorted array<struct<label, gold, votes array<int>>>, one vote slot per
-    member (NULL when that member has no value). Cells without gold are not evaluated."""
+    member (NULL when that member has no value). Cells without gold are not evaluated.
+
+    Two aggregates, both combined map-side before their shuffle: per cell, one max per member
+    (duplicated cells collapse, so even a key holding a third of the rows stays one row per task);
+    per row, the cells are folded into the signature (at most one entry per label)."""
     spark = pred.sparkSession
-    mdf = F.broadcast(E.members_frame(spark, members))
+    mdf = F.broadcast(E.members_frame(spark, members))  # local relation, size checked
     g = gold.select("lang", "id", "label", F.lit(-1).alias("idx"), F.col("value").cast("int").alias("value"))
     p = pred.join(mdf, "model").select("lang", "id", "label", "idx", F.col("value").cast("int").alias("value"))
-    u = g.unionByName(p).repartition("lang", "id")
-    cells = u.groupBy("lang", "id", "label").agg(
+    cells = g.unionByName(p).groupBy("lang", "id", "label").agg(
         F.max(F.when(F.col("idx") == -1, F.col("value"))).alias("gold"),
         F.array(*[F.max(F.when(F.col("idx") == k, F.col("value"))) for k in range(len(members))]).alias("votes"))
     cells = cells.where(F.col("gold").isNotNull())
@@ -55,7 +58,7 @@ def with_combos(rows: DataFrame, pred: DataFrame, members: list[str], min_size:
     a broadcast equi-join with the per-language member presence (one row per language), then an
     ``explode`` of the constant, size-checked combo list, kept where every member is present."""
     mdf = E.members_frame(pred.sparkSession, members)
-    pres = F.broadcast(E.lang_presence(pred, mdf))
+    pres = E.lang_presence(pred, mdf)  # one row per language; AQE broadcasts it by measured size
     x = rows.join(pres, "lang").withColumn("c", F.explode(E.combos_array(members, min_size, max_size)))
     x = x.where(F.col("c.mask").bitwiseAND(F.col("lang_pres")) == F.col("c.mask"))
     return x.select(*[c for c in rows.columns], F.col("c.combo").alias("combo"), F.col("c.r").alias("r"),

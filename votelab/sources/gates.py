@@ -30,8 +30,7 @@ def available_models(spark: SparkSession, requested: list[str], pred: DataFrame)
     """(model, available) for a requested model list; a model without predictions is skipped."""
     req = local_table(spark, [(m,) for m in requested], "model string")
     present = pred.select("model").distinct().withColumn("available", F.lit(True))
-    # the distinct model set is bounded by the number of models
-    return req.join(F.broadcast(present), "model", "left").select(
+    return req.join(present, "model", "left").select(
         "model", F.coalesce("available", F.lit(False)).alias("available"))
 
 
