@@ -52,14 +52,36 @@ def histogram(gold: DataFrame, pred: DataFrame, members: list[str]) -> DataFrame
     return row_signatures(gold, pred, members).groupBy("lang", "sig").agg(F.count("*").alias("n"))
 
 
+# Languages whose member-presence masks may be inlined as a constant map; beyond it, a shuffle join.
+MAX_INLINE_LANGS = 4096
+
+
+def presence_by_language(pred: DataFrame, members: list[str]):
+    """Per-language member-presence bitmask as a constant map Column when there are at most
+    MAX_INLINE_LANGS languages (one small partial aggregate, read with a bounded ``limit``), else
+    the (lang, lang_pres) DataFrame for a join."""
+    mdf = E.members_frame(pred.sparkSession, members)
+    pres = E.lang_presence(pred, mdf)
+    rows = pres.limit(MAX_INLINE_LANGS + 1).collect()
+    if len(rows) > MAX_INLINE_LANGS:
+        return pres
+    if not rows:
+        return F.create_map().cast("map<string,bigint>")
+    return F.create_map(*[x for r in rows for x in (F.lit(r.lang), F.lit(r.lang_pres).cast("long"))])
+
+
 def with_combos(rows: DataFrame, pred: DataFrame, members: list[str], min_size: int = 2,
                 max_size: int | None = None) -> DataFrame:
     """E1 + fan-out: each row (keyed by ``lang``) is expanded to the combos available in its language:
-    a broadcast equi-join with the per-language member presence (one row per language), then an
-    ``explode`` of the constant, size-checked combo list, kept where every member is present."""
-    mdf = E.members_frame(pred.sparkSession, members)
-    pres = E.lang_presence(pred, mdf)  # one row per language; AQE broadcasts it by measured size
-    x = rows.join(pres, "lang").withColumn("c", F.explode(E.combos_array(members, min_size, max_size)))
+    the language's member-presence mask (a constant map, or a join when there are very many
+    languages), then an ``explode`` of the constant, size-checked combo list, kept where every
+    member is present. No cross join, and no shuffle when the masks are inlined."""
+    pres = presence_by_language(pred, members)
+    if isinstance(pres, DataFrame):
+        x = rows.join(pres, "lang")
+    else:
+        x = rows.withColumn("lang_pres", F.element_at(pres, F.col("lang")))
+    x = x.withColumn("c", F.explode(E.combos_array(members, min_size, max_size)))
     x = x.where(F.col("c.mask").bitwiseAND(F.col("lang_pres")) == F.col("c.mask"))
     return x.select(*[c for c in rows.columns], F.col("c.combo").alias("combo"), F.col("c.r").alias("r"),
                     F.col("c.sel").alias("sel"))
@@ -79,10 +101,16 @@ def _decisions(rule: str, kind: str):
 def combo_rows(gold: DataFrame, pred: DataFrame, members: list[str], rule: str, kind: str,
                min_size: int = 2, max_size: int | None = None) -> DataFrame:
     """(combo, lang, n, pos, label, g, p, exact): one row per (combo, histogram row, label)."""
-    x = with_combos(histogram(gold, pred, members), pred, members, min_size, max_size)
+    h = histogram(gold, pred, members)
+    # The histogram is small in bytes, so AQE would coalesce it into few tasks, but each row fans out
+    # to every combo with per-row vote expressions: spread it over the cluster's cores first.
+    h = h.repartition(pred.sparkSession.sparkContext.defaultParallelism)
+    x = with_combos(h, pred, members, min_size, max_size)
     d = x.select("combo", "lang", "n", _decisions(rule, kind).alias("d"))
     d = d.withColumn("exact", F.forall("d", lambda t: t["g"] == t["p"]))
-    return d.select("combo", "lang", "n", "exact", F.posexplode("d").alias("pos", "t")) \
+    # posexplode_outer: ``d`` is never empty, and the outer form avoids an inferred size(d) > 0
+    # filter that would evaluate the vote expressions twice
+    return d.select("combo", "lang", "n", "exact", F.posexplode_outer("d").alias("pos", "t")) \
         .select("combo", "lang", "n", "pos", "exact", "t.label", "t.g", "t.p")
 
 

@@ -20,10 +20,13 @@ out so that a combo needing m4 has a language to skip.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import hx, hx_sql
+from ..session import scratch_path
 from .tables import read_table
 
 # Fixed values of the stand-in: member names with their flip rate, the binary label columns.
@@ -58,7 +61,41 @@ def gold_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         "lang", F.col("doc_id").alias("id"), "n_chars", "quality", "toxic")
 
 
+# Materialise the label tables once per session and scale: written as parquet into the shared
+# checkpoint folder, then read like any production table (pruned scans, partition metadata).
+MATERIALIZE = True
+_TABLES: dict[tuple[int, str, str], DataFrame] = {}
+
+
+def _materialized(spark: SparkSession, sf_dir: str, name: str, build, partition_by: list[str]) -> DataFrame:
+    key = (id(spark), os.path.abspath(sf_dir), name)
+    df = _TABLES.get(key)
+    if df is not None and df.sparkSession is spark:
+        return df
+    src = build()
+    cols = src.columns
+    path = scratch_path(spark, f"fixture-{name}")
+    src.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    df = spark.read.parquet(path).select(*cols)
+    _TABLES[key] = df
+    return df
+
+
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(lang, id, label, gold, gold_b), materialised per session (see :data:`MATERIALIZE`)."""
+    if not MATERIALIZE:
+        return _gold_view(spark, sf_dir)
+    return _materialized(spark, sf_dir, "gold", lambda: _gold_view(spark, sf_dir), ["lang"])
+
+
+def pred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(lang, model, id, label, gold, gold_b, pred, pred_b), materialised per session."""
+    if not MATERIALIZE:
+        return _pred_view(spark, sf_dir)
+    return _materialized(spark, sf_dir, "pred", lambda: _pred_view(spark, sf_dir), ["model", "lang"])
+
+
+def _gold_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = gold_wide(spark, sf_dir).unpivot(["lang", "id", "n_chars"], LABEL_COLUMNS, "label", "gold")
     gb = F.when(F.col("label") == "quality", F.col("gold") * (1 + F.col("n_chars") % 3)) \
         .otherwise(F.col("gold") * (1 + F.col("id") % 3))
@@ -66,8 +103,8 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
                     gb.cast("int").alias("gold_b"))
 
 
-def pred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = gold(spark, sf_dir)
+def _pred_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _gold_view(spark, sf_dir)
     ms = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(f).alias("flip")) for m, _, f in MEMBERS])
     x = g.select("*", F.explode(ms).alias("m")).select("lang", "id", "label", "gold", "gold_b", "m.model", "m.flip")
     x = x.where(~((F.col("model") == HOLE[0]) & (F.col("lang") == HOLE[1])))
