@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,16 +100,24 @@ def train_baseline(pool: DataFrame, labels: list[str], split_col: str = "split",
     train = base.where(F.col(split_col) == "train")
     test = base.where(F.col(split_col) == "test")
     fmodel = feats.fit(train)
-    train_f = fmodel.transform(train).select("features", *labels)
-    test_f = fmodel.transform(test).select("lang", "id", "features")
-    outs = []
-    for lab in labels:
-        lr = LogisticRegression(featuresCol="features", labelCol="y", maxIter=20, regParam=0.01)
-        m = lr.fit(train_f.select("features", F.col(lab).cast("double").alias("y")))
-        sc = m.transform(test_f).select("lang", "id", F.lit(model_name).alias("model"), F.lit(lab).alias("label"),
-                                        vector_to_array("probability")[1].alias("score"))
-        outs.append(sc)
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out.select("lang", "model", F.col("id").cast("long").alias("id"), "label", "score")
+    # Featurised once and kept (memory, spilling to disk) for all label fits; a lost block is
+    # recomputed from lineage. Released once the fits are done.
+    train_f = fmodel.transform(train).select("features", *[F.col(lab).cast("double").alias(lab) for lab in labels])
+    train_f = train_f.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fitted = [LogisticRegression(featuresCol="features", labelCol=lab, maxIter=20, regParam=0.01,
+                                     probabilityCol=f"prob_{k}", rawPredictionCol=f"raw_{k}",
+                                     predictionCol=f"pred_{k}").fit(train_f)
+                  for k, lab in enumerate(labels)]
+    finally:
+        train_f.unpersist()
+    # The held-out split is featurised and scored by every label model in one pass (the models are
+    # row-wise maps), then turned into long rows.
+    scored = fmodel.transform(test).select("lang", "id", "features")
+    for m in fitted:
+        scored = m.transform(scored)
+    items = F.array(*[F.struct(F.lit(lab).alias("label"), vector_to_array(f"prob_{k}")[1].alias("score"))
+                      for k, lab in enumerate(labels)])
+    out = scored.select("lang", "id", F.explode(items).alias("x"))
+    return out.select("lang", F.lit(model_name).alias("model"), F.col("id").cast("long").alias("id"),
+                      "x.label", "x.score")

@@ -21,6 +21,9 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Call-site capture for error messages costs ~8 JVM round trips per PySpark function call;
+    # plans here are built from hundreds of expressions, so it is off by default.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -10,7 +10,7 @@ computes the same inputs independently. The stand-ins model what the engine cons
 * ``responses_a`` / ``responses_b`` (lang, id, raw)      LLM replies as raw JSON
 * ``texts``  (lang, id, text)                            whole document texts with emoticons / emojis
 * ``train_raw`` per language, dirty label text           training pool input
-* ``done``   (lang, id)                                  outputs that already exist (resume)
+* ``done``   (lang, id)                                  inputs with a usable stored reply (resume)
 * ``dup_pred``                                           ``pred`` with alignment violations
 
 Members are deterministic noise around gold: member ``i`` flips a cell when a hash of
@@ -221,8 +221,11 @@ def train_raw_by_lang(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def done(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outputs that already exist: ids with id % 3 = 0 (the resume gate skips them)."""
-    return gold_wide(spark, sf_dir).where(F.col("id") % 3 == 0).select("lang", "id")
+    """Outputs that already exist: the (lang, id) whose stored label-list reply is usable (it has
+    ``choices[0].message.content``). Error replies count as not done, so the resume gate re-requests
+    them together with the inputs that have no reply at all."""
+    r = responses_a(spark, sf_dir)
+    return r.where(F.get_json_object("raw", "$.choices[0].message.content").isNotNull()).select("lang", "id")
 
 
 def dup_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,7 +311,8 @@ def duck_ctes() -> dict[str, str]:
     c["train_base"] = (f"SELECT d.doc_id AS id, d.lang, d.text, {dirty.format(c='l.quality').replace('id %', 'd.doc_id %')} AS quality, "
                        f"{dirty.format(c='l.toxic').replace('id %', 'd.doc_id %')} AS toxic "
                        f"FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
-    c["done"] = "SELECT lang, id FROM gold_wide WHERE id % 3 = 0"
+    c["done"] = ("SELECT lang, id FROM responses_a WHERE (CASE WHEN json_valid(raw) "
+                 "THEN json_extract_string(raw, '$.choices[0].message.content') END) IS NOT NULL")
     c["dup_pred"] = ("SELECT * FROM pred WHERE NOT (model = 'm2' AND id % 60 = 0) "
                      "UNION ALL SELECT * FROM pred WHERE model = 'm1' AND id % 50 = 0")
     return c
