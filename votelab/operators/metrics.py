@@ -96,7 +96,8 @@ def confusion_cube(df: DataFrame, keys: list[str], gold: str = "gold", pred: str
 
 
 def multiclass_per_label(cube: DataFrame, keys: list[str]) -> DataFrame:
-    """M5/M6 per label column: keys + label -> 10 metrics (micro = accuracy)."""
+    """M5/M6 per label column: keys + label -> 10 metrics (micro = accuracy). ``cube`` holds weighted
+    (gold, pred, n) rows; they need not be unique per (gold, pred)."""
     sides = F.explode(F.array(
         F.struct(F.col("gold").alias("c"), F.col("n").alias("sup"), F.lit(0).cast("long").alias("pc"),
                  F.when(F.col("gold") == F.col("pred"), F.col("n")).otherwise(0).cast("long").alias("tp")),
@@ -127,7 +128,8 @@ def multiclass_report(cube: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def pearson_per_label(cube: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys + label -> Pearson r of gold vs prediction from moments; NULL if a side is constant."""
+    """Keys + label -> Pearson r of gold vs prediction from moments of weighted (gold, pred, n)
+    rows; NULL if a side is constant."""
     g, p, n = F.col("gold").cast("double"), F.col("pred").cast("double"), F.col("n").cast("double")
     m = cube.groupBy(*keys, "label").agg(
         F.sum(n).alias("_k"), F.sum(g * n).alias("_sx"), F.sum(p * n).alias("_sy"),

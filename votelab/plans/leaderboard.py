@@ -145,9 +145,10 @@ def per_language(gold: DataFrame, pred: DataFrame, members: list[str], rule: str
             F.sum(F.when(F.col("pos") == 0, F.col("n")).otherwise(0)).alias("rows"),
             F.sum(F.when((F.col("pos") == 0) & F.col("exact"), F.col("n")).otherwise(0)).alias("exact_rows"))
         return M.multilabel_from_counts(lc, keys, with_accuracy=True).select(*keys, *M.METRICS)
-    cube = rows.groupBy(*keys, "label", F.col("g").alias("gold"), F.col("p").alias("pred")).agg(
-        F.sum("n").alias("n"))
-    return M.multiclass_report(cube, keys).select(*keys, *M.METRICS)
+    # the fan-out rows are already weighted (gold, pred) pairs: they feed the per-class counts
+    # directly, without an intermediate confusion-cube shuffle
+    weighted = rows.select(*keys, "label", F.col("g").alias("gold"), F.col("p").alias("pred"), "n")
+    return M.multiclass_report(weighted, keys).select(*keys, *M.METRICS)
 
 
 def leaderboard(gold: DataFrame, pred: DataFrame, members: list[str], rule: str = "majority",
@@ -165,9 +166,8 @@ def pearson(gold: DataFrame, pred: DataFrame, members: list[str], rule: str = "m
             min_size: int = 2, max_size: int | None = None) -> DataFrame:
     """Per combo, mean over languages of the mean over labels of Pearson r (intensities)."""
     rows = combo_rows(gold, pred, members, rule, "intensity", min_size, max_size)
-    cube = rows.groupBy("combo", "lang", "label", F.col("g").alias("gold"), F.col("p").alias("pred")).agg(
-        F.sum("n").alias("n"))
-    per_label = M.pearson_per_label(cube, ["combo", "lang"])
+    weighted = rows.select("combo", "lang", "label", F.col("g").alias("gold"), F.col("p").alias("pred"), "n")
+    per_label = M.pearson_per_label(weighted, ["combo", "lang"])
     per_lang = per_label.groupBy("combo", "lang").agg(F.avg("pearson").alias("pearson"))
     return per_lang.groupBy("combo").agg(F.avg("pearson").alias("avg_pearson"),
                                          F.count("pearson").alias("n_langs"))
