@@ -106,9 +106,12 @@ def label_vector(pool: DataFrame) -> DataFrame:
                        F.array(*[F.col(c).cast("double") for c in labels]).alias("labels"))
 
 
-def process_name(flags: dict[str, bool]) -> Column:
-    """Run-variant name = the set flags joined by '_' (as a column, nulls skipped)."""
-    return F.concat_ws("_", *[F.when(F.lit(bool(v)), F.lit(k)) for k, v in flags.items()])
+def process_name(flags: dict) -> Column:
+    """Run-variant name = the names of the set flags joined by '_' in flag order (nulls skipped).
+    A flag is a Python bool or a boolean Column (per-row variants)."""
+    def on(v):
+        return v if isinstance(v, Column) else F.lit(bool(v))
+    return F.concat_ws("_", *[F.when(on(v), F.lit(k)) for k, v in flags.items()])
 
 
 def restrict_labels(pred: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -61,12 +61,20 @@ def _get_scorer(factory, key: str):
 
 
 def score_texts(texts: DataFrame, factory=None, key: str = "lexicon", preprocess: bool = True,
-                max_words: int = 512) -> DataFrame:
-    """Long scores for every text. ``factory()`` builds the scorer once per Python worker."""
+                max_words: int = 512, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Long scores for every text. ``factory()`` builds the scorer once per Python worker.
+    ``carry`` names extra key columns passed through to the output (after ``id``)."""
     factory = factory or (lambda: LexiconScorer(DEFAULT_LEXICON))
     t = X.preprocess_text("text") if preprocess else F.col("text")
-    prepared = texts.select("lang", F.col("id").cast("long").alias("id"),
+    prepared = texts.select("lang", F.col("id").cast("long").alias("id"), *carry,
                             X.truncate_words(t, max_words).alias("text"))
+    keys = ["lang", "id", *carry]
+    out_cols = ["lang", "model", "id", *carry, "label", "score"]
+    schema = SCORES_SCHEMA
+    if carry:
+        types = {f.name: f.dataType.simpleString() for f in prepared.schema.fields}
+        schema = ("lang string, model string, id long, " + ", ".join(f"{c} {types[c]}" for c in carry) +
+                  ", label string, score double")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = _get_scorer(factory, key)
@@ -74,12 +82,12 @@ def score_texts(texts: DataFrame, factory=None, key: str = "lexicon", preprocess
             if pdf.empty:
                 continue
             sc = scorer.score(pdf["text"].fillna(""))
-            long = sc.assign(lang=pdf["lang"].values, id=pdf["id"].values).melt(
-                id_vars=["lang", "id"], var_name="label", value_name="score")
+            long = sc.assign(**{k: pdf[k].values for k in keys}).melt(
+                id_vars=keys, var_name="label", value_name="score")
             long["model"] = getattr(scorer, "name", key)
-            yield long[["lang", "model", "id", "label", "score"]]
+            yield long[out_cols]
 
-    return prepared.mapInPandas(run, SCORES_SCHEMA)
+    return prepared.mapInPandas(run, schema)
 
 
 def train_baseline(pool: DataFrame, labels: list[str], split_col: str = "split", num_features: int = 1 << 18,

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import decode as D
+from ..functions import text as X
+from ..operators import metrics as M
 from ..operators import schema as S
 from ..operators import scoring as SC
 from ..operators import split as T
@@ -25,6 +27,37 @@ def score_texts(spark: SparkSession, sf: str) -> DataFrame:
     return scores.select("lang", "model", "id", "label", "score", D.score_to_binary("score").alias("value"))
 
 
+# The run-variant flags in naming order, and the variants evaluated (baseline and
+# augmentation set; preprocessing off / on). Augmentation only names a variant: no code path uses it.
+VARIANT_FLAGS = ("baseline", "preprocessing", "augmentation")
+VARIANTS = [(True, False, True), (True, True, True)]
+
+
+def variant_texts(texts: DataFrame, variants=VARIANTS) -> DataFrame:
+    """(lang, id, process, text): each text once per run variant (an explode of the constant variant
+    list), named from its flags (P13) and preprocessed only where the variant's flag is set (C3)."""
+    arr = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(VARIANT_FLAGS, flags)]) for flags in variants])
+    x = texts.select("lang", "id", "text", F.explode(arr).alias("v"))
+    process = S.process_name({n: F.col(f"v.{n}") for n in VARIANT_FLAGS})
+    text = F.when(F.col("v.preprocessing"), X.preprocess_text("text")).otherwise(F.col("text"))
+    return x.select("lang", "id", process.alias("process"), text.alias("text"))
+
+
+@register("eval_variants")
+def eval_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """P13 + C3 + T3 + C5 + M15/M9: the gold texts scored under every run variant in one pass (the
+    variant rides along through the Arrow batches), decoded to 0/1, evaluated per (process, model,
+    language) and averaged over languages; one leaderboard row per (process, model)."""
+    gold = fx.gold_table(spark, sf).withColumnRenamed("value", "gold")
+    texts = fx.texts(spark, sf).join(fx.gold_wide(spark, sf).select("lang", "id"), ["lang", "id"], "left_semi")
+    scored = SC.score_texts(variant_texts(texts), preprocess=False, carry=("process",))
+    pairs = scored.select("process", "model", "lang", "id", "label",
+                          D.score_to_binary("score").alias("pred")).join(gold, ["lang", "id", "label"])
+    per = M.multilabel_report(pairs, ["process", "model", "lang"])
+    lb = M.average_over(per, ["process", "model"], M.METRICS)
+    return _r(lb.select("model", *[f"avg_{m}" for m in M.METRICS], "process", "n_langs"))
+
+
 @register("train_baseline")
 def train_baseline(spark: SparkSession, sf: str) -> DataFrame:
     """T4 + M13: TF-IDF + logistic regression per label trained on the 80 % split of the training
