@@ -48,3 +48,14 @@ def test_every_query_has_docs_and_runs_at_smoke_scale(spark):
         assert fn.__doc__, name
     missing = [n for n in orc if n not in qs]
     assert not missing
+
+
+def test_sweep_has_one_data_sized_shuffle(spark):
+    """The sweep's only exchange over data rows is keyed by (lang, id); there is none per cell."""
+    import re
+
+    for kind in ("binary", "intensity"):
+        g, p = fx.gold_table(spark, SF, kind), fx.pred_table(spark, SF, kind)
+        plan = _plan(L.leaderboard(g, p, MEMBERS, "majority", kind))
+        assert len(re.findall(r"hashpartitioning\(lang#\d+, id#\d+L?, \d+\)", plan)) == 1, plan
+        assert not re.findall(r"hashpartitioning\(lang#\d+, id#\d+L?, label#", plan)
