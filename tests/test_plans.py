@@ -59,3 +59,15 @@ def test_sweep_has_one_data_sized_shuffle(spark):
         plan = _plan(L.leaderboard(g, p, MEMBERS, "majority", kind))
         assert len(re.findall(r"hashpartitioning\(lang#\d+, id#\d+L?, \d+\)", plan)) == 1, plan
         assert not re.findall(r"hashpartitioning\(lang#\d+, id#\d+L?, label#", plan)
+
+
+def test_model_eval_has_no_data_join(spark):
+    """Per-model evaluation: one data-sized exchange on (lang, id), no sort-merge join."""
+    import re
+
+    from votelab.plans import paired as PA
+
+    plan = _plan(PA.multilabel_report(PA.weighted_pairs(fx.gold_table(spark, SF), fx.pred_table(spark, SF)),
+                                      ["model", "lang"]))
+    assert "SortMergeJoin" not in plan
+    assert len(re.findall(r"hashpartitioning\(lang#\d+, id#\d+L?, \d+\)", plan)) == 1, plan

@@ -84,3 +84,26 @@ def test_resume_gate_keeps_inputs_without_usable_output(spark):
     done = spark.createDataFrame([("de", 1), ("en", 3), ("fr", 9)], "lang string, id long")
     got = sorted(tuple(r) for r in G.pending(inputs, done, ["lang", "id"]).collect())
     assert got == [("de", 2), ("en", 1)]
+
+
+def test_weighted_pairs_equal_join_path(spark):
+    """Per-model reports from the one-shuffle weighted pairs equal the plain join path (missing cells
+    are left out of both; no copies here, where the two differ by design)."""
+    from votelab.operators import metrics as M
+    from votelab.plans import paired as PA
+
+    gold, pred = _skewed_tables()
+    pred = pred[:-(HOT_DUPS + 1)]
+    g = spark.createDataFrame(gold, "lang string, id long, label string, value int")
+    p = spark.createDataFrame(pred, "lang string, model string, id long, label string, value int")
+    pairs = p.withColumnRenamed("value", "pred").join(g.withColumnRenamed("value", "gold"), ["lang", "id", "label"])
+    keys = ["model", "lang"]
+    want = {(r.model, r.lang): r.asDict() for r in M.multilabel_report(pairs, keys).collect()}
+    got = {(r.model, r.lang): r.asDict() for r in PA.multilabel_report(PA.weighted_pairs(g, p), keys).collect()}
+    assert set(got) == set(want)
+    for k, row in want.items():
+        for m in M.METRICS + ["n_rows"]:
+            assert got[k][m] == pytest.approx(row[m]), (k, m)
+    cube_want = sorted(tuple(r) for r in M.confusion_cube(pairs, keys).collect())
+    cube_got = sorted(tuple(r) for r in PA.confusion_cube(PA.weighted_pairs(g, p), keys).collect())
+    assert cube_got == cube_want

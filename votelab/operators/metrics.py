@@ -54,7 +54,7 @@ def label_counts(df: DataFrame, keys: list[str], gold: str = "gold", pred: str =
 def multilabel_from_counts(lc: DataFrame, keys: list[str], with_accuracy: bool = False) -> DataFrame:
     """M1-M3 from per-label counts: keys -> 9 metrics and the label count. With ``with_accuracy``,
     ``lc`` also carries ``rows`` / ``exact_rows`` (counted on one label per row) and subset accuracy
-    comes out of the same aggregate (M4)."""
+    and the row count (``n_rows``) come out of the same aggregate (M4)."""
     P, R, F1 = _prf(F.col("tp"), F.col("fp"), F.col("fn"))
     sup = F.col("tp") + F.col("fn")
     extra = ["rows", "exact_rows"] if with_accuracy else []
@@ -66,7 +66,8 @@ def multilabel_from_counts(lc: DataFrame, keys: list[str], with_accuracy: bool =
         F.sum(F.col("f") * F.col("sup")).alias("wf"), F.sum(F.col("p") * F.col("sup")).alias("wp"),
         F.sum(F.col("r") * F.col("sup")).alias("wr"), F.count("*").alias("n_labels"), *aggs)
     mp, mr, mf = _prf(F.col("TP"), F.col("FP"), F.col("FN"))
-    acc = [sdiv(F.col("exact_rows"), F.col("rows")).alias("accuracy")] if with_accuracy else []
+    acc = [sdiv(F.col("exact_rows"), F.col("rows")).alias("accuracy"),
+           F.col("rows").alias("n_rows")] if with_accuracy else []
     return agg.select(*keys, "f1_macro", "precision_macro", "recall_macro",
                       mf.alias("f1_micro"), mp.alias("precision_micro"), mr.alias("recall_micro"),
                       sdiv(F.col("wf"), F.col("S")).alias("f1_weighted"),

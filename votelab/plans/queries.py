@@ -14,6 +14,7 @@ from ..operators import metrics as M
 from ..registry import register
 from ..sources import fixtures as fx
 from . import leaderboard as L
+from . import paired as PA
 
 MEMBERS = [m for m, _, _ in fx.MEMBERS]
 # Fixed combos of the per-label reports and the test-split ensembles (three members, list order).
@@ -33,6 +34,14 @@ def _pairs(spark: SparkSession, sf: str, kind: str = "binary") -> DataFrame:
     return p.join(g, ["lang", "id", "label"])
 
 
+def _wpairs(spark: SparkSession, sf: str, kind: str = "binary", models: list[str] | None = None) -> DataFrame:
+    """The same pairs as weighted lines from one (lang, id) aggregate (see :mod:`.paired`)."""
+    p = fx.pred_table(spark, sf, kind)
+    if models is not None:
+        p = p.where(F.col("model").isin(models))
+    return PA.weighted_pairs(fx.gold_table(spark, sf, kind), p)
+
+
 # ---------------------------------------------------------------- M9 leaderboards (flagship)
 
 @register("leaderboard_majority", lambda: O.leaderboard_sql("majority", "binary"))
@@ -89,25 +98,24 @@ def pearson_intensity(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("eval_models", lambda: O.eval_models_sql())
 def eval_models(spark: SparkSession, sf: str) -> DataFrame:
-    """Per (model, lang) the ten metrics, one job for all models (general join path)."""
-    return _r(M.multilabel_report(_pairs(spark, sf), ["model", "lang"]))
+    """Per (model, lang) the ten metrics, one job for all models (one shuffle of the data rows)."""
+    return _r(PA.multilabel_report(_wpairs(spark, sf), ["model", "lang"]))
 
 
 @register("multilabel_prf", lambda: O.multilabel_prf_sql())
 def multilabel_prf(spark: SparkSession, sf: str) -> DataFrame:
     """M1-M3: macro / micro / weighted precision, recall, F1 per (model, lang)."""
-    pairs = _pairs(spark, sf)
-    return _r(M.multilabel_from_counts(M.label_counts(pairs, ["model", "lang"]), ["model", "lang"]))
+    return _r(M.multilabel_from_counts(PA.label_counts(_wpairs(spark, sf), ["model", "lang"]), ["model", "lang"]))
 
 
 @register("subset_accuracy", lambda: O.subset_accuracy_sql())
 def subset_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     """M4: whole-row accuracy per (model, lang)."""
-    return _r(M.subset_accuracy(_pairs(spark, sf), ["model", "lang"]))
+    return _r(PA.subset_accuracy(_wpairs(spark, sf), ["model", "lang"]))
 
 
 @register("multiclass_prf", lambda: O.multiclass_prf_sql())
 def multiclass_prf(spark: SparkSession, sf: str) -> DataFrame:
     """M5/M6: per (model, lang) multiclass metrics per label column, averaged over the columns."""
-    cube = M.confusion_cube(_pairs(spark, sf, "intensity"), ["model", "lang"])
+    cube = PA.confusion_cube(_wpairs(spark, sf, "intensity"), ["model", "lang"])
     return _r(M.multiclass_report(cube, ["model", "lang"]))

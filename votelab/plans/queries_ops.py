@@ -16,7 +16,8 @@ from ..registry import register
 from ..sources import fixtures as fx
 from ..sources import gates as G
 from . import leaderboard as L
-from .queries import FIXED_COMBO, FIXED_PAIR, FIXED_PAIR_UNION, MEMBERS, _pairs, _r
+from . import paired as PA
+from .queries import FIXED_COMBO, FIXED_PAIR, FIXED_PAIR_UNION, MEMBERS, _pairs, _r, _wpairs
 
 W = fx.with_ctes
 R6 = O.r6
@@ -356,7 +357,7 @@ def per_label_average(spark: SparkSession, sf: str) -> DataFrame:
     "sum(CASE WHEN gold = 1 AND pred = 0 THEN 1 ELSE 0 END) AS fn FROM pred GROUP BY model, lang, label)"))
 def per_label_support(spark: SparkSession, sf: str) -> DataFrame:
     """Classification-report rows per model, language and label."""
-    return _r(M.per_label_support(M.label_counts(_pairs(spark, sf), ["model", "lang"]), ["model", "lang"]))
+    return _r(M.per_label_support(PA.label_counts(_wpairs(spark, sf), ["model", "lang"]), ["model", "lang"]))
 
 
 @register("eval_single", lambda: W(
@@ -365,5 +366,5 @@ def per_label_support(spark: SparkSession, sf: str) -> DataFrame:
      **O.multilabel_ctes("pairs", ["lang"])}))
 def eval_single(spark: SparkSession, sf: str) -> DataFrame:
     """One prediction folder (member m3) against gold: the nine P/R/F1 values per language."""
-    pairs = _pairs(spark, sf).where(F.col("model") == "m3")
-    return _r(M.multilabel_from_counts(M.label_counts(pairs, ["lang"]), ["lang"]).drop("n_labels"))
+    wp = _wpairs(spark, sf, models=["m3"])
+    return _r(M.multilabel_from_counts(PA.label_counts(wp, ["lang"]), ["lang"]).drop("n_labels"))
