@@ -107,3 +107,20 @@ def test_weighted_pairs_equal_join_path(spark):
     cube_want = sorted(tuple(r) for r in M.confusion_cube(pairs, keys).collect())
     cube_got = sorted(tuple(r) for r in PA.confusion_cube(PA.weighted_pairs(g, p), keys).collect())
     assert cube_got == cube_want
+
+
+@pytest.mark.parametrize("rule,kind", [("majority", "binary"), ("union", "binary"), ("majority", "intensity")])
+def test_fixed_vote_paired_equals_vote_then_join(spark, rule, kind):
+    from votelab.operators import ensemble as E
+
+    gold, pred = _skewed_tables()
+    pred = pred[:-(HOT_DUPS + 1)]
+    gold = [r for r in gold if r[1] % 7]  # cells without gold
+    g = spark.createDataFrame(gold, "lang string, id long, label string, value int")
+    p = spark.createDataFrame(pred, "lang string, model string, id long, label string, value int")
+    ms = ["m1", "m2", "m3"]
+    want = sorted(tuple(r) for r in E.vote_fixed(p, ms, rule, kind).join(
+        g.withColumnRenamed("value", "gold"), ["lang", "id", "label"]).select(
+        "lang", "id", "label", "gold", "value").collect())
+    got = sorted(tuple(r) for r in E.vote_fixed_paired(p, g, ms, rule, kind).collect())
+    assert got == want and len(got) > 0

@@ -175,6 +175,25 @@ def vote_fixed(pred: DataFrame, models: list[str], rule: str = "majority", kind:
         "lang", "id", "label", decide(rule, kind, F.col("s"), F.col("mx"), F.lit(r)).cast("int").alias("value"))
 
 
+def vote_fixed_paired(pred: DataFrame, gold: DataFrame, models: list[str], rule: str = "majority",
+                      kind: str = "binary") -> DataFrame:
+    """E8/E9 aligned with gold in the same aggregate: (lang, id, label, gold, value) for the cells that
+    every member and the gold have. Gold rows ride along with a NULL model, so one shuffle replaces
+    the vote aggregate plus a join with gold."""
+    r = len(models)
+    member = F.col("model").isNotNull()
+    g = gold.select("lang", "id", "label", F.lit(None).cast("string").alias("model"), "value")
+    x = pred.where(F.col("model").isin(models)).select("lang", "id", "label", "model", "value")
+    # the member set per cell is bounded by r, so collect_set stays small
+    agg = g.unionByName(x).groupBy("lang", "id", "label").agg(
+        F.max(F.when(~member, F.col("value"))).alias("gold"),
+        F.sum(F.when(member, F.col("value"))).alias("s"), F.max(F.when(member, F.col("value"))).alias("mx"),
+        F.size(F.collect_set("model")).alias("k"))
+    return agg.where((F.col("k") == r) & F.col("gold").isNotNull()).select(
+        "lang", "id", "label", F.col("gold").cast("int").alias("gold"),
+        decide(rule, kind, F.col("s"), F.col("mx"), F.lit(r)).cast("int").alias("value"))
+
+
 def alignment_violations(pred: DataFrame) -> DataFrame:
     """(kind, lang, model, id, n). ``duplicate``: a (lang, model, id, label) cell occurs n > 1
     times. ``missing``: a model with rows in the language has no rows for this id. Empty means the

@@ -302,9 +302,10 @@ def _per_label_sql(models: list[str], rule: str, kind: str, value: str, gcol: st
 
 def _per_label(spark: SparkSession, sf: str, models: list[str], rule: str, kind: str) -> DataFrame:
     k = "binary" if kind == "binary" else "intensity"
-    ens = E.vote_fixed(fx.pred_table(spark, sf, k), models, rule, kind).withColumnRenamed("value", "pred")
-    g = fx.gold_table(spark, sf, k).withColumnRenamed("value", "gold")
-    pairs = ens.join(g, ["lang", "id", "label"])  # label_counts binarises (>= 1): C14 for intensities
+    # the fixed combo's votes and the gold in one aggregate (no join); label_counts binarises (>= 1):
+    # C14 for intensities
+    pairs = E.vote_fixed_paired(fx.pred_table(spark, sf, k), fx.gold_table(spark, sf, k), models, rule, kind) \
+        .withColumnRenamed("value", "pred")
     return M.per_label_long(M.label_counts(pairs, ["lang"]), ["lang"])
 
 
