@@ -124,3 +124,24 @@ def test_fixed_vote_paired_equals_vote_then_join(spark, rule, kind):
         "lang", "id", "label", "gold", "value").collect())
     got = sorted(tuple(r) for r in E.vote_fixed_paired(p, g, ms, rule, kind).collect())
     assert got == want and len(got) > 0
+
+
+def test_training_metrics_weighted_equal_join_path(spark):
+    """M11-M13 from weighted pairs equal the per-row form over joined pairs (rows with no positive
+    included)."""
+    from votelab.operators.split import training_metrics
+    from votelab.plans import paired as PA
+
+    gold, pred = _skewed_tables()
+    pred = pred[:-(HOT_DUPS + 1)]
+    gold += [("b", 1000 + i, lab, 0) for i in range(20) for lab in ("x", "y")]
+    pred += [("b", m, 1000 + i, lab, 0) for i in range(20) for lab in ("x", "y") for m in MEMBERS]
+    g = spark.createDataFrame(gold, "lang string, id long, label string, value int")
+    p = spark.createDataFrame(pred, "lang string, model string, id long, label string, value int")
+    pairs = p.withColumnRenamed("value", "pred").join(g.withColumnRenamed("value", "gold"), ["lang", "id", "label"])
+    want = {r.model: r.asDict() for r in training_metrics(pairs, ["model"]).collect()}
+    got = {r.model: r.asDict() for r in PA.training_metrics(PA.weighted_pairs(g, p), ["model"]).collect()}
+    assert set(got) == set(want) == set(MEMBERS)
+    for m, row in want.items():
+        for k in ("overall_accuracy", "samples_accuracy", "overall_f1", "samples_f1"):
+            assert got[m][k] == pytest.approx(row[k]), (m, k)

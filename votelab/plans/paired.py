@@ -29,9 +29,10 @@ def _cell_max(sig, label, model=None):
 
 
 def weighted_pairs(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """(model, lang, n, pos, exact, label, gold, pred): ``n`` identical (lang, id) rows per line; one
-    line per paired label (``pos`` = its position in the row, so ``pos = 0`` counts each row once);
-    ``exact`` = the model got every paired label of the row right. One shuffle of the data rows."""
+    """(model, lang, n, pos, exact, rtp, rfp, rfn, rcells, label, gold, pred): ``n`` identical (lang, id)
+    rows per line; one line per paired label (``pos`` = its position in the row, so ``pos = 0`` counts
+    each row once); ``exact`` = the model got every paired label of the row right; ``r*`` = the row's
+    tp / fp / fn / paired-cell counts. One shuffle of the data rows."""
     g = gold.select("lang", "id", "label", F.lit(None).cast("string").alias("model"),
                     F.col("value").cast("int").alias("value"))
     p = pred.select("lang", "id", "label", "model", F.col("value").cast("int").alias("value"))
@@ -51,9 +52,19 @@ def weighted_pairs(gold: DataFrame, pred: DataFrame) -> DataFrame:
     x = h.select("lang", "n", F.explode(F.transform(models, per_model)).alias("x"))
     x = x.select(F.col("x.model").alias("model"), "lang", "n", F.col("x.cells").alias("cells")) \
         .where(F.size("cells") > 0)
-    x = x.withColumn("exact", F.forall("cells", lambda c: c["gold"] == c["pred"]))
-    return x.select("model", "lang", "n", "exact", F.posexplode("cells").alias("pos", "c")).select(
-        "model", "lang", "n", "pos", "exact", "c.label", F.col("c.gold").alias("gold"), F.col("c.pred").alias("pred"))
+    def count(cond):
+        return F.size(F.filter("cells", cond))
+
+    # per-row counts of this model's paired cells (samples metrics, M11/M12), on histogram rows
+    x = x.select("*", F.forall("cells", lambda c: c["gold"] == c["pred"]).alias("exact"),
+                 count(lambda c: (c["gold"] >= 1) & (c["pred"] >= 1)).alias("rtp"),
+                 count(lambda c: (c["gold"] < 1) & (c["pred"] >= 1)).alias("rfp"),
+                 count(lambda c: (c["gold"] >= 1) & (c["pred"] < 1)).alias("rfn"),
+                 F.size("cells").alias("rcells"))
+    return x.select("model", "lang", "n", "exact", "rtp", "rfp", "rfn", "rcells",
+                    F.posexplode("cells").alias("pos", "c")).select(
+        "model", "lang", "n", "pos", "exact", "rtp", "rfp", "rfn", "rcells", "c.label",
+        F.col("c.gold").alias("gold"), F.col("c.pred").alias("pred"))
 
 
 def label_counts(wp: DataFrame, keys: list[str]) -> DataFrame:
@@ -87,3 +98,20 @@ def subset_accuracy(wp: DataFrame, keys: list[str]) -> DataFrame:
 def confusion_cube(wp: DataFrame, keys: list[str]) -> DataFrame:
     """keys + label + gold + pred -> n (weighted), for the multiclass report (M5/M6)."""
     return M.confusion_cube(wp, keys, weight="n")
+
+
+def training_metrics(wp: DataFrame, keys: list[str]) -> DataFrame:
+    """M11-M13 from weighted pairs, rows pooled over languages: overall_accuracy (subset),
+    samples_accuracy (cells), overall_f1 (macro over labels), samples_f1 (F1 per row, mean; 0 for a
+    row with no positive in gold and prediction)."""
+    n = F.col("n")
+    f_row = M.sdiv(2 * F.col("rtp"), 2 * F.col("rtp") + F.col("rfp") + F.col("rfn"))
+    lc = label_counts(wp, keys)
+    per = lc.select(*keys, M.sdiv(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f"))
+    macro = per.groupBy(*keys).agg(F.avg("f").alias("overall_f1"))
+    rows = wp.where(F.col("pos") == 0).groupBy(*keys).agg(
+        M.sdiv(F.sum(F.when(F.col("exact"), n).otherwise(0)), F.sum(n)).alias("overall_accuracy"),
+        M.sdiv(F.sum((F.col("rcells") - F.col("rfp") - F.col("rfn")) * n), F.sum(F.col("rcells") * n))
+        .alias("samples_accuracy"),
+        M.sdiv(F.sum(f_row * n), F.sum(n)).alias("samples_f1"))
+    return rows.join(macro, keys).select(*keys, "overall_accuracy", "samples_accuracy", "overall_f1", "samples_f1")

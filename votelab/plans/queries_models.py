@@ -15,6 +15,7 @@ from ..registry import register
 from ..session import scratch_path
 from ..sources import fixtures as fx
 from ..streaming import responses as ST
+from . import paired as PA
 from .queries import _r
 from .queries_text import parse_intensity_sql
 
@@ -64,10 +65,9 @@ def train_baseline(spark: SparkSession, sf: str) -> DataFrame:
     pool, evaluated on the held-out 20 % (sigmoid output >= 0.5)."""
     pool = T.with_split(S.train_pool(fx.train_raw_by_lang(spark, sf)))
     scores = SC.train_baseline(pool, ["quality", "toxic"])
-    g = fx.gold_table(spark, sf).withColumnRenamed("value", "gold")
-    pairs = scores.join(g, ["lang", "id", "label"]).withColumn(
-        "pred", F.when(F.col("score") >= 0.5, 1).otherwise(0))
-    return _r(T.training_metrics(pairs, ["model"]))
+    dec = scores.select("lang", "model", "id", "label", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("value"))
+    gold = fx.gold_table(spark, sf).where(T.split_column("id") == "test")
+    return _r(PA.training_metrics(PA.weighted_pairs(gold, dec), ["model"]))
 
 
 @register("stream_parse_responses", parse_intensity_sql)

@@ -144,10 +144,10 @@ def label_counts_by_split(spark: SparkSession, sf: str) -> DataFrame:
 def training_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Per model on the held-out split: subset accuracy, cell accuracy, macro F1, samples F1
     of sigmoid(logit) >= 0.5, pooled over languages."""
-    lg = fx.logits(spark, sf).where(T.split_column("id") == "test")
-    g = fx.gold_table(spark, sf).withColumnRenamed("value", "gold")
-    pairs = lg.join(g, ["lang", "id", "label"]).withColumn("pred", D.logit_to_binary("logit"))
-    return _r(T.training_metrics(pairs, ["model"]))
+    test = T.split_column("id") == "test"  # a function of the id: prunes both sides before the shuffle
+    lg = fx.logits(spark, sf).where(test)
+    dec = lg.select("lang", "model", "id", "label", D.logit_to_binary("logit").alias("value"))
+    return _r(PA.training_metrics(PA.weighted_pairs(fx.gold_table(spark, sf).where(test), dec), ["model"]))
 
 
 # ---------------------------------------------------------------- S3, S8, S9, S10 / J1
