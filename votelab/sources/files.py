@@ -14,6 +14,7 @@ values are never inferred: they are read as strings and coerced explicitly.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,10 +51,17 @@ def read_header(spark: SparkSession, path: str) -> tuple[str, ...]:
     return tuple(c.strip().strip('"') for c in line.lstrip("﻿").split(","))
 
 
+# Concurrent header reads: each is one small read of a file's first line, so many files cost
+# round trips to the file system, not data; bounded so an object store is not flooded.
+HEADER_READ_THREADS = 32
+
+
 def group_by_header(spark: SparkSession, files: list[str]) -> dict[tuple[str, ...], list[str]]:
     groups: dict[tuple[str, ...], list[str]] = {}
-    for f in files:
-        groups.setdefault(read_header(spark, f), []).append(f)
+    with ThreadPoolExecutor(max_workers=max(1, min(HEADER_READ_THREADS, len(files)))) as pool:
+        headers = list(pool.map(lambda f: read_header(spark, f), files))
+    for f, h in zip(files, headers):
+        groups.setdefault(h, []).append(f)
     return groups
 
 
