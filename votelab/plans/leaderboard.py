@@ -2,14 +2,13 @@
 
 Plan, for gold ``(lang, id, label, value)`` and predictions ``(lang, model, id, label, value)``:
 
-1. gold and predictions are unioned and aggregated per row ``(lang, id)`` into the sorted set of
-   ``(label, idx, value)`` entries (``sig``), combined map-side before the shuffle, so copies of a
-   cell collapse and a hot key costs one bounded set per task. This is the one shuffle proportional
-   to the input rows.
+1. gold and predictions are unioned and aggregated per row ``(lang, id)`` into the set of
+   ``(label, member, value)`` entries, combined map-side before the shuffle, so copies of a cell
+   collapse and a hot key costs one bounded set per task. This is the one shuffle proportional to the
+   input rows; the per-cell votes and the row's sorted signature are then plain aggregates on that
+   partitioning (no further exchange).
 2. ``groupBy(lang, sig).count()`` collapses identical rows into a histogram; its partial
-   aggregate runs map-side, so a hot signature (e.g. all zeros) costs one row per partition. Each
-   distinct signature is then decoded to per-label gold and member votes (array expressions on the
-   histogram, not on the data rows).
+   aggregate runs map-side, so a hot signature (e.g. all zeros) costs one row per partition.
 3. Each histogram row (bounded by the distinct signatures, not by the rows) fans out to the combos
    available in its language: the per-language member presence (a constant map for up to
    MAX_INLINE_LANGS languages, else an equi-join), then an ``explode`` of the constant combo list
@@ -31,43 +30,32 @@ from ..operators import metrics as M
 
 
 def row_signatures(gold: DataFrame, pred: DataFrame, members: list[str]) -> DataFrame:
-    """(lang, id, sig): sig = the row's sorted set of entries struct<label, idx, value>, idx = -1 for
-    gold and the member position otherwise.
-
-    One aggregate keyed by (lang, id), so this is the only shuffle that grows with the input rows.
-    ``collect_set`` is combined map-side: copies of a cell collapse before the shuffle, so a group of
-    copies holding a third of the rows still sends one entry per task. Its size is bounded by
-    labels x (members + 1) x distinct values, never by the data."""
+    """(lang, id, sig): sig = sorted array<struct<label, gold, votes array<int>>> over the labels with
+    gold, one vote slot per member (its max value for the cell, NULL when it has none).
+
+    One shuffle, keyed by (lang, id): the row's entries ``(label, idx, value)`` (idx -1 = gold) are
+    gathered with ``collect_set``, combined map-side, so copies of a cell collapse before the shuffle
+    and a group of copies holding a third of the rows sends one bounded set per task (labels x
+    (members + 1) x distinct values). The set is then exploded and decoded per cell and per row with
+    plain aggregates keyed by supersets of (lang, id): the shuffle's partitioning already satisfies
+    them, so they add no exchange, and they run in whole-stage codegen."""
     spark = pred.sparkSession
     mdf = F.broadcast(E.members_frame(spark, members))  # local relation, size checked
     g = gold.select("lang", "id", "label", F.lit(-1).alias("idx"), F.col("value").cast("int").alias("value"))
     p = pred.join(mdf, "model").select("lang", "id", "label", "idx", F.col("value").cast("int").alias("value"))
-    return g.unionByName(p).groupBy("lang", "id").agg(
-        F.array_sort(F.collect_set(F.struct("label", "idx", "value"))).alias("sig"))
-
-
-def decode_signature(sig, n_members: int):
-    """Entry set -> array<struct<label, gold, votes array<int>>> over the labels that have gold: gold
-    and each member's vote are the max of that cell's values (NULL when the member has none). Cells
-    without gold are not evaluated. Runs on histogram rows only."""
-    def cell_max(label, idx):
-        hit = F.filter(sig, lambda e: (e["label"] == label) & (e["idx"] == idx))
-        return F.array_max(F.transform(hit, lambda e: e["value"]))
-
-    def cell(label):
-        votes = F.transform(F.sequence(F.lit(0), F.lit(n_members - 1)), lambda k: cell_max(label, k))
-        return F.struct(label.alias("label"), cell_max(label, F.lit(-1)).alias("gold"), votes.alias("votes"))
-
-    labels = F.array_distinct(F.transform(F.filter(sig, lambda e: e["idx"] == -1), lambda e: e["label"]))
-    return F.transform(labels, cell)
+    rows = g.unionByName(p).groupBy("lang", "id").agg(F.collect_set(F.struct("label", "idx", "value")).alias("e"))
+    ent = rows.select("lang", "id", F.explode("e").alias("e")).select("lang", "id", "e.label", "e.idx", "e.value")
+    cells = ent.groupBy("lang", "id", "label").agg(
+        F.max(F.when(F.col("idx") == -1, F.col("value"))).alias("gold"),
+        F.array(*[F.max(F.when(F.col("idx") == k, F.col("value"))) for k in range(len(members))]).alias("votes"))
+    cells = cells.where(F.col("gold").isNotNull())
+    return cells.groupBy("lang", "id").agg(
+        F.array_sort(F.collect_list(F.struct("label", "gold", "votes"))).alias("sig"))
 
 
 def histogram(gold: DataFrame, pred: DataFrame, members: list[str]) -> DataFrame:
-    """(lang, sig, n): identical rows collapsed (partial aggregate map-side), then each distinct
-    entry set decoded to per-label gold and votes; rows without gold labels are dropped."""
-    h = row_signatures(gold, pred, members).groupBy("lang", "sig").agg(F.count("*").alias("n"))
-    h = h.select("lang", decode_signature(F.col("sig"), len(members)).alias("sig"), "n")
-    return h.where(F.size("sig") > 0)
+    """(lang, sig, n): identical rows collapsed (partial aggregate map-side)."""
+    return row_signatures(gold, pred, members).groupBy("lang", "sig").agg(F.count("*").alias("n"))
 
 
 # Languages whose member-presence masks may be inlined as a constant map; beyond it, a shuffle join.

@@ -2,12 +2,13 @@
 
 The plain form joins predictions with gold on ``(lang, id, label)`` (two sorted shuffles) and then
 groups the pairs again per ``(model, lang, id)`` for subset accuracy (a third). Here both tables
-are unioned and aggregated once per row ``(lang, id)`` into the sorted set of
-``(label, model, value)`` entries (gold has a NULL model). The set is combined map-side, so copies
-collapse before the shuffle, and it is bounded by labels x (models + 1) x distinct values. Identical
-rows collapse in a histogram, and each distinct set is decoded into weighted pairs: per model, the
-labels with gold where that model has a value (the inner-join rule), plus whether the model got the
-whole row right. Every metric is then a partial aggregate over the weighted pairs.
+are unioned and aggregated once per row ``(lang, id)`` into the set of ``(label, model, value)``
+entries (gold has a NULL model). The set is combined map-side, so copies collapse before the shuffle,
+and it is bounded by labels x (models + 1) x distinct values. The set is then folded per cell and per
+(row, model) by aggregates on the same partitioning (no further exchange). Identical (model, row)
+signatures collapse in a histogram, and each histogram row becomes weighted pairs: the labels with
+gold where the model has a value (the inner-join rule), plus whether the model got the whole row
+right. Every metric is then a partial aggregate over the weighted pairs.
 
 A duplicated cell counts once, with the max of its values (``alignment_violations`` reports it).
 """
@@ -20,49 +21,42 @@ from pyspark.sql import functions as F
 from ..operators import metrics as M
 
 
-def _cell_max(sig, label, model=None):
-    if model is None:
-        hit = F.filter(sig, lambda e: (e["label"] == label) & e["model"].isNull())
-    else:
-        hit = F.filter(sig, lambda e: (e["label"] == label) & (e["model"] == model))
-    return F.array_max(F.transform(hit, lambda e: e["value"]))
-
-
 def weighted_pairs(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """(model, lang, n, pos, exact, rtp, rfp, rfn, rcells, label, gold, pred): ``n`` identical (lang, id)
-    rows per line; one line per paired label (``pos`` = its position in the row, so ``pos = 0`` counts
-    each row once); ``exact`` = the model got every paired label of the row right; ``r*`` = the row's
-    tp / fp / fn / paired-cell counts. One shuffle of the data rows."""
+    """(model, lang, n, pos, exact, rtp, rfp, rfn, rcells, label, gold, pred): ``n`` identical
+    (lang, id) rows of one model per line; one line per paired label (``pos`` = its position in the
+    row, so ``pos = 0`` counts each row once); ``exact`` = the model got every paired label of the row
+    right; ``r*`` = the row's tp / fp / fn / paired-cell counts.
+
+    One shuffle of the data rows, keyed by (lang, id) and combined map-side (copies collapse). The
+    per-cell and per-(row, model) folds after it are aggregates keyed by supersets of (lang, id), so
+    the shuffle's partitioning serves them without another exchange."""
     g = gold.select("lang", "id", "label", F.lit(None).cast("string").alias("model"),
                     F.col("value").cast("int").alias("value"))
     p = pred.select("lang", "id", "label", "model", F.col("value").cast("int").alias("value"))
-    rows = g.unionByName(p).groupBy("lang", "id").agg(
-        F.array_sort(F.collect_set(F.struct("label", "model", "value"))).alias("sig"))
-    h = rows.groupBy("lang", "sig").agg(F.count("*").alias("n"))
-
-    sig = F.col("sig")
-    labels = F.array_distinct(F.transform(F.filter(sig, lambda e: e["model"].isNull()), lambda e: e["label"]))
-    models = F.array_distinct(F.transform(F.filter(sig, lambda e: e["model"].isNotNull()), lambda e: e["model"]))
-
-    def per_model(m):
-        cells = F.transform(labels, lambda lab: F.struct(
-            lab.alias("label"), _cell_max(sig, lab).alias("gold"), _cell_max(sig, lab, m).alias("pred")))
-        return F.struct(m.alias("model"), F.filter(cells, lambda c: c["pred"].isNotNull()).alias("cells"))
-
-    x = h.select("lang", "n", F.explode(F.transform(models, per_model)).alias("x"))
-    x = x.select(F.col("x.model").alias("model"), "lang", "n", F.col("x.cells").alias("cells")) \
-        .where(F.size("cells") > 0)
+    rows = g.unionByName(p).groupBy("lang", "id").agg(F.collect_set(F.struct("label", "model", "value")).alias("e"))
+    ent = rows.select("lang", "id", F.explode("e").alias("e")).select("lang", "id", "e.label", "e.model", "e.value")
+    # one value per (cell, source): the max of its copies
+    src = ent.groupBy("lang", "id", "label", "model").agg(F.max("value").alias("v"))
+    member = F.col("model").isNotNull()
+    cells = src.groupBy("lang", "id", "label").agg(
+        F.max(F.when(~member, F.col("v"))).alias("gold"),
+        F.collect_list(F.when(member, F.struct("model", F.col("v").alias("pred")))).alias("preds"))
+    paired = cells.where(F.col("gold").isNotNull()).select("lang", "id", "label", "gold", F.explode("preds").alias("p"))
+    per_row = paired.groupBy("lang", "id", F.col("p.model").alias("model")).agg(
+        F.array_sort(F.collect_list(F.struct("label", "gold", F.col("p.pred").alias("pred")))).alias("sig"))
+    h = per_row.groupBy("model", "lang", "sig").agg(F.count("*").alias("n"))
+
     def count(cond):
-        return F.size(F.filter("cells", cond))
+        return F.size(F.filter("sig", cond))
 
-    # per-row counts of this model's paired cells (samples metrics, M11/M12), on histogram rows
-    x = x.select("*", F.forall("cells", lambda c: c["gold"] == c["pred"]).alias("exact"),
+    # per-row flags and counts of the model's paired cells (M4, M11/M12), on histogram rows
+    x = h.select("model", "lang", "n", "sig", F.forall("sig", lambda c: c["gold"] == c["pred"]).alias("exact"),
                  count(lambda c: (c["gold"] >= 1) & (c["pred"] >= 1)).alias("rtp"),
                  count(lambda c: (c["gold"] < 1) & (c["pred"] >= 1)).alias("rfp"),
                  count(lambda c: (c["gold"] >= 1) & (c["pred"] < 1)).alias("rfn"),
-                 F.size("cells").alias("rcells"))
+                 F.size("sig").alias("rcells"))
     return x.select("model", "lang", "n", "exact", "rtp", "rfp", "rfn", "rcells",
-                    F.posexplode("cells").alias("pos", "c")).select(
+                    F.posexplode("sig").alias("pos", "c")).select(
         "model", "lang", "n", "pos", "exact", "rtp", "rfp", "rfn", "rcells", "c.label",
         F.col("c.gold").alias("gold"), F.col("c.pred").alias("pred"))
 
