@@ -137,3 +137,18 @@ def test_compact_leaderboard_matches_brute_force(spark):
             got = per[(combo, lang)].asDict()
             for k, v in want.items():
                 assert got[k] == pytest.approx(v), (combo, lang, k)
+
+
+def test_rules_in_one_pass_equal_separate(spark):
+    """Both rules fanned out in one pass (rule column) give each single-rule result."""
+    gb, pb = fx.gold_table(spark, SF, "intensity"), fx.pred_table(spark, SF, "intensity")
+    both = {(r.rule, r.combo): r for r in L.pearson(gb, pb, MEMBERS, ["majority", "union"]).collect()}
+    for rule in ("majority", "union"):
+        one = {r.combo: r for r in L.pearson(gb, pb, MEMBERS, rule).collect()}
+        assert {c for (ru, c) in both if ru == rule} == set(one)
+        for c, r in one.items():
+            assert both[(rule, c)].n_langs == r.n_langs
+            if r.avg_pearson is None:
+                assert both[(rule, c)].avg_pearson is None
+            else:
+                assert both[(rule, c)].avg_pearson == pytest.approx(r.avg_pearson)

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import local_table
@@ -31,8 +31,14 @@ RULES = ("majority", "union")
 KINDS = ("binary", "intensity", "binary_union")
 
 
-def threshold(rule: str, r):
-    """Vote threshold for a combo of ``r`` members (Column or int)."""
+def threshold(rule, r):
+    """Vote threshold for a combo of ``r`` members (Column or int). ``rule`` is a rule name, or a
+    string Column of rule names (several rules evaluated in one pass)."""
+    if isinstance(rule, Column):
+        r = r if isinstance(r, Column) else F.lit(r)
+        return (F.when(rule == "majority", F.floor(r / 2).cast("int") + 1)
+                .when(rule == "union", F.lit(1))
+                .otherwise(F.raise_error(F.concat(F.lit("unknown rule "), rule)).cast("int")))
     if rule == "majority":
         return F.floor(r / 2).cast("int") + 1 if not isinstance(r, int) else r // 2 + 1
     if rule == "union":

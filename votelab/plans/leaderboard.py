@@ -104,20 +104,26 @@ def _decisions(rule: str, kind: str):
     return F.transform("sig", one)
 
 
-def combo_rows(gold: DataFrame, pred: DataFrame, members: list[str], rule: str, kind: str,
+def combo_rows(gold: DataFrame, pred: DataFrame, members: list[str], rule, kind: str,
                min_size: int = 2, max_size: int | None = None) -> DataFrame:
-    """(combo, lang, n, pos, label, g, p, exact): one row per (combo, histogram row, label)."""
+    """(combo, lang, n, pos, label, g, p, exact): one row per (combo, histogram row, label). With a
+    list of rules, each histogram row fans out to rules x combos in the same pass and the rows carry
+    a leading ``rule`` column."""
     h = histogram(gold, pred, members)
     # The histogram is small in bytes, so AQE would coalesce it into few tasks, but each row fans out
     # to every combo with per-row vote expressions: spread it over the cluster's cores first.
     h = h.repartition(pred.sparkSession.sparkContext.defaultParallelism)
     x = with_combos(h, pred, members, min_size, max_size)
-    d = x.select("combo", "lang", "n", _decisions(rule, kind).alias("d"))
+    lead = []
+    if isinstance(rule, (list, tuple)):
+        x = x.withColumn("rule", F.explode(F.array(*[F.lit(r) for r in rule])))
+        rule, lead = F.col("rule"), ["rule"]
+    d = x.select(*lead, "combo", "lang", "n", _decisions(rule, kind).alias("d"))
     d = d.withColumn("exact", F.forall("d", lambda t: t["g"] == t["p"]))
     # posexplode_outer: ``d`` is never empty, and the outer form avoids an inferred size(d) > 0
     # filter that would evaluate the vote expressions twice
-    return d.select("combo", "lang", "n", "exact", F.posexplode_outer("d").alias("pos", "t")) \
-        .select("combo", "lang", "n", "pos", "exact", "t.label", "t.g", "t.p")
+    return d.select(*lead, "combo", "lang", "n", "exact", F.posexplode_outer("d").alias("pos", "t")) \
+        .select(*lead, "combo", "lang", "n", "pos", "exact", "t.label", "t.g", "t.p")
 
 
 def per_language(gold: DataFrame, pred: DataFrame, members: list[str], rule: str = "majority",
@@ -150,15 +156,17 @@ def leaderboard(gold: DataFrame, pred: DataFrame, members: list[str], rule: str
                      F.lit(proc).alias("process"), "n_langs")
 
 
-def pearson(gold: DataFrame, pred: DataFrame, members: list[str], rule: str = "majority",
+def pearson(gold: DataFrame, pred: DataFrame, members: list[str], rule="majority",
             min_size: int = 2, max_size: int | None = None) -> DataFrame:
-    """Per combo, mean over languages of the mean over labels of Pearson r (intensities)."""
+    """Per combo, mean over languages of the mean over labels of Pearson r (intensities). With a
+    list of rules, all of them come from one pass (a leading ``rule`` column)."""
     rows = combo_rows(gold, pred, members, rule, "intensity", min_size, max_size)
-    weighted = rows.select("combo", "lang", "label", F.col("g").alias("gold"), F.col("p").alias("pred"), "n")
-    per_label = M.pearson_per_label(weighted, ["combo", "lang"])
-    per_lang = per_label.groupBy("combo", "lang").agg(F.avg("pearson").alias("pearson"))
-    return per_lang.groupBy("combo").agg(F.avg("pearson").alias("avg_pearson"),
-                                         F.count("pearson").alias("n_langs"))
+    lead = ["rule"] if isinstance(rule, (list, tuple)) else []
+    weighted = rows.select(*lead, "combo", "lang", "label", F.col("g").alias("gold"), F.col("p").alias("pred"), "n")
+    per_label = M.pearson_per_label(weighted, [*lead, "combo", "lang"])
+    per_lang = per_label.groupBy(*lead, "combo", "lang").agg(F.avg("pearson").alias("pearson"))
+    return per_lang.groupBy(*lead, "combo").agg(F.avg("pearson").alias("avg_pearson"),
+                                                F.count("pearson").alias("n_langs"))
 
 
 def ensemble_votes(pred: DataFrame, members: list[str], rule: str = "majority", kind: str = "binary",

@@ -89,9 +89,9 @@ def eval_models_intensity(spark: SparkSession, sf: str) -> DataFrame:
 def pearson_intensity(spark: SparkSession, sf: str) -> DataFrame:
     """Mean Pearson r per combo for both rules (intensities)."""
     g, p = fx.gold_table(spark, sf, "intensity"), fx.pred_table(spark, sf, "intensity")
-    maj = L.pearson(g, p, MEMBERS, "majority").withColumn("process", F.lit("majority voting"))
-    uni = L.pearson(g, p, MEMBERS, "union").withColumn("process", F.lit("union rule"))
-    return _r(maj.unionByName(uni).withColumnRenamed("combo", "model"))
+    both = L.pearson(g, p, MEMBERS, ["majority", "union"])  # both rules in one pass
+    process = F.when(F.col("rule") == "majority", F.lit("majority voting")).otherwise(F.lit("union rule"))
+    return _r(both.select(F.col("combo").alias("model"), "avg_pearson", "n_langs", process.alias("process")))
 
 
 # ---------------------------------------------------------------- M1-M6, M15 per language
