@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import oracle as O
-from ..operators import ensemble as E
 from ..operators import metrics as M
 from ..registry import register
 from ..sources import fixtures as fx
@@ -27,13 +26,6 @@ def _r(df: DataFrame) -> DataFrame:
     return M.round_doubles(df, 6)
 
 
-def _pairs(spark: SparkSession, sf: str, kind: str = "binary") -> DataFrame:
-    """Single-model predictions aligned with gold on (lang, id, label): (model, lang, id, label, gold, pred)."""
-    g = fx.gold_table(spark, sf, kind).withColumnRenamed("value", "gold")
-    p = fx.pred_table(spark, sf, kind).withColumnRenamed("value", "pred")
-    return p.join(g, ["lang", "id", "label"])
-
-
 def _wpairs(spark: SparkSession, sf: str, kind: str = "binary", models: list[str] | None = None) -> DataFrame:
     """The same pairs as weighted lines from one (lang, id) aggregate (see :mod:`.paired`)."""
     p = fx.pred_table(spark, sf, kind)

@@ -17,7 +17,7 @@ from ..sources import fixtures as fx
 from ..sources import gates as G
 from . import leaderboard as L
 from . import paired as PA
-from .queries import FIXED_COMBO, FIXED_PAIR, FIXED_PAIR_UNION, MEMBERS, _pairs, _r, _wpairs
+from .queries import FIXED_COMBO, FIXED_PAIR, FIXED_PAIR_UNION, MEMBERS, _r, _wpairs
 
 W = fx.with_ctes
 R6 = O.r6
