@@ -57,18 +57,23 @@ def histogram(gold: DataFrame, pred: DataFrame, members: list[str]) -> DataFrame
     return row_signatures(gold, pred, members).groupBy("lang", "sig").agg(F.count("*").alias("n"))
 
 
-# Languages whose member-presence masks may be inlined as a constant map; beyond it, a shuffle join.
+# Languages whose member-presence masks may be inlined as a constant map; up to MAX_BROADCAST_LANGS
+# (one ~50-byte row each) the presence table is broadcast, beyond it a plain join.
 MAX_INLINE_LANGS = 4096
+MAX_BROADCAST_LANGS = 1_000_000
 
 
 def presence_by_language(pred: DataFrame, members: list[str]):
     """Per-language member-presence bitmask as a constant map Column when there are at most
     MAX_INLINE_LANGS languages (one small partial aggregate, read with a bounded ``limit``), else
-    the (lang, lang_pres) DataFrame for a join."""
+    the (lang, lang_pres) DataFrame for a join: broadcast when a second bounded count proves it has
+    at most MAX_BROADCAST_LANGS rows (so data-sized rows are never shuffled by language), else plain."""
     mdf = E.members_frame(pred.sparkSession, members)
     pres = E.lang_presence(pred, mdf)
     rows = pres.limit(MAX_INLINE_LANGS + 1).collect()
     if len(rows) > MAX_INLINE_LANGS:
+        if pres.limit(MAX_BROADCAST_LANGS + 1).count() <= MAX_BROADCAST_LANGS:
+            return F.broadcast(pres)
         return pres
     if not rows:
         return F.create_map().cast("map<string,bigint>")
