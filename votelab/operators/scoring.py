@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import ship_package
 
 SCORES_SCHEMA = "lang string, model string, id long, label string, score double"
 
@@ -65,6 +66,7 @@ def score_texts(texts: DataFrame, factory=None, key: str = "lexicon", preprocess
     """Long scores for every text. ``factory()`` builds the scorer once per Python worker.
     ``carry`` names extra key columns passed through to the output (after ``id``)."""
     factory = factory or (lambda: LexiconScorer(DEFAULT_LEXICON))
+    ship_package(texts.sparkSession)  # the batch function below runs this package's code in workers
     t = X.preprocess_text("text") if preprocess else F.col("text")
     prepared = texts.select("lang", F.col("id").cast("long").alias("id"), *carry,
                             X.truncate_words(t, max_words).alias("text"))

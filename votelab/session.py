@@ -65,6 +65,41 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers (needed by ``mapInPandas`` functions that
+    use it), once per application: its ``.py`` files are zipped, written into the shared scratch
+    folder through the Hadoop file system, and added with ``addPyFile``. Deployments that already ship
+    the package (``--py-files``) only pay one small file."""
+    import io
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    top = os.path.dirname(pkg)
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, top))
+    path = scratch_path(spark, "votelab-pkg") + ".zip"
+    jvm = spark._jvm
+    hp = jvm.org.apache.hadoop.fs.Path(path)
+    out = hp.getFileSystem(spark._jsc.hadoopConfiguration()).create(hp)
+    try:
+        out.write(bytearray(buf.getvalue()))
+    finally:
+        out.close()
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
