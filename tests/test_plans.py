@@ -71,3 +71,5 @@ def test_model_eval_has_no_data_join(spark):
                                       ["model", "lang"]))
     assert "SortMergeJoin" not in plan
     assert len(re.findall(r"hashpartitioning\(lang#\d+, id#\d+L?, \d+\)", plan)) == 1, plan
+    # the per-cell and per-(row, model) folds reuse that partitioning
+    assert not re.findall(r"hashpartitioning\(lang#\d+, id#\d+L?, (label|model)#", plan)
