@@ -94,3 +94,25 @@ def test_score_texts_batches(spark):
     assert set(got) == {(1, "quality"), (1, "toxic"), (2, "quality"), (2, "toxic")}
     assert got[(1, "toxic")] > 0.5 and got[(2, "toxic")] == 0.0
     assert got[(2, "quality")] > 0.5
+
+
+def test_scorer_runs_when_launched_outside_the_repo():
+    """Python workers import the package from the shipped zip, not from the launch folder."""
+    import os
+    import subprocess
+    import sys
+    import tempfile
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        "import sys; sys.path.insert(0, %r)\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false')"
+        ".config('spark.checkpoint.dir', %r).getOrCreate()\n"
+        "import __spark_entry__ as e\n"
+        "print('ROWS', e.queries()['score_texts'](s, '/root/testdata/sf0.001').count(), file=sys.stderr)\n"
+    ) % (root, tempfile.mkdtemp(prefix="votelab-ship-"))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tempfile.mkdtemp(prefix="votelab-cwd-"),
+                         capture_output=True, text=True, timeout=600, env=env)
+    assert "ROWS 400" in out.stderr, out.stderr[-2000:]
