@@ -138,6 +138,34 @@ def intensity_for_sql(pairs: str, label: str) -> str:
     return f"coalesce(list_filter({pairs}, lambda x: x.label = {label})[-1].v, 0)"
 
 
+# (lang, label) pairs of a label catalog inlined as a constant map; up to MAX_BROADCAST_CATALOG the
+# catalog is broadcast, beyond it a plain join.
+MAX_INLINE_CATALOG = 4096
+MAX_BROADCAST_CATALOG = 1_000_000
+
+
+def with_language_labels(df, catalog):
+    """Each row of ``df`` once per label its language has (the rows of a language without labels
+    drop out), as an inner join with the catalog on ``lang`` would give. The catalog is read with a
+    bounded ``limit``: when small, the fan-out is an ``explode`` of a constant lang -> labels map (no
+    join, no shuffle, also for streams); else a broadcast join when a second bounded count proves its
+    size, else a plain join. Data-sized rows are never shuffled by language."""
+    cat = catalog.select("lang", "label")
+    rows = cat.limit(MAX_INLINE_CATALOG + 1).collect()
+    if len(rows) > MAX_INLINE_CATALOG:
+        if cat.limit(MAX_BROADCAST_CATALOG + 1).count() <= MAX_BROADCAST_CATALOG:
+            return df.join(F.broadcast(cat), "lang")
+        return df.join(cat, "lang")
+    by_lang: dict = {}
+    for r in rows:
+        if r.lang is not None:
+            by_lang.setdefault(r.lang, []).append(r.label)
+    if not by_lang:
+        return df.where(F.lit(False)).withColumn("label", F.lit(None).cast("string"))
+    m = F.create_map(*[x for k, labs in by_lang.items() for x in (F.lit(k), F.array(*[F.lit(v) for v in labs]))])
+    return df.select("*", F.explode(F.element_at(m, F.col("lang"))).alias("label"))
+
+
 def decode_scores(scores, catalog, mode: str = "binary"):
     """Scorer output (lang, model, id, label, score) -> (lang, model, id, label, value) for
     every label the language's gold has: label names lower-cased, unknown labels ignored, a label the
@@ -145,11 +173,11 @@ def decode_scores(scores, catalog, mode: str = "binary"):
 
     Both sides are aggregated before they meet (partial aggregates, bounded state): the decoded
     values per cell, and the texts per (lang, model, id) fanned out to their language's labels
-    (an equi-join with the label catalog). The final left join is on unique keys."""
+    (:func:`with_language_labels`). The final left join is on unique keys."""
     dec = score_to_binary if mode == "binary" else score_to_intensity
     vals = scores.select("lang", "model", "id", F.lower("label").alias("label"), dec("score").alias("v")) \
         .groupBy("lang", "model", "id", "label").agg(F.max("v").alias("v"))
-    grid = scores.select("lang", "model", "id").distinct().join(catalog.select("lang", "label"), "lang")
+    grid = with_language_labels(scores.select("lang", "model", "id").distinct(), catalog)
     return grid.join(vals, ["lang", "model", "id", "label"], "left").select(
         "lang", "model", "id", "label", F.coalesce("v", F.lit(0)).cast("int").alias("value"))
 
@@ -157,11 +185,10 @@ def decode_scores(scores, catalog, mode: str = "binary"):
 def parse_replies(replies, catalog, kind: str = "labels"):
     """Raw replies (lang, id, raw) -> (lang, id, label, value) for the language's labels."""
     content = reply_content("raw")
-    cat = catalog.select("lang", "label")  # small (languages x labels): AQE broadcasts it by size
     if kind == "labels":
         parsed = replies.select("lang", "id", label_list(content).alias("items"))
-        x = parsed.join(cat, "lang")
+        x = with_language_labels(parsed, catalog)
         return x.select("lang", "id", "label", label_flag("items", "label").alias("value"))
     parsed = replies.select("lang", "id", intensity_pairs(content).alias("pairs"))
-    x = parsed.join(cat, "lang")
+    x = with_language_labels(parsed, catalog)
     return x.select("lang", "id", "label", intensity_for("pairs", "label").cast("int").alias("value"))
