@@ -145,3 +145,24 @@ def test_training_metrics_weighted_equal_join_path(spark):
     for m, row in want.items():
         for k in ("overall_accuracy", "samples_accuracy", "overall_f1", "samples_f1"):
             assert got[m][k] == pytest.approx(row[k]), (m, k)
+
+
+def test_language_label_fanout_inline_equals_join(spark, monkeypatch):
+    """The constant-map fan-out / filter and the broadcast-join fallback give the same rows and columns."""
+    from votelab.functions import decode as D
+
+    rows = spark.createDataFrame([("de", 1, "x"), ("de", 2, "z"), ("fr", 3, "x"), ("it", 4, "x")],
+                                 "lang string, id long, label string")
+    keys = rows.select("lang", "id").distinct()
+    cat = spark.createDataFrame([("de", "x"), ("de", "y"), ("fr", "x")], "lang string, label string")
+
+    def run():
+        fan = D.with_language_labels(keys, cat)
+        kept = D.in_language_labels(rows, cat)
+        return (fan.columns, sorted(map(tuple, fan.collect())), kept.columns, sorted(map(tuple, kept.collect())))
+
+    inline = run()
+    monkeypatch.setattr(D, "MAX_INLINE_CATALOG", 0)
+    assert run() == inline
+    assert inline[1] == [("de", 1, "x"), ("de", 1, "y"), ("de", 2, "x"), ("de", 2, "y"), ("fr", 3, "x")]
+    assert inline[3] == [("de", 1, "x"), ("fr", 3, "x")]

@@ -144,25 +144,48 @@ MAX_INLINE_CATALOG = 4096
 MAX_BROADCAST_CATALOG = 1_000_000
 
 
-def with_language_labels(df, catalog):
-    """Each row of ``df`` once per label its language has (the rows of a language without labels
-    drop out), as an inner join with the catalog on ``lang`` would give. The catalog is read with a
-    bounded ``limit``: when small, the fan-out is an ``explode`` of a constant lang -> labels map (no
-    join, no shuffle, also for streams); else a broadcast join when a second bounded count proves its
-    size, else a plain join. Data-sized rows are never shuffled by language."""
+def _labels_map(catalog):
+    """(constant lang -> labels map Column, catalog) when the catalog has at most MAX_INLINE_CATALOG
+    rows (bounded read), else (None, catalog); an empty catalog gives an empty map."""
     cat = catalog.select("lang", "label")
     rows = cat.limit(MAX_INLINE_CATALOG + 1).collect()
     if len(rows) > MAX_INLINE_CATALOG:
-        if cat.limit(MAX_BROADCAST_CATALOG + 1).count() <= MAX_BROADCAST_CATALOG:
-            return df.join(F.broadcast(cat), "lang")
-        return df.join(cat, "lang")
+        return None, cat
     by_lang: dict = {}
     for r in rows:
         if r.lang is not None:
             by_lang.setdefault(r.lang, []).append(r.label)
     if not by_lang:
-        return df.where(F.lit(False)).withColumn("label", F.lit(None).cast("string"))
-    m = F.create_map(*[x for k, labs in by_lang.items() for x in (F.lit(k), F.array(*[F.lit(v) for v in labs]))])
+        return F.create_map().cast("map<string,array<string>>"), cat
+    return F.create_map(*[x for k, labs in by_lang.items()
+                          for x in (F.lit(k), F.array(*[F.lit(v) for v in labs]))]), cat
+
+
+def _join_catalog(df, cat, on, how: str = "inner"):
+    """Join with a catalog too large to inline: broadcast behind a second bounded count, else plain."""
+    if cat.limit(MAX_BROADCAST_CATALOG + 1).count() <= MAX_BROADCAST_CATALOG:
+        return df.join(F.broadcast(cat), on, how)
+    return df.join(cat, on, how)
+
+
+def in_language_labels(df, catalog):
+    """Rows of ``df`` whose (lang, label) is in the catalog, as a left semi join would keep: a filter
+    on a constant map when the catalog is small, else a size-checked broadcast semi join."""
+    m, cat = _labels_map(catalog)
+    if m is None:
+        return _join_catalog(df, cat, ["lang", "label"], "left_semi").select(*df.columns)
+    return df.where(F.coalesce(F.array_contains(F.element_at(m, F.col("lang")), F.col("label")), F.lit(False)))
+
+
+def with_language_labels(df, catalog):
+    """Each row of ``df`` once per label its language has (the rows of a language without labels
+    drop out), as an inner join with the catalog on ``lang`` would give. The catalog is read with a
+    bounded ``limit``: when small, the fan-out is an ``explode`` of a constant lang -> labels map (no
+    join, no shuffle, also for streams); else a broadcast join when a second bounded count proves its
+    size, else a plain join. Data-sized rows are never shuffled by language."""
+    m, cat = _labels_map(catalog)
+    if m is None:
+        return _join_catalog(df, cat, "lang").select(*df.columns, "label")
     return df.select("*", F.explode(F.element_at(m, F.col("lang"))).alias("label"))
 
 

@@ -115,9 +115,10 @@ def process_name(flags: dict) -> Column:
 
 
 def restrict_labels(pred: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Keep only the (lang, label) cells the gold has (the catalog is languages x labels; AQE
-    broadcasts it when its measured size allows)."""
-    return pred.join(catalog, ["lang", "label"], "left_semi")
+    """Keep only the (lang, label) cells the gold has: a filter on the constant lang -> labels map
+    when the catalog is small (bounded read), else a size-checked broadcast semi join."""
+    from ..functions.decode import in_language_labels
+    return in_language_labels(pred, catalog)
 
 
 def langs_without_labels(texts: DataFrame, catalog: DataFrame) -> DataFrame:
