@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import bpe
+from . import bpe, langid, nbsvm, rules
+from .common import crc_mod
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -39,3 +40,35 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode(docs, word_vocabulary(), decoded="decoded")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), id_digest(F.col("ids")).alias("ids_sha256"),
                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def language_model(docs: DataFrame) -> langid.Model:
+    """Learned from the rows outside the held-out fold only."""
+    return langid.train(docs.where(crc_mod("doc_id", 4) != 2))
+
+
+@query("op4_language_id")
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document."""
+    docs = read_table(spark, sf_dir, "documents")
+    out = langid.identify(docs.select("doc_id", "text"), language_model(docs))
+    return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query("op9_quality_rules")
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").where(crc_mod("doc_id", 4) != 2)
+    out = rules.apply_rules(docs, rules.train(docs, labels))
+    return out.select("doc_id", *rules.COUNTS, "base_failed", "score", "kept")
+
+
+@query("op10_quality")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").where(crc_mod("doc_id", 4) != 2)
+    out = nbsvm.score(docs, nbsvm.train(docs, labels))
+    return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score",
+                      (F.col("score") >= 0.7).cast("int").alias("predicted"))

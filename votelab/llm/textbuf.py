@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 GROUP_BYTES = 2 << 20   # documents are handled in groups of about this many bytes
-_STEP = 1 << 16         # bytes hashed at once; keeps the temporary arrays in the CPU cache
+_STEP = 1 << 16         # bytes hashed at once (2^16); keeps the temporary arrays in the CPU cache
 
 _rng = np.random.default_rng(20240607)
 BYTE_CODE = _rng.integers(1, 2**64, 256, dtype=np.uint64) | np.uint64(1)
@@ -24,7 +24,15 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INV = np.uint64(pow(int(BASE), -1, 2**64))
 IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[[0x20, 9, 10, 11, 12, 13]] = False
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+_UP, _DOWN = _powers(BASE, _STEP + 1), _powers(BASE_INV, _STEP + 1)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -37,16 +45,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(17, int(n).bit_length())
-    if size not in _powers:
-        f, b = np.full(size, BASE), np.full(size, BASE_INV)
-        f[0] = b[0] = 1
-        _powers.clear()
-        _powers[size] = np.cumprod(f), np.cumprod(b)
-    return _powers[size]
-
-
 class Group(NamedTuple):
     """Neighbouring documents of one batch: their bytes, where each starts, and the first one's row."""
     first: int
@@ -109,21 +107,21 @@ def words(g: Group, lower: bool = True) -> Words:
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the ascending, disjoint byte spans ``start:end``."""
-    out = np.empty(len(start), np.uint64)
-    i = 0
-    while i < len(start):
-        j = max(i + 1, int(np.searchsorted(start, start[i] + _STEP)))
-        if end[j - 1] - start[i] > 2 * _STEP and j - i > 1:
-            j -= 1
-        a, b = int(start[i]), int(end[j - 1])
-        up, down = _power_tables(b - a)
-        total = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(code[data[a:b]] * up[: b - a], out=total[1:])
-        s, e = start[i:j] - a, end[i:j] - a
-        out[i:j] = (total[e] - total[s]) * down[s]
-        i = j
-    return mix(out)
+    """64-bit hashes of byte spans whose starts and ends both ascend: differences of running sums, which are
+    formed block by block so that their memory doesn't grow with a text's length."""
+    blocks = max(1, -(-len(data) // _STEP))
+    up, down = _powers(_UP[_STEP], blocks), _powers(_DOWN[_STEP], blocks + 1)
+    at_start, at_end = np.zeros(len(start), np.uint64), np.zeros(len(end), np.uint64)
+    s, e = (np.searchsorted(x, np.arange(blocks + 1) * _STEP, side="right") for x in (start, end))
+    carry = np.zeros(1, np.uint64)
+    for b in range(blocks):
+        lo = b * _STEP
+        part = data[lo: lo + _STEP]
+        total = np.cumsum(code[part] * _UP[: len(part)]) * up[b] + carry
+        at_start[s[b]: s[b + 1]] = total[start[s[b]: s[b + 1]] - lo - 1]
+        at_end[e[b]: e[b + 1]] = total[end[e[b]: e[b + 1]] - lo - 1]
+        carry = total[-1:]
+    return mix((at_end - at_start) * _DOWN[start & (_STEP - 1)] * down[start >> 16])
 
 
 def windows(h: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
