@@ -7,8 +7,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import local_table
 from ..sources.tables import read_table
-from . import bpe, langid, nbsvm, rules
+from . import bpe, chat, langid, nbsvm, rules
 from .common import crc_mod
 
 QUERIES = {}
@@ -72,3 +73,35 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = nbsvm.score(docs, nbsvm.train(docs, labels))
     return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score",
                       (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+#: Conversation -1 of the contract, beside the table's.
+CONTROL_TURNS = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+_CHAT_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (
+  SELECT *, length(regexp_replace(text, '([<\[])(\\*/?(?:s>|INST\]))', '\1\\\2', 'g')) AS body,
+    length(regexp_replace(replace(replace(role, '\', '\b'), chr(10), '\n'), '([<\[])(\\*/?(?:s>|INST\]))', '\1\\\2', 'g')) AS head
+  FROM t)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum(CASE WHEN role = 'assistant' THEN body + 4 ELSE 14 + head + body END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+@query("op5_chat", _CHAT_SQL)
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted, and what can be read back from the formatted string and its mask."""
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = local_table(spark, CONTROL_TURNS, "conv_id bigint, turn bigint, role string, text string")
+    out = chat.format_events(chat.turn_events(turns.unionByName(more)))
+    read = out.select("conv_id", "formatted", chat.parse(F.col("formatted")).alias("turns"), chat.loss_text(F.col("pieces")).alias("loss"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+                       F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+                       F.char_length("formatted").cast("long").alias("formatted_chars"))
