@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import local_table
 from ..sources.tables import read_table
-from . import bpe, chat, langid, nbsvm, rules
+from . import bpe, chat, langid, nbsvm, neardup, rules
 from .common import crc_mod
 
 QUERIES = {}
@@ -105,3 +105,9 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
                        F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
                        F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query("op8_near_dedup")
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return neardup.link(read_table(spark, sf_dir, "documents"))
