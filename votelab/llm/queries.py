@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import local_table
 from ..sources.tables import read_table
-from . import bpe, chat, langid, nbsvm, neardup, rules
+from . import bpe, chat, decontam, langid, nbsvm, neardup, rules
 from .common import crc_mod
 
 QUERIES = {}
@@ -111,3 +111,25 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return neardup.link(read_table(spark, sf_dir, "documents"))
+
+
+_SHINGLES_SQL = """
+  SELECT {id}, unnest(list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s
+  FROM (SELECT {id}, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+        FROM {table}) WHERE len(w) >= 5"""
+_LEAKS_SQL = f"""
+WITH d AS ({_SHINGLES_SQL.format(id="doc_id", table="documents")}),
+i AS ({_SHINGLES_SQL.format(id="item_id", table="benchmark")}),
+n AS (SELECT item_id, count(*) AS n_shingles FROM i GROUP BY item_id)
+SELECT d.doc_id, i.item_id, n.n_shingles, count(*) AS n_common
+FROM d JOIN i ON d.s = i.s JOIN n ON n.item_id = i.item_id
+GROUP BY d.doc_id, i.item_id, n.n_shingles HAVING 100 * count(*) >= 80 * n.n_shingles
+"""
+
+
+@query("op7_decontamination", _LEAKS_SQL)
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, benchmark item) of which the document contains at least 0.8 of the item's shingles."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontam.contained(docs, read_table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", "leak.n_shingles", "leak.n_common")
