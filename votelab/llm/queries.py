@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import local_table
 from ..sources.tables import read_table
-from . import bpe, chat, decontam, langid, nbsvm, neardup, rules
+from . import bpe, chat, decontam, langid, nbsvm, neardup, rules, substrings
 from .common import crc_mod
 
 QUERIES = {}
@@ -133,3 +133,9 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontam.contained(docs, read_table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", "leak.n_shingles", "leak.n_common")
+
+
+@query("op3_substrings")
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of 50 words or more that a document repeats from another."""
+    return substrings.passages(read_table(spark, sf_dir, "documents"))
