@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import local_table
 from ..sources.tables import read_table
-from . import bpe, chat, decontam, langid, nbsvm, neardup, rules, substrings
+from . import bpe, chat, decontam, langid, loglinear, nbsvm, neardup, rules, substrings
 from .common import crc_mod
 
 QUERIES = {}
@@ -139,3 +139,9 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every passage of 50 words or more that a document repeats from another."""
     return substrings.passages(read_table(spark, sf_dir, "documents"))
+
+
+@query("op6_lm_scores")
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of every document."""
+    return loglinear.scores(read_table(spark, sf_dir, "documents"), crc_mod("doc_id", 10) != 0)
