@@ -5,8 +5,9 @@ certain cut: a word is split at all such pairs, the fragments are merged indepen
 their ids are concatenated. The result equals merging the whole word.
 
 Defined results: a null or empty text has no ids and decodes to the empty string; special tokens in a text
-are matched before normalisation, as the vocabulary file says; input columns pass through unread, and an
-output name that the input already has is an error of the caller, so pass other names.
+are matched before normalisation, as the vocabulary file says; other input columns pass through unread, and
+an output column takes the place of an input column of its name. Letters of Unicode versions that the
+installed libraries don't agree on may be split otherwise than by other libraries.
 """
 
 from __future__ import annotations
@@ -16,16 +17,14 @@ import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import prepare
+from .common import extend
 
 CACHE_WORDS = 350_000   # recent words whose ids a worker remembers, and as many older ones
 CACHE_CHARS = 64        # longer words are not remembered
@@ -188,61 +187,34 @@ def load_spec(path: str) -> str:
         return f.read()
 
 
-def _run(df: DataFrame, add: list[T.StructField], make) -> DataFrame:
-    if clash := set(df.columns) & {f.name for f in add}:
-        raise ValueError(f"output names {sorted(clash)} are already columns of the input")
-    return df.mapInArrow(make, T.StructType([*df.schema.fields, *add]))
-
-
 def _ids_array(parts: list[bytes]) -> pa.ListArray:
     off = np.zeros(len(parts) + 1, np.int32)
     np.cumsum([len(p) // 4 for p in parts], out=off[1:])
     return pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
 
-def _pieces(batches, col: str, most: int = 8 << 20):
-    """Slices of the batches with at most about ``most`` bytes of ``col``."""
-    for b in batches:
-        i, n = 0, b.num_rows
-        if n == 0:
-            yield b
-            continue
-        size = np.cumsum(np.maximum(np.asarray(pc.binary_length(b.column(col)).fill_null(0)).astype(np.int64), 1))
-        while i < n:
-            j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + most, side="right")))
-            yield b.slice(i, j - i)
-            i = j
-
-
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """``df`` with the token ids of ``text``, and with their decoded text too where ``decoded`` names it."""
-    spark = df.sparkSession
-    prepare(spark)
-    spec = spark.sparkContext.broadcast(load_spec(path))
+    spec = df.sparkSession.sparkContext.broadcast(load_spec(path))
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compute(b: pa.RecordBatch) -> list:
         codec = _codec(spec.value)
-        for b in _pieces(batches, text):
-            parts = [codec.encode(t) if t else b"" for t in b.column(text).to_pylist()]
-            cols = [*b.columns, _ids_array(parts)]
-            if decoded:
-                cols.append(pa.array([codec.decode(np.frombuffer(p, np.int32)) for p in parts], pa.string()))
-            yield pa.RecordBatch.from_arrays(cols, [*b.schema.names, ids, *([decoded] if decoded else [])])
+        parts = [codec.encode(t) if t else b"" for t in b.column(text).to_pylist()]
+        out = [_ids_array(parts)]
+        if decoded:
+            out.append(pa.array([codec.decode(np.frombuffer(p, np.int32)) for p in parts], pa.string()))
+        return out
 
     add = [T.StructField(ids, T.ArrayType(T.IntegerType()))]
-    return _run(df, add + ([T.StructField(decoded, T.StringType())] if decoded else []), make)
+    return extend(df, text, add + ([T.StructField(decoded, T.StringType())] if decoded else []), compute)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the text of its id lists (null reads as empty; special tokens are kept)."""
-    spark = df.sparkSession
-    prepare(spark)
-    spec = spark.sparkContext.broadcast(load_spec(path))
+    spec = df.sparkSession.sparkContext.broadcast(load_spec(path))
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compute(b: pa.RecordBatch) -> list:
         codec = _codec(spec.value)
-        for b in batches:
-            texts = [codec.decode(np.array(x, np.int32)) if x else "" for x in b.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, out])
+        return [pa.array([codec.decode(np.array(x, np.int32)) if x else "" for x in b.column(ids).to_pylist()], pa.string())]
 
-    return _run(df, [T.StructField(out, T.StringType())], make)
+    return extend(df, ids, [T.StructField(out, T.StringType())], compute)

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import scratch_path, ship_package
 
@@ -32,3 +37,32 @@ def fresh(prefix: str) -> str:
 def crc_mod(doc_id, m: int):
     """crc32 of the id's decimal text, modulo ``m``: the fixed folds of training and held-out rows."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % m
+
+
+def pieces(batches: Iterator[pa.RecordBatch], col: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with at most about ``most`` bytes of ``col``, or one longer value."""
+    for b in batches:
+        i, n = 0, b.num_rows
+        if n == 0:
+            continue
+        length = pc.list_value_length if pa.types.is_list(b.column(col).type) else pc.binary_length
+        size = np.cumsum(np.maximum(np.asarray(length(b.column(col)).fill_null(0)).astype(np.int64), 1))
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + most, side="right")))
+            yield b.slice(i, j - i)
+            i = j
+
+
+def extend(df: DataFrame, read: str, fields: list[T.StructField], compute: Callable[[pa.RecordBatch], list], most: int = 8 << 20) -> DataFrame:
+    """``df`` with new columns that ``compute`` derives from slices of at most about ``most`` bytes of the column
+    ``read``. A new column takes the place of one of the same name (in any letter case)."""
+    prepare(df.sparkSession)
+    new = [f.name for f in fields]
+    kept = [f for f in df.schema.fields if f.name.lower() not in {n.lower() for n in new}]
+    names = [f.name for f in kept]
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, read, most):
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *compute(b)], [*names, *new])
+
+    return df.mapInArrow(make, T.StructType([*kept, *fields]))

@@ -13,13 +13,11 @@ block, so neither side needs a shuffle and no document is held with another.
 
 Defined results: items with fewer than ``k`` words (null and empty ones too) have no shingle and are found
 nowhere; null, empty and short documents contain nothing; repeated items are reported each; the documents'
-other columns pass through unread.
+other columns pass through unread, and the output takes the place of a column of its name.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,8 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbuf as tb
-from .bpe import _pieces
-from .common import prepare
+from .common import extend
 
 HASHES = 40
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 32_000_000
@@ -146,33 +143,25 @@ def contained(docs: DataFrame, items: DataFrame, text: str = "text", item_id: st
               k: int = 5, percent: int = 80, out: str = "leaks") -> DataFrame:
     """``docs`` with ``out``: an array of ``(item_id, n_shingles, n_common)`` for every item of which at least
     ``percent`` hundredths of the distinct ``k``-word shingles occur in the document."""
-    if out in docs.columns:
-        raise ValueError(f"output name {out} is already a column of the input")
     spark = docs.sparkSession
-    prepare(spark)
     kind = items.schema[item_id].dataType
     leak = T.ArrayType(T.StructType([T.StructField("item_id", kind), T.StructField("n_shingles", T.LongType()), T.StructField("n_common", T.LongType())]))
     asked = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("t is not null")
     many = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("c")).first()
     blocks = max(1, -(-many["n"] // BLOCK_ITEMS), -(-many["c"] // BLOCK_CHARS))
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, leak)])
     done = docs.withColumn(out, F.array().cast(leak))
     for block in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()
         rows.sort(key=lambda r: (r["i"] is None, r["i"], r["t"]))
         shared = spark.sparkContext.broadcast(([r["i"] for r in rows], Index([r["t"] for r in rows], k)))
 
-        def make(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def compute(b: pa.RecordBatch, shared=shared) -> list:
             names, index = shared.value
-            for b in _pieces(batches, text):
-                had = b.column(out).to_pylist() if blocks > 1 else [[]] * b.num_rows
-                got: dict[int, list] = {}
-                for g in tb.groups(b.column(text), 1 << 19):
-                    for d, i, c in index.search(g, percent):
-                        got.setdefault(g.first + d, []).append({"item_id": names[i], "n_shingles": len(index.sets[i]), "n_common": c})
-                new = [h + got[r] if r in got else h for r, h in enumerate(had)]
-                cols = [pa.array(new, b.schema.field(out).type) if f.name == out else b.column(f.name) for f in b.schema]
-                yield pa.RecordBatch.from_arrays(cols, b.schema.names)
-
-        done = done.mapInArrow(make, schema)
+            got: list[list] = b.column(out).to_pylist() if blocks > 1 else [[] for _ in range(b.num_rows)]
+            for g in tb.groups(b.column(text), 1 << 19):
+                for d, i, c in index.search(g, percent):
+                    got[g.first + d].append({"item_id": names[i], "n_shingles": len(index.sets[i]), "n_common": c})
+            return [pa.array(got, b.schema.field(out).type)]
+
+        done = extend(done, text, [T.StructField(out, leak)], compute)
     return done

@@ -9,7 +9,7 @@ showed is not accepted.
 Defined results: a null text or one without a letter is ``und`` with score 0 and not accepted; among equal
 languages the alphabetically first wins; rows without a language are never learned from; with no row to
 learn from, every text is ``und``. Repeated rows count as often as they occur. Other input columns pass
-through unread.
+through unread; an output column takes the place of an input column of its name.
 
 Fitting uses a bounded sample: about ``sample_docs`` texts of at most ``sample_chars`` characters for each
 language, drawn by a hash of the id. Prediction covers every row and whole texts.
@@ -17,7 +17,6 @@ language, drawn by a hash of the id. Prediction covers every row and whole texts
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -26,8 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import _pieces
-from .common import prepare
+from .common import extend
 from .textbuf import mix
 
 ORDER = 4
@@ -283,21 +281,12 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
 def identify(df: DataFrame, model: Model, text: str = "text", lang_pred: str = "lang_pred", score: str = "score",
              accepted: str = "accepted") -> DataFrame:
     """``df`` with the predicted language, its posterior score and whether the text is accepted."""
-    if clash := set(df.columns) & {lang_pred, score, accepted}:
-        raise ValueError(f"output names {sorted(clash)} are already columns of the input")
-    spark = df.sparkSession
-    prepare(spark)
-    shared = spark.sparkContext.broadcast(model)
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        names = np.array([*m.langs, UNKNOWN], object)
-        for b in _pieces(batches, text, 1 << 19):
-            who, s, ok = m.predict([t or "" for t in b.column(text).to_pylist()])
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(names[who], pa.string()), pa.array(s, pa.float64()), pa.array(ok)],
-                [*b.schema.names, lang_pred, score, accepted])
-
-    add = [T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType()),
-           T.StructField(accepted, T.BooleanType())]
-    return df.mapInArrow(make, T.StructType([*df.schema.fields, *add]))
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def compute(b: pa.RecordBatch) -> list:
+        names = np.array([*shared.value.langs, UNKNOWN], object)
+        who, s, ok = shared.value.predict([t or "" for t in b.column(text).to_pylist()])
+        return [pa.array(names[who], pa.string()), pa.array(s, pa.float64()), pa.array(ok)]
+
+    return extend(df, text, [T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType()),
+                             T.StructField(accepted, T.BooleanType())], compute, 1 << 19)

@@ -28,8 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbuf as tb
-from .bpe import _pieces
-from .common import prepare, written
+from .common import pieces, prepare, written
 
 CLASSES, WIDTH = 2048, 16
 BLOCK_BYTES = 6 << 20
@@ -58,7 +57,7 @@ def blocks(docs: DataFrame) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         ids, train, sizes, hashes, held = [], [], [], [], 0
-        for b in _pieces(batches, "text"):
+        for b in pieces(batches, "text"):
             at = 0
             bid, btrain = b.column("id").to_pylist(), b.column("train").to_pylist()
             for g in tb.groups(b.column("text"), 1 << 18):

@@ -3,11 +3,11 @@
 A text's n-grams (words, word pairs, pairs of equal neighbours, byte triples) are hashed to indicators. Each
 indicator is scaled by the log ratio of its smoothed frequencies in the two classes; a linear hinge-loss
 model over the scaled, length-normalised indicators is fitted by dual coordinate descent. A logistic curve
-fitted on texts left out of that turns margins into scores.
+fitted by cross-validation turns margins into scores.
 
 Defined results: a null or empty text has no indicator and gets the score of the bias alone; with labels of
 one class only, every score is the smoothed share of class 1; repeated rows score alike; other input columns
-pass through unread. Fitting takes a bounded sample of labelled texts (``sample_rows`` texts of at most
+pass through unread, and the output column takes the place of an input column of its name. Fitting takes a bounded sample of labelled texts (``sample_rows`` texts of at most
 ``sample_chars`` characters, drawn by a hash of the id); scoring covers every row and whole texts.
 """
 
@@ -22,8 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbuf as tb
-from .bpe import _pieces
-from .common import prepare
+from .common import extend
 from .rules import draw
 
 BITS = 18
@@ -70,27 +69,36 @@ class Model:
         return 1 / (1 + np.exp(-(self.slope * m + self.shift)))
 
 
-def fit(texts: list[str], y: np.ndarray, cost: float = 1.0, passes: int = 12) -> Model:
-    """A model for labels 0 and 1; every fifth text sets the logistic curve."""
+def fit(texts: list[str], y: np.ndarray, cost: float = 1.0, passes: int = 12, folds: int = 4) -> Model:
+    """A model for labels 0 and 1. The logistic curve is fitted to margins of models that hadn't seen the text."""
     zero = np.zeros(1 << BITS)
     prior = (y.sum() + 1) / (len(y) + 2)
     if len(np.unique(y)) < 2:
         return Model(zero, zero, 0.0, 0.0, float(np.log(prior / (1 - prior))))
     rows = list(indicators(pa.array(texts, pa.string())))
-    held = np.arange(len(y)) % 5 == 0
-    if len(y) < 50 or len(np.unique(y[held])) < 2 or len(np.unique(y[~held])) < 2:
-        held[:] = False
-    learn = np.flatnonzero(~held)
+    every = np.arange(len(y))
+    model = _linear(rows, y, every, cost, passes)
+    margins, seen = np.zeros(len(y)), np.zeros(len(y), bool)
+    for f in range(folds):
+        held = every % folds == f
+        if len(np.unique(y[~held])) == 2:
+            part = _linear(rows, y, every[~held], cost, passes)
+            margins[held] = [part.margin(rows[i]) for i in every[held]]
+            seen |= held
+    if not seen.all():
+        margins = np.array([model.margin(r) for r in rows])
+    model.slope, model.shift = _logistic(margins, y)
+    return model
+
+
+def _linear(rows: list[np.ndarray], y: np.ndarray, learn: np.ndarray, cost: float, passes: int) -> Model:
     count = np.ones((2, 1 << BITS))
     for i in learn:
         count[int(y[i])][rows[i]] += 1
     share = count / count.sum(axis=1, keepdims=True)
     ratio = np.log(share[1] / share[0])
     weight, bias = _descend([rows[i] for i in learn], np.where(y[learn] > 0, 1.0, -1.0), ratio, cost, passes)
-    model = Model(weight, ratio, bias, 1.0, 0.0)
-    use = np.flatnonzero(held) if held.any() else learn
-    model.slope, model.shift = _logistic(np.array([model.margin(rows[i]) for i in use]), y[use])
-    return model
+    return Model(weight, ratio, bias, 1.0, 0.0)
 
 
 def _descend(rows, sign, ratio, cost, passes) -> tuple[np.ndarray, float]:
@@ -152,14 +160,5 @@ def train(df: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """``df`` with the probability of class 1."""
-    if out in df.columns:
-        raise ValueError(f"output name {out} is already a column of the input")
-    spark = df.sparkSession
-    prepare(spark)
-    shared = spark.sparkContext.broadcast(model)
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _pieces(batches, text):
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.scores(b.column(text)), pa.float64())], [*b.schema.names, out])
-
-    return df.mapInArrow(make, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    return extend(df, text, [T.StructField(out, T.DoubleType())], lambda b: [pa.array(shared.value.scores(b.column(text)), pa.float64())])

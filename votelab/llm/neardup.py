@@ -28,8 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbuf as tb
-from .bpe import _pieces
-from .common import prepare, written
+from .common import pieces, prepare, written
 from .components import components
 
 BANDS, ROWS = 25, 5
@@ -99,7 +98,7 @@ def _describe(g: tb.Group, k: int) -> dict[str, np.ndarray]:
 def signatures(docs: DataFrame, k: int) -> DataFrame:
     """``(id, n, f1, f2, s1, s2, keys)`` of every row of ``docs (id, text)``: set size, fingerprint, signature, band keys."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _pieces(batches, "text"):
+        for b in pieces(batches, "text"):
             at = 0
             for g in tb.groups(b.column("text"), 1 << 18):
                 d = _describe(g, k)
@@ -115,7 +114,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 def _sets(docs: DataFrame, k: int) -> DataFrame:
     """``(id, f1, set)``: fingerprint and packed set of every row of ``docs (id, text)``."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _pieces(batches, "text"):
+        for b in pieces(batches, "text"):
             at = 0
             for g in tb.groups(b.column("text"), 1 << 18):
                 sets, off = shingle_sets(g, k)
@@ -135,7 +134,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     joined = pairs.select("a", "fa", "b", "fb").join(side("a"), ["a", "fa"]).join(side("b"), ["b", "fb"]).select("a", "b", "seta", "setb")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _pieces(batches, "seta", 1 << 20):
+        for b in pieces(batches, "seta", 1 << 20):
             good = []
             for x, y in zip(b.column("seta").to_pylist(), b.column("setb").to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

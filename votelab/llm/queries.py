@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import local_table
 from ..sources.tables import read_table
-from . import bpe, chat, decontam, langid, loglinear, nbsvm, neardup, rules, substrings
+from . import bpe, chat, decontam, langid, licenses, loglinear, nbsvm, neardup, rules, substrings
 from .common import crc_mod
 
 QUERIES = {}
@@ -145,3 +145,12 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language-model scores of every document."""
     return loglinear.scores(read_table(spark, sf_dir, "documents"), crc_mod("doc_id", 10) != 0)
+
+
+@query("op2_license_scan")
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document. The table has no paths: a document's is its source, its thousand and its id."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws(
+        "/", F.coalesce("source", F.lit("unknown")), F.floor(F.col("doc_id") / 1000).cast("string"), F.col("doc_id").cast("string")).alias("path"))
+    out = licenses.inherit(licenses.scan(docs).drop("text"))
+    return out.select("doc_id", "path", "own_licence", "licence_score", "licence", "licence_from")

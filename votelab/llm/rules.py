@@ -6,14 +6,14 @@ speak against a text, and are flattened into node arrays that score a whole batc
 come first: a text that they fail is not kept, whatever the trees say.
 
 Defined results: a null or empty text has all counts 0 and fails the plain rules; with no labelled row the
-trees pass every text; repeated rows are judged each for itself; other input columns pass through unread.
+trees pass every text; repeated rows are judged each for itself; other input columns pass through unread, and
+an output column takes the place of an input column of its name.
 Fitting takes a bounded sample of labelled rows (``sample_rows``, drawn by a hash of the id); statistics
 cover every row and whole texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -24,8 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbuf as tb
-from .bpe import _pieces
-from .common import prepare
+from .common import extend
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -213,21 +212,14 @@ def _gain(g, h, v, ridge):
 def with_statistics(df: DataFrame, text: str = "text", trees: Trees | None = None, score: str = "score") -> DataFrame:
     """``df`` with the counts and features of ``text``, and the trees' score where trees are given."""
     add = [*COUNTS, *FEATURES, *([score] if trees else [])]
-    if clash := set(df.columns) & set(add):
-        raise ValueError(f"output names {sorted(clash)} are already columns of the input")
-    prepare(df.sparkSession)
-    schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.LongType() if c in COUNTS else T.DoubleType()) for c in add]])
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _pieces(batches, text):
-            s = statistics(b.column(text))
-            if trees:
-                s[score] = trees.scores(s[list(FEATURES)].to_numpy(float))
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, *[pa.array(s[c].to_numpy(), pa.int64() if c in COUNTS else pa.float64()) for c in add]],
-                [*b.schema.names, *add])
-
-    return df.mapInArrow(make, schema)
+
+    def compute(b: pa.RecordBatch) -> list:
+        s = statistics(b.column(text))
+        if trees:
+            s[score] = trees.scores(s[list(FEATURES)].to_numpy(float))
+        return [pa.array(s[c].to_numpy(), pa.int64() if c in COUNTS else pa.float64()) for c in add]
+
+    return extend(df, text, [T.StructField(c, T.LongType() if c in COUNTS else T.DoubleType()) for c in add], compute)
 
 
 def train(df: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text",
