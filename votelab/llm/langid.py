@@ -233,8 +233,9 @@ def fit(texts: list[str], langs: list[str]) -> Model:
             known = (where < len(union)) & (union[np.minimum(where, len(union) - 1)] == keys)
             values[where[known], j] = np.log(p[known])
         grams[k] = Table(mix(union), values)
-    model.mean, model.slack = np.zeros(len(names)), np.full(len(names), np.inf)
-    model.slope = np.zeros(len(names))
+    # limits for languages with too few texts to calibrate: generous ones about the counted texts
+    model.slack, model.slope = np.full(len(names), 1.5), np.full(len(names), 4.0)
+    model.mean = np.array([model.cross_entropies(places[g][0])[:, j].mean() for j, g in enumerate(names)])
     _calibrate(model, held)
     return model
 
