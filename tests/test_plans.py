@@ -39,7 +39,7 @@ def test_entry_smoke(spark):
     assert set(df.columns) >= {"model", "avg_f1_macro", "avg_accuracy", "process", "n_langs"}
 
 
-def test_every_query_has_docs_and_runs_at_smoke_scale(spark):
+def test_every_query_has_docs_and_every_oracle_a_query(spark):
     import __spark_entry__ as entry
     qs = entry.queries()
     orc = entry.oracle_sql()
@@ -73,3 +73,21 @@ def test_model_eval_has_no_data_join(spark):
     assert len(re.findall(r"hashpartitioning\(lang#\d+, id#\d+L?, \d+\)", plan)) == 1, plan
     # the per-cell and per-(row, model) folds reuse that partitioning
     assert not re.findall(r"hashpartitioning\(lang#\d+, id#\d+L?, (label|model)#", plan)
+
+
+def test_scored_variants_run_the_scorer_once(spark):
+    from votelab.plans import queries_models as Q
+
+    assert _plan(Q.eval_variants(spark, SF)).count("MapInPandas") == 1
+
+
+def test_score_decoding_has_one_exchange(spark):
+    from votelab.plans import queries_text as Q
+
+    plan = _plan(Q.score_to_binary(spark, SF))
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+
+
+def test_materialised_votes_use_no_lambda(spark):
+    plan = _plan(L.ensemble_votes(fx.pred_table(spark, SF), MEMBERS, "majority"))
+    assert "lambdafunction" not in plan

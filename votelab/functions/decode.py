@@ -64,10 +64,6 @@ def logit_to_binary(logit) -> Column:
     return F.when(1 / (1 + F.exp(-_c(logit))) >= 0.5, 1).otherwise(0)
 
 
-def binarize(value) -> Column:
-    return F.when(_c(value) >= 1, 1).otherwise(0)
-
-
 def request_message(text, kind: str = "labels") -> Column:
     if kind == "labels":
         return F.concat(F.lit(PROMPT_LABELS + SEPARATOR_LABELS), _c(text))
@@ -101,13 +97,13 @@ def intensity_pairs(content) -> Column:
 
     ok = F.filter(parts, lambda a: (F.size(a) == 2) & num(a).rlike(INT_PATTERN))
     return F.transform(ok, lambda a: F.struct(py_strip(F.lower(F.element_at(a, 1))).alias("label"),
-                                              num(a).try_cast("int").alias("v")))
+                                              num(a).try_cast("bigint").alias("v")))
 
 
 def intensity_for(pairs, label) -> Column:
     """Last value given for ``label`` (0 when none)."""
     hits = F.filter(_c(pairs), lambda x: x["label"] == _c(label))
-    return F.coalesce(F.try_element_at(hits, F.lit(-1))["v"], F.lit(0))
+    return F.coalesce(F.try_element_at(hits, F.lit(-1))["v"], F.lit(0).cast("long"))
 
 
 # ---------------------------------------------------------------- DuckDB text (oracle side)
@@ -131,7 +127,7 @@ def intensity_pairs_sql(content: str) -> str:
     num = py_strip_sql("replace(a[2], ')', '')")
     ok = f"list_filter({parts}, lambda a: len(a) = 2 AND regexp_full_match({num}, '[+-]?[0-9]+'))"
     return (f"list_transform({ok}, lambda a: {{'label': {py_strip_sql('lower(a[1])')}, "
-            f"'v': TRY_CAST({num} AS INTEGER)}})")
+            f"'v': TRY_CAST({num} AS BIGINT)}})")
 
 
 def intensity_for_sql(pairs: str, label: str) -> str:
@@ -147,14 +143,13 @@ MAX_BROADCAST_CATALOG = 1_000_000
 def _labels_map(catalog):
     """(constant lang -> labels map Column, catalog) when the catalog has at most MAX_INLINE_CATALOG
     rows (bounded read), else (None, catalog); an empty catalog gives an empty map."""
-    cat = catalog.select("lang", "label")
+    cat = catalog.select("lang", "label").where("lang is not null")
     rows = cat.limit(MAX_INLINE_CATALOG + 1).collect()
     if len(rows) > MAX_INLINE_CATALOG:
         return None, cat
     by_lang: dict = {}
     for r in rows:
-        if r.lang is not None:
-            by_lang.setdefault(r.lang, []).append(r.label)
+        by_lang.setdefault(r.lang, []).append(r.label)
     if not by_lang:
         return F.create_map().cast("map<string,array<string>>"), cat
     return F.create_map(*[x for k, labs in by_lang.items()
@@ -189,20 +184,23 @@ def with_language_labels(df, catalog):
     return df.select("*", F.explode(F.element_at(m, F.col("lang"))).alias("label"))
 
 
-def decode_scores(scores, catalog, mode: str = "binary"):
+def decode_scores(scores, catalog, mode: str = "binary", texts=None, models: list[str] | None = None):
     """Scorer output (lang, model, id, label, score) -> (lang, model, id, label, value) for
     every label the language's gold has: label names lower-cased, unknown labels ignored, a label the
-    scorer did not emit is 0, a repeated label keeps its highest value.
+    scorer did not emit is 0, a repeated label keeps its highest value. With ``texts`` (lang, id) and the
+    ``models`` asked, a text for which a model has no score at all gets zeros too.
 
-    Both sides are aggregated before they meet (partial aggregates, bounded state): the decoded
-    values per cell, and the texts per (lang, model, id) fanned out to their language's labels
-    (:func:`with_language_labels`). The final left join is on unique keys."""
+    One exchange: the decoded values of a (lang, model, id) meet in a set (bounded by the labels, combined
+    map-side), with the texts as members of the same aggregate; labels fan out within the row."""
     dec = score_to_binary if mode == "binary" else score_to_intensity
-    vals = scores.select("lang", "model", "id", F.lower("label").alias("label"), dec("score").alias("v")) \
-        .groupBy("lang", "model", "id", "label").agg(F.max("v").alias("v"))
-    grid = with_language_labels(scores.select("lang", "model", "id").distinct(), catalog)
-    return grid.join(vals, ["lang", "model", "id", "label"], "left").select(
-        "lang", "model", "id", "label", F.coalesce("v", F.lit(0)).cast("int").alias("value"))
+    rows = scores.select("lang", "model", "id", F.struct(F.lower("label").alias("label"), dec("score").cast("int").alias("v")).alias("e"))
+    if texts is not None:
+        asked = F.explode(F.array(*[F.lit(m) for m in models or []]).cast("array<string>"))
+        rows = rows.unionByName(texts.select("lang", "id", asked.alias("model")).withColumn("e", F.lit(None).cast(rows.schema["e"].dataType)))
+    held = rows.groupBy("lang", "model", "id").agg(F.collect_set("e").alias("e"))
+    x = with_language_labels(held, catalog)
+    mine = F.array_max(F.transform(F.filter("e", lambda s: s["label"] == F.col("label")), lambda s: s["v"]))
+    return x.select("lang", "model", "id", "label", F.coalesce(mine, F.lit(0)).alias("value"))
 
 
 def parse_replies(replies, catalog, kind: str = "labels"):
@@ -214,4 +212,4 @@ def parse_replies(replies, catalog, kind: str = "labels"):
         return x.select("lang", "id", "label", label_flag("items", "label").alias("value"))
     parsed = replies.select("lang", "id", intensity_pairs(content).alias("pairs"))
     x = with_language_labels(parsed, catalog)
-    return x.select("lang", "id", "label", intensity_for("pairs", "label").cast("int").alias("value"))
+    return x.select("lang", "id", "label", intensity_for("pairs", "label").alias("value"))

@@ -18,11 +18,24 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..sources.fixtures import EMOTICONS
+# The 13 emoticons of the preprocessing step, in their replacement order.
+EMOTICONS = [
+    (":)", "happy"),
+    (":-)", "happy"),
+    (":D", "very happy"),
+    (":-D", "very happy"),
+    (":(", "sad"),
+    (":-(", "sad"),
+    (":'(", "crying"),
+    (":/", "confused"),
+    (":-/", "confused"),
+    (";)", "wink"),
+    (";-)", "wink"),
+    ("<3", "love"),
+    (":|", "neutral"),
+]
 
 EMOJI_FIRST, EMOJI_LAST = 0x1F300, 0x1FAFF
-# Java regex (Spark) and RE2 (DuckDB) both read \x{...}.
-EMOJI_PATTERN = r"[\x{1F300}-\x{1FAFF}]"
 
 
 def _c(x) -> Column:
@@ -58,17 +71,37 @@ def _emoji_map(names) -> Column:
     return F.expr(f"map_from_arrays(array({keys}), array({vals}))")
 
 
+def emoji_pattern(names) -> str:
+    """A regex for the dictionary's keys, the longest first: its sequences one by one, then all its single code
+    points as ranges."""
+    keys = {k for k, _ in names if k}
+    code = lambda c: f"\\x{{{ord(c):X}}}"  # noqa: E731  Java's spelling of a code point
+    parts = ["".join(map(code, k)) for k in sorted((k for k in keys if len(k) > 1), key=lambda k: (-len(k), k))]
+    single, ranges = sorted(ord(k) for k in keys if len(k) == 1), []
+    for cp in single:
+        if ranges and cp == ranges[-1][1] + 1:
+            ranges[-1][1] = cp
+        else:
+            ranges.append([cp, cp])
+    if ranges:
+        parts.append("[" + "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in ranges) + "]")
+    return "|".join(parts)
+
+
 def replace_emojis(text, names=None) -> Column:
-    """Split the text at emoji code points and put `` name `` in each gap (the code point itself
-    when it has no name). One regex split + one extract per text; the dictionary is a constant map."""
+    """Split the text at the dictionary's emojis (single code points and whole sequences, the longest first) and
+    put `` name `` in each gap. One regex split + one extract per text; the dictionary is a constant map."""
     names = names if names is not None else default_emoji_names()
     t = _c(text)
+    pattern = emoji_pattern(names)
+    if not pattern:
+        return t
     m = _emoji_map(names)
-    pieces = F.split(t, EMOJI_PATTERN, -1)
-    found = F.regexp_extract_all(t, F.lit(EMOJI_PATTERN), 0)
-    words = F.transform(found, lambda e: F.coalesce(F.concat(F.lit(" "), F.element_at(m, e), F.lit(" ")), e))
+    pieces = F.split(t, pattern, -1)
+    found = F.regexp_extract_all(t, F.lit(pattern), 0)
+    words = F.transform(found, lambda e: F.concat(F.lit(" "), F.element_at(m, e), F.lit(" ")))
     joined = F.array_join(F.flatten(F.zip_with(pieces, words, lambda p, w: F.array(p, w))), "")
-    return F.when(t.rlike(EMOJI_PATTERN), joined).otherwise(t)
+    return F.when(t.rlike(pattern), joined).otherwise(t)
 
 
 def preprocess_text(text, names=None) -> Column:
@@ -91,14 +124,10 @@ def replace_emoticons_sql(x: str) -> str:
 
 
 def replace_emojis_sql(x: str) -> str:
-    names = default_emoji_names()
-    m = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in names) + "}"
-    pieces = f"regexp_split_to_array({x}, '{EMOJI_PATTERN}')"
-    found = f"regexp_extract_all({x}, '{EMOJI_PATTERN}')"
-    words = f"list_transform({found}, lambda e: coalesce(' ' || map_extract_value({m}, e) || ' ', e))"
-    joined = (f"array_to_string(flatten(list_transform(list_zip({pieces}, {words}), "
-              f"lambda z: [z[1], z[2]])), '')")
-    return f"(CASE WHEN regexp_matches({x}, '{EMOJI_PATTERN}') THEN {joined} ELSE {x} END)"
+    """Character by character, without the engine's pattern."""
+    m = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in default_emoji_names()) + "}"
+    word = f"CASE WHEN ord(c) < 5000 THEN c ELSE coalesce(' ' || map_extract_value({m}, c) || ' ', c) END"
+    return f"array_to_string(list_transform(regexp_extract_all({x}, '(?s).'), lambda c: {word}), '')"
 
 
 def truncate_words_sql(x: str, n: int = 512) -> str:

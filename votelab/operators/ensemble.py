@@ -23,7 +23,8 @@ from ..session import local_table
 
 from ..functions.keys import shl, shr
 
-# Broadcast the combo table only up to this many rows (2^16 combos); beyond it, a shuffle join.
+# The combo table is a constant of the plan: at most this many combos (2^16), so up to 16 members with all
+# sizes; more members need a ``max_size``. Beyond it the call is refused.
 MAX_BROADCAST_COMBOS = 1 << 16
 MAX_MEMBERS = 24
 
@@ -61,7 +62,7 @@ def members_frame(spark: SparkSession, members: list[str]) -> DataFrame:
 
 def members_from_data(pred: DataFrame) -> DataFrame:
     """(model, idx) for the models present in ``pred``, ordered by name (one small aggregate)."""
-    ms = pred.select("model").distinct().agg(F.array_sort(F.collect_list("model")).alias("ms"))
+    ms = pred.select("model").distinct().limit(MAX_MEMBERS + 1).agg(F.array_sort(F.collect_list("model")).alias("ms"))
     return ms.select(F.posexplode("ms").alias("idx", "model")).select("model", F.col("idx").cast("int"))
 
 
@@ -72,7 +73,7 @@ def combos_from_members(members: DataFrame, min_size: int = 2, max_size: int | N
     Generated with SQL expressions from one aggregated row: bitmasks 1..2^n-1, keep those with the
     wanted bit count. The member count is asserted in the plan itself (no action needed).
     """
-    one = members.agg(F.array_sort(F.collect_list(F.struct("idx", "model"))).alias("ms"))
+    one = members.limit(MAX_MEMBERS + 1).agg(F.array_sort(F.collect_list(F.struct("idx", "model"))).alias("ms"))
     n = F.size("ms")
     guarded = one.select(
         F.when(n <= MAX_MEMBERS, F.col("ms")).otherwise(F.raise_error(F.lit("too many members"))).alias("ms"))
@@ -108,24 +109,46 @@ def combos_frame(spark: SparkSession, members: list[str], min_size: int = 2,
 
 
 def combos_array(members: list[str], min_size: int = 2, max_size: int | None = None):
-    """The combo table as one constant array<struct<combo, mask, r, sel>> column: each row can fan
+    """The combo table as one constant array<struct<combo, mask, r>> column: each row can fan
     out to its combos with ``explode`` (no join). Size checked by :func:`combo_rows_local`."""
     items = []
-    for combo, mask, r, sel in combo_rows_local(members, min_size, max_size):
-        sel_sql = "array(" + ", ".join(str(i) for i in sel) + ")"
+    for combo, mask, r, _ in combo_rows_local(members, min_size, max_size):
         items.append(f"named_struct('combo', '{combo.replace(chr(39), chr(92) + chr(39))}', 'mask', {mask}L, "
-                     f"'r', {r}, 'sel', {sel_sql})")
+                     f"'r', {r})")
     return F.expr("array(" + ", ".join(items) + ")")
 
 
 def lang_presence(pred: DataFrame, members: DataFrame) -> DataFrame:
     """(lang, lang_pres): bitmask of the members with predictions per language. A 2-column partial
-    aggregate (partition metadata when predictions are partitioned by model and lang); one row per
+    aggregate over all predictions; one row per
     language, so it is safe to broadcast."""
     return pred.select("lang", "model").join(F.broadcast(members), "model") \
         .groupBy("lang").agg(F.bit_or(shl(1, F.col("idx"))).alias("lang_pres"))
 
 
+# Languages whose member-presence masks may be inlined as a constant map; up to MAX_BROADCAST_LANGS
+# (one ~50-byte row each) the presence table is broadcast, beyond it a plain join.
+MAX_INLINE_LANGS = 4096
+MAX_BROADCAST_LANGS = 1_000_000
+
+
+def presence_by_language(pred: DataFrame, members: list[str]):
+    """Per-language member-presence bitmask as a constant map Column when there are at most
+    MAX_INLINE_LANGS languages (one small partial aggregate, read with a bounded ``limit``), else
+    the (lang, lang_pres) DataFrame for a join: broadcast when a second bounded count proves it has
+    at most MAX_BROADCAST_LANGS rows (so data-sized rows are never shuffled by language), else plain."""
+    mdf = members_frame(pred.sparkSession, members)
+    pres = lang_presence(pred, mdf).where("lang is not null")
+    rows = pres.limit(MAX_INLINE_LANGS + 1).collect()
+    if len(rows) > MAX_INLINE_LANGS:
+        if pres.limit(MAX_BROADCAST_LANGS + 1).count() <= MAX_BROADCAST_LANGS:
+            return F.broadcast(pres)
+        return pres
+    if not rows:
+        return F.create_map().cast("map<string,bigint>")
+    return F.create_map(*[x for r in rows for x in (F.lit(r.lang), F.lit(r.lang_pres).cast("long"))])
+
+
 def combo_members(combos: DataFrame, members: DataFrame) -> DataFrame:
     """Long form (combo, mask, r, model, idx) of a combo table."""
     return combos.select("combo", "mask", "r", F.explode("sel").alias("idx")).join(F.broadcast(members), "idx")
@@ -170,34 +193,70 @@ def decide(rule: str, kind: str, s, mx, r):
     raise ValueError(f"unknown kind {kind!r}")
 
 
-def vote_fixed(pred: DataFrame, models: list[str], rule: str = "majority", kind: str = "binary") -> DataFrame:
-    """One given combo over the cells every member has (lang, id, label, value)."""
-    r = len(models)
+def votes_mask(votes: list[Column]) -> Column:
+    """The bits of the members that have a vote."""
+    mask = F.lit(0).cast("long")
+    for k, v in enumerate(votes):
+        mask = mask + F.when(v.isNotNull(), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long"))
+    return mask
+
+
+def vote_sum_max(votes: list[Column], mask: Column) -> tuple[Column, Column]:
+    """Sum and maximum of the votes of the members in ``mask``; a missing vote is 0."""
+    mine = [F.when(mask.bitwiseAND(F.lit(1 << k).cast("long")) != 0, F.coalesce(v, F.lit(0))) for k, v in enumerate(votes)]
+    total = F.lit(0)
+    for v in mine:
+        total = total + F.coalesce(v, F.lit(0))
+    return total, F.coalesce(F.greatest(*mine, F.lit(None).cast("int")), F.lit(0))
+
+
+def misaligned_row(kind) -> Column:
+    """Ends the query."""
+    return F.raise_error(F.lit("members are not aligned: a cell is repeated, or a member with predictions in the "
+                               "language lacks it (see alignment_violations; misaligned='zero' to vote anyway)")).cast(kind)
+
+
+def _fixed_votes(pred: DataFrame, models: list[str]) -> tuple[DataFrame, list[Column]]:
+    """The rows of ``models`` in the languages where all of them predict (E1), and the vote of each in an aggregate."""
+    pres = presence_by_language(pred, models)
     x = pred.where(F.col("model").isin(models))
-    # the member set per cell is bounded by r, so collect_set stays small
-    agg = x.groupBy("lang", "id", "label").agg(F.sum("value").alias("s"), F.max("value").alias("mx"),
-                                               F.size(F.collect_set("model")).alias("k"))
-    return agg.where(F.col("k") == r).select(
-        "lang", "id", "label", decide(rule, kind, F.col("s"), F.col("mx"), F.lit(r)).cast("int").alias("value"))
+    x = x.join(pres, "lang") if isinstance(pres, DataFrame) else x.withColumn("lang_pres", F.element_at(pres, F.col("lang")))
+    x = x.where(F.col("lang_pres") == (1 << len(models)) - 1)
+    return x, [F.max(F.when(F.col("model") == m, F.col("value").cast("int"))).alias(f"v{k}") for k, m in enumerate(models)]
+
+
+def _fixed_decision(n: int, rule: str, kind: str, misaligned: str) -> Column:
+    votes = [F.col(f"v{k}") for k in range(n)]
+    s, mx = vote_sum_max(votes, F.lit((1 << n) - 1).cast("long"))
+    value = decide(rule, kind, s, mx, F.lit(n)).cast("int")
+    if misaligned == "raise":
+        value = F.when((votes_mask(votes) == (1 << n) - 1) & (F.col("rows") == n), value).otherwise(misaligned_row("int"))
+    return value
+
+
+def vote_fixed(pred: DataFrame, models: list[str], rule: str = "majority", kind: str = "binary",
+               misaligned: str = "raise") -> DataFrame:
+    """One given combo (lang, id, label, value) in the languages where every member predicts. The members
+    must be aligned (E2): by default a repeated cell, or one that a member lacks, ends the query; with
+    ``misaligned="zero"`` a missing vote is 0 and a repeated cell counts once, at its largest value."""
+    x, votes = _fixed_votes(pred, models)
+    agg = x.groupBy("lang", "id", "label").agg(*votes, F.count("*").alias("rows"))
+    return agg.select("lang", "id", "label", _fixed_decision(len(models), rule, kind, misaligned).alias("value"))
 
 
 def vote_fixed_paired(pred: DataFrame, gold: DataFrame, models: list[str], rule: str = "majority",
-                      kind: str = "binary") -> DataFrame:
+                      kind: str = "binary", misaligned: str = "raise") -> DataFrame:
     """E8/E9 aligned with gold in the same aggregate: (lang, id, label, gold, value) for the cells that
-    every member and the gold have. Gold rows ride along with a NULL model, so one shuffle replaces
-    the vote aggregate plus a join with gold."""
-    r = len(models)
+    the members and the gold have. Gold rows ride along with a NULL model, so one shuffle replaces
+    the vote aggregate plus a join with gold. ``misaligned``: see :func:`vote_fixed`."""
+    x, votes = _fixed_votes(pred, models)
     member = F.col("model").isNotNull()
     g = gold.select("lang", "id", "label", F.lit(None).cast("string").alias("model"), "value")
-    x = pred.where(F.col("model").isin(models)).select("lang", "id", "label", "model", "value")
-    # the member set per cell is bounded by r, so collect_set stays small
-    agg = g.unionByName(x).groupBy("lang", "id", "label").agg(
-        F.max(F.when(~member, F.col("value"))).alias("gold"),
-        F.sum(F.when(member, F.col("value"))).alias("s"), F.max(F.when(member, F.col("value"))).alias("mx"),
-        F.size(F.collect_set("model")).alias("k"))
-    return agg.where((F.col("k") == r) & F.col("gold").isNotNull()).select(
+    agg = g.unionByName(x.select("lang", "id", "label", "model", "value")).groupBy("lang", "id", "label").agg(
+        F.max(F.when(~member, F.col("value"))).alias("gold"), *votes, F.count(F.when(member, 1)).alias("rows"))
+    return agg.where((F.col("rows") > 0) & F.col("gold").isNotNull()).select(
         "lang", "id", "label", F.col("gold").cast("int").alias("gold"),
-        decide(rule, kind, F.col("s"), F.col("mx"), F.lit(r)).cast("int").alias("value"))
+        _fixed_decision(len(models), rule, kind, misaligned).alias("value"))
 
 
 def alignment_violations(pred: DataFrame) -> DataFrame:

@@ -58,26 +58,33 @@ def to_long(df: DataFrame, keys: list[str], labels: list[str] | None = None, val
     return x.select(*out)
 
 
+def keyed(df: DataFrame, lang: str | None) -> DataFrame:
+    """P7 and the file key: lower-case headers, ``lang`` from the key (None: the frame's own column)."""
+    low = lower_columns(df)
+    return low if lang is None else low.withColumn("lang", F.lit(lang))
+
+
 def union_files(frames: list[DataFrame]) -> DataFrame:
     """Row-wise concat with column union (missing columns become NULL)."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def train_pool(frames: dict[str, DataFrame]) -> DataFrame:
+def train_pool(frames: dict[str | None, DataFrame]) -> DataFrame:
     """S2 + P7 + P8: every per-language file, headers lower-cased, unioned by name, labels coerced.
-    Missing labels become 0 here (training semantics). Adds ``lang`` from the file key."""
-    lowered = [lower_columns(df).withColumn("lang", F.lit(lang)) for lang, df in frames.items()]
+    Missing labels become 0 here (training semantics). Adds ``lang`` from the file key; a frame with
+    key None brings its own ``lang`` column."""
+    lowered = [keyed(df, lang) for lang, df in frames.items()]
     pool = union_files(lowered)
     labels = label_columns(pool)
     return pool.select("lang", "id", "text", *[coerce_label(c).alias(c) for c in labels])
 
 
-def long_per_file(frames: dict[str, DataFrame], coerce: bool = True) -> DataFrame:
+def long_per_file(frames: dict[str | None, DataFrame], coerce: bool = True) -> DataFrame:
     """Each file unpivoted on its own label set, then unioned: (lang, id, label, value).
     Absent labels have no rows (evaluation semantics)."""
     parts = []
     for lang, df in frames.items():
-        low = lower_columns(df).withColumn("lang", F.lit(lang))
+        low = keyed(df, lang)
         labels = label_columns(low)
         lf = to_long(low, ["lang", "id"], labels)
         if coerce:

@@ -1,8 +1,8 @@
 """T3 batch scoring and T4 baseline training.
 
-T3: texts ``(lang, id, text)`` -> long scores ``(lang, model, id, label, score)`` through a pluggable
-scorer run with ``mapInPandas``: Arrow batches in, one scorer instance per Python worker (loaded on
-first use, not per row), long rows out. Preprocessing and truncation stay JVM-side before the
+T3: texts ``(lang, id, text)`` -> long scores ``(lang, model, id, label, score)`` through pluggable
+scorers run with ``mapInPandas``: Arrow batches in, one instance of each scorer per Python worker and
+call (loaded on first use, not per row), long rows out. Several scorers share one pass over the texts. Preprocessing and truncation stay JVM-side before the
 Python boundary. The default scorer is a small deterministic keyword lexicon standing in for a
 transformer; real models are the caller's (any object with ``labels`` and ``score(texts)``).
 
@@ -13,6 +13,7 @@ LogisticRegression per label on the train split; probabilities of the held-out s
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,11 +33,11 @@ class LexiconScorer:
     def __init__(self, lexicon: dict[str, list[str]], name: str = "lexicon"):
         self.name = name
         self.labels = list(lexicon)
-        self.patterns = {lab: re.compile(r"\b(?:" + "|".join(map(re.escape, words)) + r")\b", re.I)
+        self.patterns = {lab: re.compile(r"\b(?:" + "|".join(map(re.escape, words)) + r")\b", re.I | re.ASCII)
                          for lab, words in lexicon.items()}
 
     def score(self, texts: pd.Series) -> pd.DataFrame:
-        words = texts.str.count(r"\S+").clip(lower=1)
+        words = texts.str.count(r"\S+", flags=re.ASCII).clip(lower=1)
         out = {}
         for lab, pat in self.patterns.items():
             hits = texts.str.count(pat) * 100.0 / words
@@ -50,22 +51,27 @@ DEFAULT_LEXICON = {
     "toxic": ["hate", "stupid", "idiot", "kill", "damn", "ugly", "dumb", "trash"],
 }
 
-_SCORER_CACHE: dict[str, object] = {}
+# Scorers of the calls a worker has served last, by call: a reused worker never hands one call's
+# scorers to another.
+_SCORERS: dict[str, list] = {}
+_CALLS_KEPT = 4
 
 
-def _get_scorer(factory, key: str):
-    s = _SCORER_CACHE.get(key)
-    if s is None:
-        s = factory()
-        _SCORER_CACHE[key] = s
-    return s
+def _scorers(call: str, factories: list) -> list:
+    if call not in _SCORERS:
+        while len(_SCORERS) >= _CALLS_KEPT:
+            _SCORERS.pop(next(iter(_SCORERS)))
+        _SCORERS[call] = [f() for f in factories]
+    return _SCORERS[call]
 
 
-def score_texts(texts: DataFrame, factory=None, key: str = "lexicon", preprocess: bool = True,
+def score_texts(texts: DataFrame, factory=None, preprocess: bool = True,
                 max_words: int = 512, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Long scores for every text. ``factory()`` builds the scorer once per Python worker.
+    """Long scores for every text. ``factory`` is a function that builds a scorer, or a list of such
+    functions: all of them score each text in the same pass. A scorer's ``name`` is its model name.
     ``carry`` names extra key columns passed through to the output (after ``id``)."""
-    factory = factory or (lambda: LexiconScorer(DEFAULT_LEXICON))
+    factories = list(factory) if isinstance(factory, (list, tuple)) else [factory or (lambda: LexiconScorer(DEFAULT_LEXICON))]
+    call = uuid.uuid4().hex
     ship_package(texts.sparkSession)  # the batch function below runs this package's code in workers
     t = X.preprocess_text("text") if preprocess else F.col("text")
     prepared = texts.select("lang", F.col("id").cast("long").alias("id"), *carry,
@@ -79,15 +85,15 @@ def score_texts(texts: DataFrame, factory=None, key: str = "lexicon", preprocess
                   ", label string, score double")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = _get_scorer(factory, key)
         for pdf in batches:
             if pdf.empty:
                 continue
-            sc = scorer.score(pdf["text"].fillna(""))
-            long = sc.assign(**{k: pdf[k].values for k in keys}).melt(
-                id_vars=keys, var_name="label", value_name="score")
-            long["model"] = getattr(scorer, "name", key)
-            yield long[out_cols]
+            for n, scorer in enumerate(_scorers(call, factories)):
+                sc = scorer.score(pdf["text"].fillna(""))
+                long = sc.assign(**{k: pdf[k].values for k in keys}).melt(
+                    id_vars=keys, var_name="label", value_name="score")
+                long["model"] = getattr(scorer, "name", f"scorer{n}")
+                yield long[out_cols]
 
     return prepared.mapInPandas(run, schema)
 

@@ -13,9 +13,12 @@ Plan, for gold ``(lang, id, label, value)`` and predictions ``(lang, model, id,
    available in its language: the per-language member presence (a constant map for up to
    MAX_INLINE_LANGS languages, else an equi-join), then an ``explode`` of the constant combo list
    (size checked on the driver). No cross join.
-4. Votes, decisions and per-label counts are SQL expressions over arrays (whole-stage codegen, no
+4. Votes and decisions are bit-mask arithmetic over each row's labels (one array function a row, no
    Python), then partial aggregates per (combo, lang, label) feed the metric suite.
 
+Members must be aligned (E2): a repeated cell, or one that a member of the language lacks, ends the
+query unless ``misaligned="zero"`` is passed.
+
 Subset accuracy comes from the same pass: a row's exactness is carried on its first label only.
 """
 
@@ -28,7 +31,7 @@ from ..operators import ensemble as E
 from ..operators import metrics as M
 
 
-def row_signatures(gold: DataFrame, pred: DataFrame, members: list[str]) -> DataFrame:
+def row_signatures(gold: DataFrame, pred: DataFrame, members: list[str], misaligned: str = "raise") -> DataFrame:
     """(lang, id, sig): sig = sorted array<struct<label, gold, votes array<int>>> over the labels with
     gold, one vote slot per member (its max value for the cell, NULL when it has none).
 
@@ -42,7 +45,11 @@ def row_signatures(gold: DataFrame, pred: DataFrame, members: list[str]) -> Data
     mdf = F.broadcast(E.members_frame(spark, members))  # local relation, size checked
     g = gold.select("lang", "id", "label", F.lit(-1).alias("idx"), F.col("value").cast("int").alias("value"))
     p = pred.join(mdf, "model").select("lang", "id", "label", "idx", F.col("value").cast("int").alias("value"))
-    rows = g.unionByName(p).groupBy("lang", "id").agg(F.collect_set(F.struct("label", "idx", "value")).alias("e"))
+    rows = g.unionByName(p).groupBy("lang", "id").agg(F.collect_set(F.struct("label", "idx", "value")).alias("e"), F.count("*").alias("n"))
+    if misaligned == "raise":
+        # a repeated cell shows as more entries than the set has, or as two entries of one (label, idx)
+        cells_of = F.array_distinct(F.transform("e", lambda x: F.struct(x["label"], x["idx"])))
+        rows = rows.withColumn("e", F.when(F.col("n") == F.size(cells_of), F.col("e")).otherwise(E.misaligned_row(rows.schema["e"].dataType)))
     ent = rows.select("lang", "id", F.explode("e").alias("e")).select("lang", "id", "e.label", "e.idx", "e.value")
     cells = ent.groupBy("lang", "id", "label").agg(
         F.max(F.when(F.col("idx") == -1, F.col("value"))).alias("gold"),
@@ -52,77 +59,57 @@ def row_signatures(gold: DataFrame, pred: DataFrame, members: list[str]) -> Data
         F.array_sort(F.collect_list(F.struct("label", "gold", "votes"))).alias("sig"))
 
 
-def histogram(gold: DataFrame, pred: DataFrame, members: list[str]) -> DataFrame:
+def histogram(gold: DataFrame, pred: DataFrame, members: list[str], misaligned: str = "raise") -> DataFrame:
     """(lang, sig, n): identical rows collapsed (partial aggregate map-side)."""
-    return row_signatures(gold, pred, members).groupBy("lang", "sig").agg(F.count("*").alias("n"))
-
-
-# Languages whose member-presence masks may be inlined as a constant map; up to MAX_BROADCAST_LANGS
-# (one ~50-byte row each) the presence table is broadcast, beyond it a plain join.
-MAX_INLINE_LANGS = 4096
-MAX_BROADCAST_LANGS = 1_000_000
-
-
-def presence_by_language(pred: DataFrame, members: list[str]):
-    """Per-language member-presence bitmask as a constant map Column when there are at most
-    MAX_INLINE_LANGS languages (one small partial aggregate, read with a bounded ``limit``), else
-    the (lang, lang_pres) DataFrame for a join: broadcast when a second bounded count proves it has
-    at most MAX_BROADCAST_LANGS rows (so data-sized rows are never shuffled by language), else plain."""
-    mdf = E.members_frame(pred.sparkSession, members)
-    pres = E.lang_presence(pred, mdf)
-    rows = pres.limit(MAX_INLINE_LANGS + 1).collect()
-    if len(rows) > MAX_INLINE_LANGS:
-        if pres.limit(MAX_BROADCAST_LANGS + 1).count() <= MAX_BROADCAST_LANGS:
-            return F.broadcast(pres)
-        return pres
-    if not rows:
-        return F.create_map().cast("map<string,bigint>")
-    return F.create_map(*[x for r in rows for x in (F.lit(r.lang), F.lit(r.lang_pres).cast("long"))])
+    return row_signatures(gold, pred, members, misaligned).groupBy("lang", "sig").agg(F.count("*").alias("n"))
 
 
 def with_combos(rows: DataFrame, pred: DataFrame, members: list[str], min_size: int = 2,
-                max_size: int | None = None) -> DataFrame:
+                max_size: int | None = None, aligned=None) -> DataFrame:
     """E1 + fan-out: each row (keyed by ``lang``) is expanded to the combos available in its language:
     the language's member-presence mask (a constant map, or a join when there are very many
     languages), then an ``explode`` of the constant, size-checked combo list, kept where every
-    member is present. No cross join, and no shuffle when the masks are inlined."""
-    pres = presence_by_language(pred, members)
+    member is present. No cross join, and no shuffle when the masks are inlined. Rows without a
+    language have no members and drop out. ``aligned``: a condition on ``rows`` and ``lang_pres``; a row
+    that breaks it ends the query (E2)."""
+    pres = E.presence_by_language(pred, members)
     if isinstance(pres, DataFrame):
         x = rows.join(pres, "lang")
     else:
         x = rows.withColumn("lang_pres", F.element_at(pres, F.col("lang")))
+    if aligned is not None:
+        x = x.withColumn("lang_pres", F.when(F.col("lang_pres").isNull() | aligned, F.col("lang_pres")).otherwise(E.misaligned_row("bigint")))
     x = x.withColumn("c", F.explode(E.combos_array(members, min_size, max_size)))
     x = x.where(F.col("c.mask").bitwiseAND(F.col("lang_pres")) == F.col("c.mask"))
     return x.select(*[c for c in rows.columns], F.col("c.combo").alias("combo"), F.col("c.r").alias("r"),
-                    F.col("c.sel").alias("sel"))
+                    F.col("c.mask").alias("mask"))
 
 
-def _decisions(rule: str, kind: str):
+def _decisions(rule: str, kind: str, n: int):
     """Per-row array<struct<label, g, p>> for the combo on the row."""
     def one(e):
-        vals = F.transform("sel", lambda k: F.coalesce(F.element_at(e["votes"], k + 1), F.lit(0)))
-        s = F.aggregate(vals, F.lit(0), lambda a, v: a + v)
-        mx = F.array_max(vals)
+        s, mx = E.vote_sum_max([e["votes"][k] for k in range(n)], F.col("mask"))
         return F.struct(e["label"].alias("label"), e["gold"].alias("g"),
                         E.decide(rule, kind, s, mx, F.col("r")).alias("p"))
     return F.transform("sig", one)
 
 
 def combo_rows(gold: DataFrame, pred: DataFrame, members: list[str], rule, kind: str,
-               min_size: int = 2, max_size: int | None = None) -> DataFrame:
+               min_size: int = 2, max_size: int | None = None, misaligned: str = "raise") -> DataFrame:
     """(combo, lang, n, pos, label, g, p, exact): one row per (combo, histogram row, label). With a
     list of rules, each histogram row fans out to rules x combos in the same pass and the rows carry
     a leading ``rule`` column."""
-    h = histogram(gold, pred, members)
+    h = histogram(gold, pred, members, misaligned)
     # The histogram is small in bytes, so AQE would coalesce it into few tasks, but each row fans out
     # to every combo with per-row vote expressions: spread it over the cluster's cores first.
     h = h.repartition(pred.sparkSession.sparkContext.defaultParallelism)
-    x = with_combos(h, pred, members, min_size, max_size)
+    same = F.forall("sig", lambda e: E.votes_mask([e["votes"][k] for k in range(len(members))]) == F.col("lang_pres"))
+    x = with_combos(h, pred, members, min_size, max_size, same if misaligned == "raise" else None)
     lead = []
     if isinstance(rule, (list, tuple)):
         x = x.withColumn("rule", F.explode(F.array(*[F.lit(r) for r in rule])))
         rule, lead = F.col("rule"), ["rule"]
-    d = x.select(*lead, "combo", "lang", "n", _decisions(rule, kind).alias("d"))
+    d = x.select(*lead, "combo", "lang", "n", _decisions(rule, kind, len(members)).alias("d"))
     d = d.withColumn("exact", F.forall("d", lambda t: t["g"] == t["p"]))
     # posexplode_outer: ``d`` is never empty, and the outer form avoids an inferred size(d) > 0
     # filter that would evaluate the vote expressions twice
@@ -131,9 +118,10 @@ def combo_rows(gold: DataFrame, pred: DataFrame, members: list[str], rule, kind:
 
 
 def per_language(gold: DataFrame, pred: DataFrame, members: list[str], rule: str = "majority",
-                 kind: str = "binary", min_size: int = 2, max_size: int | None = None) -> DataFrame:
+                 kind: str = "binary", min_size: int = 2, max_size: int | None = None,
+                 misaligned: str = "raise") -> DataFrame:
     """(combo, lang, 10 metrics) for every available (combo, language)."""
-    rows = combo_rows(gold, pred, members, rule, kind, min_size, max_size)
+    rows = combo_rows(gold, pred, members, rule, kind, min_size, max_size, misaligned)
     keys = ["combo", "lang"]
     if kind == "binary" or kind == "binary_union":
         lc = rows.groupBy(*keys, "label").agg(
@@ -151,9 +139,9 @@ def per_language(gold: DataFrame, pred: DataFrame, members: list[str], rule: str
 
 def leaderboard(gold: DataFrame, pred: DataFrame, members: list[str], rule: str = "majority",
                 kind: str = "binary", process: str | None = None, min_size: int = 2,
-                max_size: int | None = None) -> DataFrame:
+                max_size: int | None = None, misaligned: str = "raise") -> DataFrame:
     """M9: one row per combo, the ten metrics averaged over its languages (unweighted)."""
-    per = per_language(gold, pred, members, rule, kind, min_size, max_size)
+    per = per_language(gold, pred, members, rule, kind, min_size, max_size, misaligned)
     lb = M.average_over(per, ["combo"], M.METRICS)
     proc = process if process is not None else {"majority": "majority voting", "union": "union rule"}[rule]
     return lb.select(F.col("combo").alias("model"), *[f"avg_{m}" for m in M.METRICS],
@@ -161,10 +149,10 @@ def leaderboard(gold: DataFrame, pred: DataFrame, members: list[str], rule: str
 
 
 def pearson(gold: DataFrame, pred: DataFrame, members: list[str], rule="majority",
-            min_size: int = 2, max_size: int | None = None) -> DataFrame:
+            min_size: int = 2, max_size: int | None = None, misaligned: str = "raise") -> DataFrame:
     """Per combo, mean over languages of the mean over labels of Pearson r (intensities). With a
     list of rules, all of them come from one pass (a leading ``rule`` column)."""
-    rows = combo_rows(gold, pred, members, rule, "intensity", min_size, max_size)
+    rows = combo_rows(gold, pred, members, rule, "intensity", min_size, max_size, misaligned)
     lead = ["rule"] if isinstance(rule, (list, tuple)) else []
     weighted = rows.select(*lead, "combo", "lang", "label", F.col("g").alias("gold"), F.col("p").alias("pred"), "n")
     per_label = M.pearson_per_label(weighted, [*lead, "combo", "lang"])
@@ -174,20 +162,24 @@ def pearson(gold: DataFrame, pred: DataFrame, members: list[str], rule="majority
 
 
 def ensemble_votes(pred: DataFrame, members: list[str], rule: str = "majority", kind: str = "binary",
-                   min_size: int = 2, max_size: int | None = None) -> DataFrame:
+                   min_size: int = 2, max_size: int | None = None, misaligned: str = "raise") -> DataFrame:
     """E4-E7 (compact): (combo, lang, id, label, value) for every available (combo, language).
 
-    One shuffle groups the member values of a cell into a ``votes`` array (bounded state: one max
-    per member); each cell then fans out to its language's available combos in-stage, so the output
-    is written without a second data-sized shuffle (the exploded form shuffles ~15 rows per cell)."""
+    One shuffle groups the member values of a cell into vote columns (bounded state: one max per
+    member); each cell then fans out to its language's available combos in-stage, so the output is
+    written without a second data-sized shuffle (the exploded form shuffles ~15 rows per cell). The
+    decisions are plain arithmetic on the vote columns and the combo's bit mask. ``misaligned``: see
+    :func:`votelab.operators.ensemble.vote_fixed`."""
     spark: SparkSession = pred.sparkSession
     mdf = F.broadcast(E.members_frame(spark, members))
     p = pred.join(mdf, "model")
+    names = [f"v{k}" for k in range(len(members))]
     cells = p.groupBy("lang", "id", "label").agg(
-        F.array(*[F.max(F.when(F.col("idx") == k, F.col("value").cast("int"))) for k in range(len(members))]
-                ).alias("votes"))
-    x = with_combos(cells, pred, members, min_size, max_size)
-    vals = F.transform("sel", lambda k: F.coalesce(F.element_at("votes", k + 1), F.lit(0)))
-    s = F.aggregate(vals, F.lit(0), lambda a, v: a + v)
-    return x.select("combo", "lang", "id", "label",
-                    E.decide(rule, kind, s, F.array_max(vals), F.col("r")).cast("int").alias("value"))
+        *[F.max(F.when(F.col("idx") == k, F.col("value").cast("int"))).alias(v) for k, v in enumerate(names)],
+        F.count("*").alias("n"))
+    votes = [F.col(v) for v in names]
+    have = E.votes_mask(votes)
+    same = (have == F.col("lang_pres")) & (F.bit_count(have) == F.col("n"))
+    x = with_combos(cells, pred, members, min_size, max_size, same if misaligned == "raise" else None)
+    s, mx = E.vote_sum_max(votes, F.col("mask"))
+    return x.select("combo", "lang", "id", "label", E.decide(rule, kind, s, mx, F.col("r")).cast("int").alias("value"))

@@ -32,12 +32,13 @@ def write_gold_tree(spark: SparkSession, sf: str) -> str:
     shapes = {
         "de": [F.col("id").alias("ID"), F.col("text").alias("TEXT"), F.col("quality").alias("QUALITY"),
                F.col("toxic").alias("TOXIC")],
-        "en": ["id", "text", "quality", "toxic"],
         "es": ["id", "text", "quality"],
         "fr": ["id", "toxic", "text", "quality"],
     }
-    for lang, cols in shapes.items():
-        g.where(F.col("lang") == lang).select(F.lit(lang).alias("lang"), *cols) \
+    special = F.coalesce(F.col("lang").isin(*shapes), F.lit(False))
+    parts = [(F.col("lang") == lang, cols) for lang, cols in shapes.items()] + [(~special, ["id", "text", "quality", "toxic"])]
+    for mine, cols in parts:
+        g.where(mine).select("lang", *cols) \
             .write.mode("append").partitionBy("lang").options(header="true", escape='"').csv(root)
     pages = read_table(spark, sf, "pages").select(F.lit("xx").alias("lang"), F.col("page_id").alias("id"),
                                                   F.col("url").alias("text"))
@@ -46,7 +47,7 @@ def write_gold_tree(spark: SparkSession, sf: str) -> str:
 
 
 @register("scan_gold_long", W("SELECT lang, id, label, gold AS value FROM gold "
-                              "WHERE NOT (lang = 'es' AND label = 'toxic')"))
+                              "WHERE NOT coalesce(lang = 'es' AND label = 'toxic', false)"))
 def scan_gold_long(spark: SparkSession, sf: str) -> DataFrame:
     """A folder of gold CSV files with differing headers, read one header group at a time and
     unpivoted to (lang, id, label, value); the language without labels yields no rows."""
@@ -65,27 +66,39 @@ def scan_texts(spark: SparkSession, sf: str) -> DataFrame:
         "lang", F.col("id").cast("long").alias("id"), "text")
 
 
-@register("scan_predictions", W("SELECT lang, model, id, label, pred AS value FROM pred"))
+@register("scan_predictions", W("SELECT lang, model, id, label, pred AS value FROM pred "
+                                "WHERE NOT coalesce(lang = 'es' AND label = 'toxic', false)"))
 def scan_predictions(spark: SparkSession, sf: str) -> DataFrame:
     """S1 + S4 + S8: wide prediction files per (model, language) written by a partitioned write
-    (m2 with permuted columns, no m4/es files), scanned back to the long model."""
+    (m2 with permuted columns, no m4/es files, no 'toxic' in es), scanned back to the long model; the
+    label that a language lacks stays absent."""
     root = scratch_path(spark, "pred-csv")
-    p = fx.pred_table(spark, sf)
+    p = fx.pred_table(spark, sf).where(~F.coalesce((F.col("lang") == "es") & (F.col("label") == "toxic"), F.lit(False)))
     IO.write_wide_csv(p.where(F.col("model") != "m2"), root, ["quality", "toxic"], keys=("model", "lang"))
-    wide2 = p.where(F.col("model") == "m2").groupBy("model", "lang", "id").pivot("label", ["toxic", "quality"]) \
-        .agg(F.first("value"))
-    wide2.write.mode("append").partitionBy("model", "lang").options(header="true").csv(root)
+    IO.write_wide_csv(p.where(F.col("model") == "m2"), root, ["toxic", "quality"], keys=("model", "lang"), mode="append")
     long = IO.scan_long(spark, f"{root}/*/*/part-*.csv", model_from_dir=True)
     return long.select("lang", "model", F.col("id").cast("long").alias("id"), "label", "value")
 
 
-@register("sink_predictions", W("SELECT lang, model, id, label, pred AS value FROM pred WHERE model = 'm2'"))
+@register("sink_predictions", W("SELECT lang, model, id, label, pred AS value FROM pred"))
 def sink_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    """Predictions written as parquet partitioned by (model, lang); reading one model back
-    prunes to that model's folders."""
+    """Predictions written as parquet partitioned by (model, lang) and read back whole (a filter on
+    one model prunes to its folders, see the tests)."""
     root = scratch_path(spark, "pred-parquet")
     IO.write_predictions(fx.pred_table(spark, sf), root)
-    return spark.read.parquet(root).where(F.col("model") == "m2").select("lang", "model", "id", "label", "value")
+    return spark.read.parquet(root).select("lang", "model", "id", "label", "value")
+
+
+@register("train_pool_from_files", W("SELECT lang, id, text, quality, toxic FROM file_pool", {
+    "file_pool": "SELECT d.lang, d.doc_id AS id, d.text, CAST(l.quality AS INTEGER) AS quality, "
+                 "CAST(CASE WHEN d.lang = 'es' THEN 0 ELSE l.toxic END AS INTEGER) AS toxic "
+                 "FROM documents d JOIN labels l ON l.doc_id = d.doc_id"}))
+def train_pool_from_files(spark: SparkSession, sf: str) -> DataFrame:
+    """S1 + S2 + P8: a folder of gold files with differing headers to one wide training pool; a label that a
+    file lacks is 0 there. Files without label columns are no training files."""
+    root = write_gold_tree(spark, sf)
+    pool = IO.scan_pool(spark, f"{root}/*/part-*.csv")
+    return pool.select("lang", F.col("id").cast("long").alias("id"), "text", "quality", "toxic")
 
 
 @register("sink_append", lambda: (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,12 +22,38 @@ from .queries import _r
 from .queries_text import parse_intensity_sql
 
 
-@register("score_texts")
+# A second stand-in scorer, scored in the same pass as the default one.
+SECOND_LEXICON = {"quality": ["the", "and"], "toxic": ["scum", "moron", "loser", "worthless", "disgusting", "clown"]}
+
+
+def _scorer_sql(text: str, name: str, lexicon: dict[str, list[str]]) -> str:
+    """(lang, model, id, label, score) of a lexicon scorer over ``t(lang, id, <text>)``, written out in SQL."""
+    def one(label: str, words: list[str]) -> str:
+        hits = f"len(regexp_extract_all({text}, '(?i)\\b(?:{'|'.join(words)})\\b'))"
+        size = f"greatest(len(regexp_extract_all({text}, '\\S+')), 1)"
+        return (f"SELECT *, '{name}' AS model, '{label}' AS label, "
+                f"CAST(1 - pow(CAST(0.5 AS DOUBLE), {hits} * CAST(100 AS DOUBLE) / {size}) AS DOUBLE) AS score FROM t")
+    return " UNION ALL ".join(one(label, words) for label, words in lexicon.items())
+
+
+def _prepared_sql(preprocessed: bool = True) -> str:
+    text = X.replace_emojis_sql(X.replace_emoticons_sql("text")) if preprocessed else "text"
+    return f"SELECT lang, id, {X.truncate_words_sql('x')} AS x FROM (SELECT lang, id, {text} AS x FROM texts)"
+
+
+def score_texts_sql() -> str:
+    return fx.with_ctes(
+        "SELECT lang, model, id, label, round(score, 6) AS score, CASE WHEN score > 0.5 THEN 1 ELSE 0 END AS value FROM s",
+        {"t": _prepared_sql(), "s": _scorer_sql("x", "lexicon", SC.DEFAULT_LEXICON) + " UNION ALL " + _scorer_sql("x", "second", SECOND_LEXICON)})
+
+
+@register("score_texts", score_texts_sql)
 def score_texts(spark: SparkSession, sf: str) -> DataFrame:
     """T3 + C3 + C4 + C5: every document's whole text preprocessed and truncated JVM-side, scored
-    in Arrow batches by the pluggable scorer (mapInPandas), decoded to 0/1 per label."""
-    scores = SC.score_texts(fx.texts(spark, sf))
-    return scores.select("lang", "model", "id", "label", "score", D.score_to_binary("score").alias("value"))
+    in Arrow batches by two pluggable scorers in one pass (mapInPandas), decoded to 0/1 per label."""
+    scorers = [lambda: SC.LexiconScorer(SC.DEFAULT_LEXICON), lambda: SC.LexiconScorer(SECOND_LEXICON, "second")]
+    scores = SC.score_texts(fx.texts(spark, sf), scorers)
+    return scores.select("lang", "model", "id", "label", F.round("score", 6).alias("score"), D.score_to_binary("score").alias("value"))
 
 
 # The run-variant flags in naming order, and the variants evaluated (baseline and
@@ -44,17 +72,46 @@ def variant_texts(texts: DataFrame, variants=VARIANTS) -> DataFrame:
     return x.select("lang", "id", process.alias("process"), text.alias("text"))
 
 
-@register("eval_variants")
+@register("process_name", "SELECT * FROM (VALUES " + ", ".join(
+    f"({', '.join(str(v).lower() for v in flags)}, '{'_'.join(n for n, v in zip(VARIANT_FLAGS, flags) if v)}')"
+    for flags in product((False, True), repeat=3)) + f") t({', '.join(VARIANT_FLAGS)}, process)")
+def process_name(spark: SparkSession, sf: str) -> DataFrame:
+    """The variant names of all flag settings that the member labels of the given data stand for (every
+    setting occurs: flags are bits of the label rows' ids)."""
+    ids = fx.gold_wide(spark, sf).select("id")
+    flags = [F.col("id").bitwiseAND(1 << k) != 0 for k in range(3)]
+    rows = ids.select(*[f.alias(n) for f, n in zip(flags, VARIANT_FLAGS)]).distinct()
+    return rows.withColumn("process", S.process_name({n: F.col(n) for n in VARIANT_FLAGS}))
+
+
+def eval_variants_sql() -> str:
+    from ..oracle import METRICS, multilabel_ctes, r6
+    names = {False: "baseline_augmentation", True: "baseline_preprocessing_augmentation"}
+    ctes = {}
+    for pre, name in names.items():
+        ctes[f"t{int(pre)}"] = _prepared_sql(pre)
+        ctes[f"s{int(pre)}"] = _scorer_sql("x", "lexicon", SC.DEFAULT_LEXICON).replace("FROM t", f"FROM t{int(pre)}")
+    ctes["pairs"] = " UNION ALL ".join(
+        f"SELECT '{name}' AS process, s.model, s.lang, s.id, s.label, g.gold AS g, CASE WHEN s.score > 0.5 THEN 1 ELSE 0 END AS p "
+        f"FROM s{int(pre)} s JOIN gold g ON g.lang = s.lang AND g.id = s.id AND g.label = s.label" for pre, name in names.items())
+    ctes.update(multilabel_ctes("pairs", ["process", "model", "lang"]))
+    cols = ", ".join(f"{r6(f'avg({m})')} AS avg_{m}" for m in METRICS)
+    return fx.with_ctes(f"SELECT model, {cols}, process, CAST(count(*) AS BIGINT) AS n_langs FROM per_key GROUP BY process, model", ctes)
+
+
+@register("eval_variants", eval_variants_sql)
 def eval_variants(spark: SparkSession, sf: str) -> DataFrame:
     """P13 + C3 + T3 + C5 + M15/M9: the gold texts scored under every run variant in one pass (the
     variant rides along through the Arrow batches), decoded to 0/1, evaluated per (process, model,
-    language) and averaged over languages; one leaderboard row per (process, model)."""
-    gold = fx.gold_table(spark, sf).withColumnRenamed("value", "gold")
+    language) and averaged over languages; one leaderboard row per (process, model). The scorer runs once
+    a text and variant: its output meets the gold in one aggregate, with process and model as the model key."""
+    gold = fx.gold_table(spark, sf)
     texts = fx.texts(spark, sf).join(fx.gold_wide(spark, sf).select("lang", "id"), ["lang", "id"], "left_semi")
     scored = SC.score_texts(variant_texts(texts), preprocess=False, carry=("process",))
-    pairs = scored.select("process", "model", "lang", "id", "label",
-                          D.score_to_binary("score").alias("pred")).join(gold, ["lang", "id", "label"])
-    per = M.multilabel_report(pairs, ["process", "model", "lang"])
+    pred = scored.select("lang", "id", "label", F.concat_ws("|", "process", "model").alias("model"),
+                         D.score_to_binary("score").alias("value"))
+    per = PA.multilabel_report(PA.weighted_pairs(gold, pred), ["model", "lang"])
+    per = per.withColumn("process", F.substring_index("model", "|", 1)).withColumn("model", F.expr("substr(model, instr(model, '|') + 1)"))
     lb = M.average_over(per, ["process", "model"], M.METRICS)
     return _r(lb.select("model", *[f"avg_{m}" for m in M.METRICS], "process", "n_langs"))
 
@@ -77,13 +134,15 @@ def stream_parse_responses(spark: SparkSession, sf: str) -> DataFrame:
     src, sink, ckpt = (scratch_path(spark, n) for n in ("replies-in", "replies-parsed", "replies-ckpt"))
     replies = fx.responses_b(spark, sf)
     catalog = S.label_catalog(fx.gold_table(spark, sf))
-    first, second = replies.where(F.col("lang").isin("de", "en")), replies.where(~F.col("lang").isin("de", "en"))
+    early = F.pmod(F.xxhash64("lang", "id"), F.lit(2)) == 0
+    first, second = replies.where(early), replies.where(~early)
     first.write.mode("append").parquet(src)
     n1 = ST.run_incremental(spark, src, sink, ckpt, catalog)
     second.write.mode("append").parquet(src)
     n2 = ST.run_incremental(spark, src, sink, ckpt, catalog)
     n3 = ST.run_incremental(spark, src, sink, ckpt, catalog)
-    if n3 != 0 or n1 == 0 or n2 == 0:
-        raise RuntimeError(f"incremental runs read {n1}, {n2}, {n3} replies; expected >0, >0, 0")
+    total = replies.count()
+    if n3 != 0 or n1 + n2 != total:
+        raise RuntimeError(f"incremental runs read {n1}, {n2}, {n3} replies; expected {total} in the first two")
     return spark.read.parquet(sink).select("lang", "id", "label", "value")
 

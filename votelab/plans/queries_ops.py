@@ -21,7 +21,6 @@ from .queries import FIXED_COMBO, FIXED_PAIR, FIXED_PAIR_UNION, MEMBERS, _r, _wp
 
 W = fx.with_ctes
 R6 = O.r6
-LANGS = ("de", "en", "es", "fr")
 REQUESTED = MEMBERS + ["m6"]  # m6 is requested but has no predictions
 
 
@@ -35,14 +34,11 @@ def _coerce_sql(x: str) -> str:
 
 
 POOL_CTES = {
-    "raw_pool": ("SELECT 'de' AS lang, id, text, quality, toxic FROM train_base WHERE lang = 'de' "
-                 "UNION ALL BY NAME SELECT 'en' AS lang, id, text, quality, toxic FROM train_base WHERE lang = 'en' "
-                 "UNION ALL BY NAME SELECT 'es' AS lang, id, text, quality FROM train_base WHERE lang = 'es' "
-                 "UNION ALL BY NAME SELECT 'fr' AS lang, id, text, toxic, quality FROM train_base WHERE lang = 'fr'"),
+    "raw_pool": "SELECT lang, id, text, quality, CASE WHEN lang = 'es' THEN NULL ELSE toxic END AS toxic FROM train_base",
     "pool": (f"SELECT lang, id, text, {_coerce_sql('quality')} AS quality, {_coerce_sql('toxic')} AS toxic "
              f"FROM raw_pool"),
     "long_raw": ("SELECT lang, id, 'quality' AS label, quality AS value FROM train_base "
-                 "UNION ALL SELECT lang, id, 'toxic' AS label, toxic AS value FROM train_base WHERE lang <> 'es'"),
+                 "UNION ALL SELECT lang, id, 'toxic' AS label, toxic AS value FROM train_base WHERE lang IS DISTINCT FROM 'es'"),
     "catalog": "SELECT DISTINCT lang, label FROM long_raw",
 }
 
@@ -84,7 +80,7 @@ def label_vector(spark: SparkSession, sf: str) -> DataFrame:
 def hide_gold(spark: SparkSession, sf: str) -> DataFrame:
     """What the scorer may see of a gold file (key, id, text)."""
     frames = fx.train_raw_by_lang(spark, sf)
-    wide = S.union_files([S.lower_columns(df).withColumn("lang", F.lit(k)) for k, df in frames.items()])
+    wide = S.union_files([S.keyed(df, k) for k, df in frames.items()])
     return S.hide_gold(wide)
 
 

@@ -89,7 +89,7 @@ def parse_label_list(spark: SparkSession, sf: str) -> DataFrame:
 
 def parse_intensity_sql() -> str:
     pairs = D.intensity_pairs_sql(D.reply_content_sql("r.raw"))
-    return W(f"SELECT r.lang, r.id, c.label, CAST({D.intensity_for_sql(pairs, 'c.label')} AS INTEGER) AS value "
+    return W(f"SELECT r.lang, r.id, c.label, CAST({D.intensity_for_sql(pairs, 'c.label')} AS BIGINT) AS value "
              f"FROM responses_b r JOIN catalog c ON c.lang = r.lang", CATALOG_SQL)
 
 
@@ -101,21 +101,24 @@ def parse_intensity_list(spark: SparkSession, sf: str) -> DataFrame:
 
 def _decode_sql(expr: str) -> str:
     return W(f"SELECT k.lang, k.model, k.id, c.label, CAST(coalesce(max({expr}), 0) AS INTEGER) AS value "
-             f"FROM (SELECT DISTINCT lang, model, id FROM scores) k JOIN catalog c ON c.lang = k.lang "
+             f"FROM (SELECT t.lang, m.model, t.id FROM texts t CROSS JOIN members m) k JOIN catalog c ON c.lang = k.lang "
              f"LEFT JOIN scores s ON s.lang = k.lang AND s.model = k.model AND s.id = k.id AND lower(s.label) = c.label "
              f"GROUP BY k.lang, k.model, k.id, c.label", CATALOG_SQL)
 
 
 @register("score_to_binary", lambda: _decode_sql("CASE WHEN s.score > 0.5 THEN 1 ELSE 0 END"))
 def score_to_binary(spark: SparkSession, sf: str) -> DataFrame:
-    """Score > 0.5 (strict) per label of the language; missing labels 0."""
-    return D.decode_scores(fx.scores(spark, sf), _catalog(spark, sf), "binary")
+    """Score > 0.5 (strict) per label of the language for every text and member; missing labels and
+    unscored texts 0."""
+    return D.decode_scores(fx.scores(spark, sf), _catalog(spark, sf), "binary",
+                           fx.texts(spark, sf).select("lang", "id"), [m for m, _, _ in fx.MEMBERS])
 
 
 @register("score_to_intensity", lambda: _decode_sql("CAST(round_even(s.score * 3, 0) AS INTEGER)"))
 def score_to_intensity(spark: SparkSession, sf: str) -> DataFrame:
     """round(3 * score), half to even."""
-    return D.decode_scores(fx.scores(spark, sf), _catalog(spark, sf), "intensity")
+    return D.decode_scores(fx.scores(spark, sf), _catalog(spark, sf), "intensity",
+                           fx.texts(spark, sf).select("lang", "id"), [m for m, _, _ in fx.MEMBERS])
 
 
 @register("logit_to_binary", lambda: W(

@@ -49,9 +49,12 @@ def get_session(master: str | None = None, app: str = "votelab", shuffle_partiti
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; set a local one only if unset."""
+    """The shared folder named by ``spark.checkpoint.dir``. Where it is unset, a local one is set in local mode;
+    on a cluster that is an error, since executors couldn't read each other's files."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="votelab-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:

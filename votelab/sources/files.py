@@ -14,6 +14,7 @@ values are never inferred: they are read as strings and coerced explicitly.
 
 from __future__ import annotations
 
+import csv
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
@@ -23,7 +24,12 @@ from pyspark.sql import functions as F
 from ..operators.schema import coerce_label
 from .gates import lang_from_file, model_from_file
 
-CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"', "mode": "FAILFAST"}
+CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "mode": "FAILFAST"}
+
+
+def csv_options(header: tuple[str, ...]) -> dict[str, str]:
+    """Only texts hold line breaks: files without a text column stay splittable."""
+    return {**CSV_OPTIONS, "multiLine": str(any(c.lower() == "text" for c in header)).lower()}
 
 
 def _fs(spark: SparkSession, path: str):
@@ -48,7 +54,7 @@ def read_header(spark: SparkSession, path: str) -> tuple[str, ...]:
         line = reader.readLine() or ""
     finally:
         stream.close()
-    return tuple(c.strip().strip('"') for c in line.lstrip("﻿").split(","))
+    return tuple(c.strip() for c in next(csv.reader([line.lstrip("\ufeff")]), []))
 
 
 # Concurrent header reads: each is one small read of a file's first line, so many files cost
@@ -65,28 +71,31 @@ def group_by_header(spark: SparkSession, files: list[str]) -> dict[tuple[str, ..
     return groups
 
 
-def scan_long(spark: SparkSession, pattern, model_from_dir: bool = False) -> DataFrame:
+def scan_long(spark: SparkSession, pattern, model_from_dir: bool = False, missing_as_zero: bool = False) -> DataFrame:
     """Every CSV matching ``pattern`` as long rows (lang, [model,] id, label, value).
 
     ``lang`` comes from a ``lang=<x>`` folder (partitioned Spark output) or else the file name without
     '.csv' and without a leading 'pred_'; ``model`` (optional) likewise from ``model=<x>`` or the
     parent folder. Labels are the columns other than id/text, lower-cased; a file
-    without label columns contributes no rows (P5)."""
+    without label columns contributes no rows (P5), and neither does an empty cell: an absent label is
+    not a 0 (``missing_as_zero``: the training reading, in which it is)."""
     files = [f for p in ([pattern] if isinstance(pattern, str) else pattern) for f in list_files(spark, p)]
     parts = []
     for header, group in group_by_header(spark, files).items():
         schema = ", ".join(f"`{c}` string" for c in header)
-        df = spark.read.options(**CSV_OPTIONS).schema(schema).csv(group)
+        df = spark.read.options(**csv_options(header)).schema(schema).csv(group)
         path = F.col("_metadata.file_path")
         keys = [lang_from_file(path).alias("lang")]
         if model_from_dir:
             keys.append(model_from_file(path).alias("model"))
         labels = [c for c in header if c.lower() not in ("id", "text")]
-        base = df.select(*keys, F.col(next(c for c in header if c.lower() == "id")).alias("id"), *labels)
+        base = df.select(*keys, F.col(f"`{next(c for c in header if c.lower() == 'id')}`").alias("id"), *[F.col(f"`{c}`") for c in labels])
         if not labels:
             continue
         items = F.array(*[F.struct(F.lit(c.lower()).alias("label"), F.col(f"`{c}`").alias("v")) for c in labels])
         long = base.select(*[k for k in base.columns if k in ("lang", "model", "id")], F.explode(items).alias("x"))
+        if not missing_as_zero:
+            long = long.where(F.coalesce(F.trim("x.v"), F.lit("")) != "")
         parts.append(long.select(*[c for c in long.columns if c != "x"], F.col("x.label").alias("label"),
                                  coerce_label(F.col("x.v")).alias("value")))
     if not parts:
@@ -97,28 +106,60 @@ def scan_long(spark: SparkSession, pattern, model_from_dir: bool = False) -> Dat
 def scan_texts(spark: SparkSession, pattern: str) -> DataFrame:
     """The (lang, id, text) part of gold files (what a scorer may read, P2)."""
     files = list_files(spark, pattern)
-    parts = []
+    parts = [spark.sql("SELECT CAST(NULL AS STRING) AS lang, CAST(NULL AS STRING) AS id, CAST(NULL AS STRING) AS text WHERE false")]
     for header, group in group_by_header(spark, files).items():
         if "text" not in [c.lower() for c in header]:
             continue
         schema = ", ".join(f"`{c}` string" for c in header)
-        df = spark.read.options(**CSV_OPTIONS).schema(schema).csv(group)
+        df = spark.read.options(**csv_options(header)).schema(schema).csv(group)
         idc = next(c for c in header if c.lower() == "id")
         txt = next(c for c in header if c.lower() == "text")
         parts.append(df.select(lang_from_file(F.col("_metadata.file_path")).alias("lang"),
-                               F.col(idc).alias("id"), F.col(txt).alias("text")))
+                               F.col(f"`{idc}`").alias("id"), F.col(f"`{txt}`").alias("text")))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def scan_pool(spark: SparkSession, pattern) -> DataFrame:
+    """S1 + S2: every gold file with labels as one wide training pool (lang, id, text, labels...): headers
+    lower-cased, files unioned by name, labels coerced, a missing label 0 (P7, P8)."""
+    files = [f for p in ([pattern] if isinstance(pattern, str) else pattern) for f in list_files(spark, p)]
+    parts = []
+    for header, group in group_by_header(spark, files).items():
+        low = [c.lower() for c in header]
+        if not set(low) - {"id", "text"}:
+            continue
+        schema = ", ".join(f"`{c}` string" for c in header)
+        df = spark.read.options(**csv_options(header)).schema(schema).csv(group)
+        parts.append(df.select(lang_from_file(F.col("_metadata.file_path")).alias("lang"),
+                               *[F.col(f"`{c}`").alias(c.lower()) for c in header]))
+    if not parts:
+        raise ValueError(f"no label files under {pattern}")
+    pool = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    if "text" not in pool.columns:
+        pool = pool.withColumn("text", F.lit(None).cast("string"))
+    labels = [c for c in pool.columns if c not in ("lang", "id", "text")]
+    return pool.select("lang", "id", "text", *[coerce_label(F.col(f"`{c}`")).alias(c) for c in labels])
+
+
 # ---------------------------------------------------------------- sinks
 
-def write_wide_csv(long_df: DataFrame, path: str, labels: list[str], keys: tuple[str, ...] = ("lang",),
-                   extra: tuple[str, ...] = ()) -> None:
-    """Wide label files (id, [extra...], labels...) partitioned by ``keys`` (one folder per
-    model / language). The label list is the caller's (it is the file layout); a label a language
-    does not have is left out of that language's files only if it is absent for every row."""
-    wide = long_df.groupBy(*keys, "id", *extra).pivot("label", labels).agg(F.first("value"))
-    wide.write.mode("overwrite").partitionBy(*keys).options(header="true", escape='"').csv(path)
+def write_wide_csv(long_df: DataFrame, path: str, labels: list[str] | None = None, keys: tuple[str, ...] = ("lang",),
+                   extra: tuple[str, ...] = (), mode: str = "overwrite") -> None:
+    """Wide label files (id, [extra...], labels...) partitioned by ``keys`` (one folder per model /
+    language). Each folder has the label columns that its rows have, in the order of ``labels`` (default:
+    by name): folders are written together per distinct label set, which a small aggregate (a row per
+    folder) finds. A repeated cell keeps its largest value."""
+    have = long_df.groupBy(*keys).agg(F.array_sort(F.collect_set("label")).alias("__have"))
+    sets = [r["__have"] for r in have.select("__have").distinct().collect()]
+    place = {lab: i for i, lab in enumerate(labels or [])}
+    on = [f"__k{i}" for i in range(len(keys))]
+    for own in sorted(sets):
+        mine = have.where(F.col("__have") == F.array(*[F.lit(x) for x in own])).select(*[F.col(k).alias(o) for k, o in zip(keys, on)])
+        same = [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, on)]
+        rows = long_df.join(mine, same, "left_semi") if len(sets) > 1 else long_df
+        wide = rows.groupBy(*keys, "id", *extra).pivot("label", sorted(own, key=lambda x: (place.get(x, len(place)), x))).agg(F.max("value"))
+        wide.write.mode(mode).partitionBy(*keys).options(header="true", escape='"').csv(path)
+        mode = "append"
 
 
 def write_predictions(pred: DataFrame, path: str) -> None:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import hx, hx_sql
+from ..functions.text import EMOTICONS
 from ..session import scratch_path
 from .tables import read_table
 
@@ -34,22 +35,6 @@ MEMBERS = [("m1", 1, 13000), ("m2", 2, 17000), ("m3", 3, 21000), ("m4", 4, 25000
 LABEL_COLUMNS = ["quality", "toxic"]
 HOLE = ("m4", "es")  # (model, lang) with no predictions
 
-# The 13 emoticons of the preprocessing step, in their replacement order.
-EMOTICONS = [
-    (":)", "happy"),
-    (":-)", "happy"),
-    (":D", "very happy"),
-    (":-D", "very happy"),
-    (":(", "sad"),
-    (":-(", "sad"),
-    (":'(", "crying"),
-    (":/", "confused"),
-    (":-/", "confused"),
-    (";)", "wink"),
-    (";-)", "wink"),
-    ("<3", "love"),
-    (":|", "neutral"),
-]
 # Appended to texts by doc_id % 16: the 13 emoticons, then three emojis.
 TEXT_TOKENS = [e for e, _ in EMOTICONS] + ["\U0001F600", "\U0001F389", "\U0001F44D\U0001F44D"]
 
@@ -196,28 +181,25 @@ def _dirty(col: str):
             .otherwise(v))
 
 
-def train_raw_by_lang(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Training files as the pool reader sees them: one frame per language, dirty label text.
-
-    ``es`` has no ``toxic`` column; ``de`` has upper-case headers; ``fr`` orders labels differently.
+def train_raw_by_lang(spark: SparkSession, sf_dir: str) -> dict[str | None, DataFrame]:
+    """Training files as the pool reader sees them, dirty label text: a frame for each language with a
+    peculiar header (``es`` has no ``toxic`` column; ``de`` has upper-case headers; ``fr`` orders labels
+    differently), and one frame with its own ``lang`` column (key None) for all other languages and
+    none.
     """
     d = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     lab = read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     base = d.join(lab, "doc_id").select(F.col("doc_id").alias("id"), "lang", "text", "quality", "toxic") \
         .select("id", "lang", "text", _dirty("quality").alias("quality"), _dirty("toxic").alias("toxic"))
-    out = {}
-    for lang in ("de", "en", "es", "fr"):
-        part = base.where(F.col("lang") == lang)
-        if lang == "es":
-            out[lang] = part.select("id", "text", "quality")
-        elif lang == "de":
-            out[lang] = part.select(F.col("id").alias("ID"), F.col("text").alias("Text"),
-                                    F.col("quality").alias("Quality"), F.col("toxic").alias("TOXIC"))
-        elif lang == "fr":
-            out[lang] = part.select("id", "text", "toxic", "quality")
-        else:
-            out[lang] = part.select("id", "text", "quality", "toxic")
-    return out
+    part = {k: base.where(F.col("lang") == k) for k in ("de", "es", "fr")}
+    special = F.coalesce(F.col("lang").isin(*part), F.lit(False))
+    return {
+        "de": part["de"].select(F.col("id").alias("ID"), F.col("text").alias("Text"),
+                                F.col("quality").alias("Quality"), F.col("toxic").alias("TOXIC")),
+        "es": part["es"].select("id", "text", "quality"),
+        "fr": part["fr"].select("id", "text", "toxic", "quality"),
+        None: base.where(~special).select("lang", "id", "text", "quality", "toxic"),
+    }
 
 
 def done(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import local_table
 
 PRED_PREFIX = "pred_"
+NO_KEY = "__HIVE_DEFAULT_PARTITION__"  # the folder of rows whose key is null
 
 
 def lang_from_file(path: Column, strip_prefix: bool = True) -> Column:
@@ -17,7 +18,7 @@ def lang_from_file(path: Column, strip_prefix: bool = True) -> Column:
     hive = F.regexp_extract(path, r"/lang=([^/]+)/", 1)
     base = F.regexp_extract(path, r"([^/]+?)\.csv(/[^/]*)?$", 1)
     base = F.regexp_replace(base, f"^{PRED_PREFIX}", "") if strip_prefix else base
-    return F.when(hive != "", hive).otherwise(base)
+    return F.when(hive == NO_KEY, None).when(hive != "", hive).otherwise(base)
 
 
 def model_from_file(path: Column) -> Column:

@@ -30,8 +30,15 @@ def run_incremental(spark: SparkSession, source_dir: str, sink_dir: str, checkpo
     """Process every reply file not processed yet, then stop. Returns the reply rows read by this run."""
     stream = spark.readStream.schema(REPLIES_SCHEMA).format(file_format).load(source_dir)
     parsed = parse_stream(stream, catalog, kind)
-    q = (parsed.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", checkpoint_dir).option("path", sink_dir)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    # the count needs every micro-batch's progress, not only the last hundred
+    conf, kept = "spark.sql.streaming.numRecentProgressUpdates", 1_000_000
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, str(kept))
+    try:
+        q = (parsed.writeStream.format("parquet").outputMode("append")
+             .option("checkpointLocation", checkpoint_dir).option("path", sink_dir)
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        spark.conf.set(conf, before)
     return sum(int(p["numInputRows"]) for p in q.recentProgress)
