@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import oracle as O
-from ..registry import register
+from ..registry import ORACLE, register
 from ..session import scratch_path
 from ..sources import files as IO
 from ..sources import fixtures as fx
 from ..sources.tables import read_table
 from . import leaderboard as L
+from . import queries_ops as QO
 from .queries import MEMBERS, _r
 
 W = fx.with_ctes
@@ -125,3 +126,21 @@ def sink_results(spark: SparkSession, sf: str) -> DataFrame:
     again = _r(L.per_language(g, p, MEMBERS, "union")).where(F.col("combo").startswith("m1_"))
     IO.overwrite_results(again, root, ["combo"])
     return spark.read.parquet(root)
+
+
+def _sunk(spark: SparkSession, rows: DataFrame, name: str, by: str) -> DataFrame:
+    root = scratch_path(spark, name)
+    IO.overwrite_results(rows, root, [by])
+    return spark.read.parquet(root).select(*rows.columns)
+
+
+@register("sink_per_label", lambda: ORACLE["per_label_report"])
+def sink_per_label(spark: SparkSession, sf: str) -> DataFrame:
+    """S7 + M7: the long per-label rows of the fixed union, written by language and read back."""
+    return _sunk(spark, QO.per_label_report(spark, sf), "per-label", "lang")
+
+
+@register("sink_per_label_average", lambda: ORACLE["per_label_average"])
+def sink_per_label_average(spark: SparkSession, sf: str) -> DataFrame:
+    """S7 + M10: their mean over languages, written by metric and read back."""
+    return _sunk(spark, QO.per_label_average(spark, sf), "per-label-average", "metric")
