@@ -118,11 +118,13 @@ def planted(seed=8):
 
 def test_planted_passages_are_found_and_cut(spark):
     texts, p = planted()
-    rows = [*texts.items(), (1, None), (2, ""), (3, "a few words"), (None, " ".join(p)), (17, "junk " * 4000)]
+    rows = [*texts.items(), (1, None), (2, ""), (3, "a few words"), (None, " ".join(p)), (17, "junk " * 4000),
+                               (18, "start " + "junk " * 120 + "end")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source_id", F.lit("x"))
     got = substrings.passages(docs)
     by = {r["doc_id"]: r for r in got.collect()}
-    assert set(by) == {11, 12, 13, 16} and all(r["source_id"] == 10 for r in by.values())
+    assert set(by) == {11, 12, 13, 16, 18} and all(by[i]["source_id"] == 10 for i in (11, 12, 13, 16))
+    assert (by[18]["source_id"], by[18]["start_word"], by[18]["end_word"]) == (17, 1, 121)
     for i in (11, 16):
         assert words_of(texts[i][by[i]["start_char"]: by[i]["end_char"]]) == p and by[i]["n_match"] == 60
     assert by[12]["n_words"] == 60 and by[12]["n_match"] == 58 and by[13]["n_words"] == 62 and by[13]["n_match"] == 60

@@ -161,9 +161,9 @@ class Model:
         return np.where(none, -1, best), np.where(none, 0.0, 1 / odds.sum(axis=1)), ok & ~none
 
 
-def _count(h: list[np.ndarray], at: np.ndarray) -> tuple[dict, dict]:
-    """Kneser-Ney probabilities and back-off weights of one language: per order ``{hash: probability}`` as
-    arrays, and ``{context hash: weight}``."""
+def _count(h: list[np.ndarray], at: np.ndarray) -> tuple[dict, dict, int]:
+    """One language's Kneser-Ney probabilities and back-off weights, each per order as ``(hashes, values)``, and
+    its number of letters."""
     # distinct grams of each order, with one place each; the lower orders count distinct left neighbours
     place, count = {}, {}
     _, first, n = np.unique(h[ORDER][at], return_index=True, return_counts=True)

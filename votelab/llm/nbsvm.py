@@ -7,7 +7,8 @@ fitted by cross-validation turns margins into scores.
 
 Defined results: a null or empty text has no indicator and gets the score of the bias alone; with labels of
 one class only, every score is the smoothed share of class 1; repeated rows score alike; other input columns
-pass through unread, and the output column takes the place of an input column of its name. Fitting takes a bounded sample of labelled texts (``sample_rows`` texts of at most
+pass through unread, and the output column takes the place of an input column of its name. Fitting takes a
+bounded sample of labelled texts (``sample_rows`` texts of at most
 ``sample_chars`` characters, drawn by a hash of the id); scoring covers every row and whole texts.
 """
 
