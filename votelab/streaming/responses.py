@@ -12,7 +12,6 @@ from the last committed batch.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions import decode as D
 
