@@ -127,6 +127,23 @@ def train_baseline(spark: SparkSession, sf: str) -> DataFrame:
     return _r(PA.training_metrics(PA.weighted_pairs(gold, dec), ["model"]))
 
 
+def _baseline_coverage_sql() -> str:
+    from .queries_ops import POOL_CTES
+    return fx.with_ctes(
+        "SELECT l.label, count(*) AS n_scored, CAST(0 AS BIGINT) AS n_outside FROM pool "
+        "CROSS JOIN (VALUES ('quality'), ('toxic')) l(label) "
+        "WHERE substr(md5('42|' || CAST(id AS VARCHAR)), 1, 8) < '33333333' GROUP BY l.label", POOL_CTES)
+
+
+@register("train_baseline_coverage", _baseline_coverage_sql)
+def train_baseline_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """T4: per label, how many held-out rows the trained baseline scores, and how many scores are no probability."""
+    pool = T.with_split(S.train_pool(fx.train_raw_by_lang(spark, sf)))
+    scores = SC.train_baseline(pool, ["quality", "toxic"])
+    outside = F.col("score").isNull() | F.isnan("score") | ~F.col("score").between(0, 1)
+    return scores.groupBy("label").agg(F.count("*").alias("n_scored"), F.sum(outside.cast("long")).alias("n_outside"))
+
+
 @register("stream_parse_responses", parse_intensity_sql)
 def stream_parse_responses(spark: SparkSession, sf: str) -> DataFrame:
     """ST1: replies arrive in two drops of files; each availableNow run parses only the new files,
