@@ -115,4 +115,5 @@ def test_scorer_runs_when_launched_outside_the_repo():
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tempfile.mkdtemp(prefix="votelab-cwd-"),
                          capture_output=True, text=True, timeout=600, env=env)
-    assert "ROWS 400" in out.stderr, out.stderr[-2000:]
+    assert "ROWS 800" in out.stderr  # 200 texts x 2 labels x 2 scorers
+    assert out.returncode == 0, out.stderr[-2000:]

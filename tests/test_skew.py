@@ -65,7 +65,7 @@ def test_skewed_language_and_hot_cell(spark, rule):
     gold, pred = _skewed_tables()
     g = spark.createDataFrame(gold, "lang string, id long, label string, value int")
     p = spark.createDataFrame(pred, "lang string, model string, id long, label string, value int")
-    got = {(r.combo, r.lang): r.asDict() for r in L.per_language(g, p, MEMBERS, rule).collect()}
+    got = {(r.combo, r.lang): r.asDict() for r in L.per_language(g, p, MEMBERS, rule, misaligned="zero").collect()}
     seen = set()
     for combo in (["m1", "m2"], ["m1", "m3"], ["m2", "m3"], ["m1", "m2", "m3"]):
         name = "_".join(combo)
@@ -119,10 +119,10 @@ def test_fixed_vote_paired_equals_vote_then_join(spark, rule, kind):
     g = spark.createDataFrame(gold, "lang string, id long, label string, value int")
     p = spark.createDataFrame(pred, "lang string, model string, id long, label string, value int")
     ms = ["m1", "m2", "m3"]
-    want = sorted(tuple(r) for r in E.vote_fixed(p, ms, rule, kind).join(
+    want = sorted(tuple(r) for r in E.vote_fixed(p, ms, rule, kind, misaligned="zero").join(
         g.withColumnRenamed("value", "gold"), ["lang", "id", "label"]).select(
         "lang", "id", "label", "gold", "value").collect())
-    got = sorted(tuple(r) for r in E.vote_fixed_paired(p, g, ms, rule, kind).collect())
+    got = sorted(tuple(r) for r in E.vote_fixed_paired(p, g, ms, rule, kind, misaligned="zero").collect())
     assert got == want and len(got) > 0
 
 
