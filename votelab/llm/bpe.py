@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import extend
+from .common import extend, worker_cache
 
 CACHE_WORDS = 350_000   # recent words whose ids a worker remembers, and as many older ones
 CACHE_CHARS = 64        # longer words are not remembered
@@ -170,14 +170,12 @@ class Codec:
         return [x for x in s if x >= 0]
 
 
-_codecs: dict[int, Codec] = {}
-
-
 def _codec(spec: str) -> Codec:
-    if hash(spec) not in _codecs:
-        _codecs.clear()
-        _codecs[hash(spec)] = Codec(spec)
-    return _codecs[hash(spec)]
+    held = worker_cache("bpe")
+    if hash(spec) not in held:
+        held.clear()
+        held[hash(spec)] = Codec(spec)
+    return held[hash(spec)]
 
 
 def load_spec(path: str) -> str:
@@ -206,7 +204,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
         return out
 
     add = [T.StructField(ids, T.ArrayType(T.IntegerType()))]
-    return extend(df, text, add + ([T.StructField(decoded, T.StringType())] if decoded else []), compute)
+    return extend(df, "bpe", text, add + ([T.StructField(decoded, T.StringType())] if decoded else []), compute)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -217,4 +215,4 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
         codec = _codec(spec.value)
         return [pa.array([codec.decode(np.array(x, np.int32)) if x else "" for x in b.column(ids).to_pylist()], pa.string())]
 
-    return extend(df, ids, [T.StructField(out, T.StringType())], compute)
+    return extend(df, "bpe", ids, [T.StructField(out, T.StringType())], compute)

@@ -29,6 +29,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What one operator keeps in this Python worker between tasks. What other operators left there goes, so that a
+    reused worker holds one operator's tables and caches at a time."""
+    for other in [k for k in _caches if k != owner]:
+        del _caches[other]
+    return _caches.setdefault(owner, {})
+
+
 def fresh(prefix: str) -> str:
     """A column name that no caller's column clashes with."""
     return f"__{prefix}_{uuid.uuid4().hex[:8]}"
@@ -53,7 +64,8 @@ def pieces(batches: Iterator[pa.RecordBatch], col: str, most: int = 8 << 20) ->
             i = j
 
 
-def extend(df: DataFrame, read: str, fields: list[T.StructField], compute: Callable[[pa.RecordBatch], list], most: int = 8 << 20) -> DataFrame:
+def extend(df: DataFrame, owner: str, read: str, fields: list[T.StructField], compute: Callable[[pa.RecordBatch], list],
+           most: int = 8 << 20) -> DataFrame:
     """``df`` with new columns that ``compute`` derives from slices of at most about ``most`` bytes of the column
     ``read``. A new column takes the place of one of the same name (in any letter case)."""
     prepare(df.sparkSession)
@@ -62,6 +74,7 @@ def extend(df: DataFrame, read: str, fields: list[T.StructField], compute: Calla
     names = [f.name for f in kept]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache(owner)
         for b in pieces(batches, read, most):
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *compute(b)], [*names, *new])
 

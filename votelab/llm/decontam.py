@@ -163,5 +163,5 @@ def contained(docs: DataFrame, items: DataFrame, text: str = "text", item_id: st
                     got[g.first + d].append({"item_id": names[i], "n_shingles": len(index.sets[i]), "n_common": c})
             return [pa.array(got, b.schema.field(out).type)]
 
-        done = extend(done, text, [T.StructField(out, leak)], compute)
+        done = extend(done, "decontam", text, [T.StructField(out, leak)], compute)
     return done

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import extend
+from .common import extend, worker_cache
 from .textbuf import mix
 
 ORDER = 4
@@ -33,20 +33,20 @@ SAMPLE_DOCS = 500
 SAMPLE_CHARS = 50_000
 UNKNOWN = "und"
 _P = np.uint64(0xD6E8FEB86659FD93)
-_letters: list[np.ndarray] = []
 
 
 def letter_table() -> np.ndarray:
     """Code point -> its lower-case letter, or a space."""
-    if not _letters:
+    held = worker_cache("langid")
+    if not held:
         t = np.full(0x110000, 32, np.uint32)
         for i in range(0x110000):
             c = chr(i)
             if c.isalpha():
                 low = c.lower()
                 t[i] = ord(low) if len(low) == 1 else i
-        _letters.append(t)
-    return _letters[0]
+        held["letters"] = t
+    return held["letters"]
 
 
 class Chars(NamedTuple):
@@ -234,7 +234,7 @@ def fit(texts: list[str], langs: list[str]) -> Model:
             values[where[known], j] = np.log(p[known])
         grams[k] = Table(mix(union), values)
     # limits for languages with too few texts to calibrate: generous ones about the counted texts
-    model.slack, model.slope = np.full(len(names), 1.5), np.full(len(names), 4.0)
+    model.slack, model.slope = np.full(len(names), 1.5), np.full(len(names), 6.0)
     model.mean = np.array([model.cross_entropies(places[g][0])[:, j].mean() for j, g in enumerate(names)])
     _calibrate(model, held)
     return model
@@ -254,7 +254,7 @@ def _calibrate(model: Model, held: dict[str, list[str]]) -> None:
         beyond = ce[:, j] - model.mean[j]
         long = n >= np.median(n)
         model.slack[j] = max(0.75, 2 * beyond[long].max())
-        model.slope[j] = max(4.0, 1.5 * ((beyond - model.slack[j]) * np.sqrt(n)).max())
+        model.slope[j] = max(6.0, 1.5 * ((beyond - model.slack[j]) * np.sqrt(n)).max())
         gaps.append(ce), sizes.append(n), right.append(np.full(len(n), j))
     if gaps:
         ce, n, j = np.concatenate(gaps), np.concatenate(sizes), np.concatenate(right)
@@ -289,5 +289,5 @@ def identify(df: DataFrame, model: Model, text: str = "text", lang_pred: str = "
         who, s, ok = shared.value.predict([t or "" for t in b.column(text).to_pylist()])
         return [pa.array(names[who], pa.string()), pa.array(s, pa.float64()), pa.array(ok)]
 
-    return extend(df, text, [T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType()),
+    return extend(df, "langid", text, [T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType()),
                              T.StructField(accepted, T.BooleanType())], compute, 1 << 19)

@@ -129,7 +129,7 @@ def scan(df: DataFrame, text: str = "text", templates: dict[str, list[str]] = TE
         got = [shared.value.scan(t or "") for t in b.column(text).to_pylist()]
         return [pa.array([x[0] for x in got], pa.string()), *[pa.array([x[i] for x in got], pa.float64()) for i in (1, 2)]]
 
-    return extend(df, text, [T.StructField("own_licence", T.StringType()), T.StructField("licence_score", T.DoubleType()),
+    return extend(df, "licenses", text, [T.StructField("own_licence", T.StringType()), T.StructField("licence_score", T.DoubleType()),
                              T.StructField("licence_share", T.DoubleType())], compute)
 
 

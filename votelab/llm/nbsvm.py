@@ -1,6 +1,7 @@
 """Quality classifier: naive Bayes support vectors.
 
-A text's n-grams (words, word pairs, pairs of equal neighbours, byte triples) are hashed to indicators. Each
+A text's n-grams (words, word pairs, runs of 2 to 8 equal words whatever the word, byte triples) are hashed to
+indicators. Each
 indicator is scaled by the log ratio of its smoothed frequencies in the two classes; a linear hinge-loss
 model over the scaled, length-normalised indicators is fitted by dual coordinate descent. A logistic curve
 fitted by cross-validation turns margins into scores.
@@ -29,6 +30,8 @@ from .rules import draw
 BITS = 18
 SAMPLE_ROWS = 6_000
 SAMPLE_CHARS = 50_000
+#: Indicator of a run of so many equal words.
+_RUNS = (tb.mix(np.arange(9, dtype=np.uint64) + np.uint64(0x5A17)) >> np.uint64(64 - BITS)).astype(np.int64)
 _TRIPLE = np.uint32(2654435761)
 
 
@@ -39,10 +42,11 @@ def indicators(col) -> Iterator[np.ndarray]:
         w = tb.words(g)
         top = np.uint64(64 - BITS)
         one = (w.hash >> top).astype(np.int32)
-        two = w.hash[:-1] * np.uint64(3) + w.hash[1:]
-        same = w.hash[:-1] == w.hash[1:]
-        two[same] = np.uint64(0x5A17)          # a word and itself again
-        two = (tb.mix(two) >> top).astype(np.int32)
+        two = (tb.mix(w.hash[:-1] * np.uint64(3) + w.hash[1:]) >> top).astype(np.int32)
+        at = np.arange(len(w.hash))
+        new = np.append(True, w.hash[1:] != w.hash[:-1])[: len(at)]
+        new[w.off[:-1][np.diff(w.off) > 0]] = True
+        run = at - np.maximum.accumulate(np.where(new, at, 0)) + 1       # equal words up to each
         d = g.data.astype(np.uint32)
         three = (((d[:-2] << np.uint32(16) | d[1:-1] << np.uint32(8) | d[2:]) * _TRIPLE) >> np.uint32(32 - BITS)).astype(np.int32)
         for i in range(len(g.off) - 1):
@@ -50,6 +54,8 @@ def indicators(col) -> Iterator[np.ndarray]:
             seen[one[a:b]] = True
             seen[two[a: max(a, b - 1)]] = True
             seen[three[s: max(s, e - 2)]] = True
+            if b > a:
+                seen[_RUNS[2: run[a:b].max() + 1]] = True
             found = np.flatnonzero(seen)
             seen[found] = False
             yield found
@@ -162,4 +168,4 @@ def train(df: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """``df`` with the probability of class 1."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    return extend(df, text, [T.StructField(out, T.DoubleType())], lambda b: [pa.array(shared.value.scores(b.column(text)), pa.float64())])
+    return extend(df, "nbsvm", text, [T.StructField(out, T.DoubleType())], lambda b: [pa.array(shared.value.scores(b.column(text)), pa.float64())])

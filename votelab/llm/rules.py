@@ -219,7 +219,7 @@ def with_statistics(df: DataFrame, text: str = "text", trees: Trees | None = Non
             s[score] = trees.scores(s[list(FEATURES)].to_numpy(float))
         return [pa.array(s[c].to_numpy(), pa.int64() if c in COUNTS else pa.float64()) for c in add]
 
-    return extend(df, text, [T.StructField(c, T.LongType() if c in COUNTS else T.DoubleType()) for c in add], compute)
+    return extend(df, "rules", text, [T.StructField(c, T.LongType() if c in COUNTS else T.DoubleType()) for c in add], compute)
 
 
 def train(df: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text",
