@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbuf as tb
-from .common import pieces, prepare, written
+from .common import pieces, prepare, worker_cache, written
 
 CLASSES, WIDTH = 2048, 16
 BLOCK_BYTES = 6 << 20
@@ -40,21 +40,26 @@ _END, _OTHER, ENDINGS = 0, 1, 64               # classes 1 to 64 are shared by t
 
 def blocks(docs: DataFrame) -> DataFrame:
     """Blocks of ``docs (id, text, train)``: ``block``, the documents' ``ids``, ``train`` flags and token bounds
-    ``off``, the distinct ``words`` with their counts ``n`` in training texts, and all ``tokens`` as places
-    among them (int32 bytes)."""
+    ``off``, the distinct ``words`` (the block's most frequent first) with their counts ``n`` in training texts,
+    and all ``tokens`` as places among them, packed."""
     def pack(number: int, ids: list, train: list, sizes: list, hashes: list) -> pa.RecordBatch:
         off = np.zeros(len(ids) + 1, np.int64)
         np.cumsum(sizes, out=off[1:])
-        words, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
+        words, tokens, often = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        order = np.argsort(-often, kind="stable")         # small places for frequent words pack well
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        words, tokens = words[order], place[tokens]
         flags = np.repeat(np.array(train, bool), sizes)
         counts = np.bincount(tokens[flags], minlength=len(words)).astype(np.int64)
         return pa.RecordBatch.from_arrays(
             [pa.array([number]), pa.array([ids], pa.list_(pa.int64())), pa.array([train], pa.list_(pa.bool_())),
              _one_list(off), _one_list(words.view(np.int64)), _one_list(counts),
-             pa.array([tokens.astype(np.int32).tobytes()], pa.binary())],
+             pa.array([_pack(tokens)], pa.binary())],
             ["block", "ids", "train", "off", "words", "n", "tokens"])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("loglinear")
         number = TaskContext.get().partitionId() << 32
         ids, train, sizes, hashes, held = [], [], [], [], 0
         for b in pieces(batches, "text"):
@@ -83,6 +88,16 @@ def blocks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(make, "block long, ids array<long>, train array<boolean>, off array<long>, words array<long>, n array<long>, tokens binary")
 
 
+def _pack(tokens: np.ndarray) -> bytes:
+    """Places as zstd-compressed byte planes, so that neither the table nor a shuffle holds their many zeros."""
+    return pa.compress(np.ascontiguousarray(tokens.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+
+
 def _ending(data: np.ndarray, w: tb.Words) -> np.ndarray:
     """A code below ENDINGS of each word's last two bytes; it takes the place of the hash's last bits."""
     a = tb.LOWER_CODE[data[w.end - 1]] * tb.BASE + tb.LOWER_CODE[data[np.maximum(w.end - 2, w.start)]]
@@ -176,8 +191,8 @@ def new_state(m: Model, start: float = 1.0) -> list:
 
 def _training_tokens(m: Model, row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Contexts and classes of a block's training tokens."""
-    classes = m.class_of(np.asarray(row["words"], np.int64).view(np.uint64))[np.frombuffer(row["tokens"], np.int32)]
     off = np.asarray(row["off"], np.int64)
+    classes = m.class_of(np.asarray(row["words"], np.int64).view(np.uint64))[_unpack(row["tokens"], int(off[-1]))]
     left, near = contexts(classes, off)
     use = np.repeat(np.asarray(row["train"], bool), np.diff(off))
     return left[use], near[use], classes[use]
@@ -215,15 +230,10 @@ def train(table: DataFrame, counts: DataFrame, total: int) -> Model:
     m.others, m.kinds = tokens, kinds
     if not total:
         return m
-    # a bounded sample of blocks for a start
-    share = min(1.0, SAMPLE_TOKENS / total)
-    drawn = table.where(F.pmod(F.xxhash64("block"), F.lit(1 << 30)) < int((1 << 30) * share) + 1).select("train", "off", "words", "tokens")
-    parts, n = [], 0
-    for row in drawn.toLocalIterator():
-        parts.append(_training_tokens(m, row.asDict()))
-        n += len(parts[-1][0])
-        if n >= SAMPLE_TOKENS:
-            break
+    # a bounded sample of blocks for a start: about twice the wanted tokens, in one job
+    share = min(1.0, 2 * SAMPLE_TOKENS / total)
+    drawn = table.where(F.pmod(F.xxhash64("block"), F.lit(1 << 30)) <= int((1 << 30) * share)).select("block", "train", "off", "words", "tokens")
+    parts = [_training_tokens(m, row.asDict()) for row in sorted(drawn.collect(), key=lambda row: row["block"])]
     rng, state = np.random.default_rng(17), new_state(m)
     if parts:
         a, b, w = (np.concatenate(x)[:SAMPLE_TOKENS] for x in zip(*parts))
@@ -270,15 +280,13 @@ def _copy(m: Model) -> Model:
     return own
 
 
-_tables: dict = {}
-
-
 def _tables_of(m: Model) -> tuple:
     key = hash(m.parameters().tobytes())
-    if key not in _tables:
-        _tables.clear()
-        _tables[key] = m.tables()
-    return _tables[key]
+    held = worker_cache("loglinear")
+    if key not in held:
+        held.clear()
+        held[key] = m.tables()
+    return held[key]
 
 
 def scores(docs: DataFrame, train_rows, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -310,7 +318,8 @@ def scores(docs: DataFrame, train_rows, text: str = "text", doc_id: str = "doc_i
             c = np.zeros(len(words))
             if r["place"] is not None:
                 c[r["place"]] = r["c"]
-            tokens, off = np.frombuffer(r["tokens"], np.int32), np.asarray(r["off"], np.int64)
+            off = np.asarray(r["off"], np.int64)
+            tokens = _unpack(r["tokens"], int(off[-1]))
             of_class = m.class_of(words)
             base = np.log10((c + 0.1) / (total + 0.1 * (kinds + 1)))
             share = (c + 0.1) / mass[(words & np.uint64(ENDINGS - 1)).astype(np.int64)]
