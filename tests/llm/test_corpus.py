@@ -79,8 +79,11 @@ def test_near_duplicates_match_brute_force(spark, k, percent):
         assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), want[r["doc_id"]], want[r["doc_id"]] == r["doc_id"])
 
 
-def test_near_duplicates_of_a_large_group_and_odd_rows(spark):
-    """A drifting group: neighbours are linked though most aren't linked with the smallest document."""
+@pytest.mark.parametrize("block", [1000, 7])
+def test_near_duplicates_of_a_large_group_and_odd_rows(spark, monkeypatch, block):
+    """A drifting group: neighbours are linked though most aren't linked with the smallest document. Its buckets are
+    searched whole and in small blocks."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
     rng = random.Random(4)
     vocab = vocabulary(400, 1)
     base = [rng.choice(vocab) for _ in range(120)]
