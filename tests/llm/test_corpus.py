@@ -159,6 +159,40 @@ def test_repeated_windows_are_covered(spark):
     assert set(need) <= set(covered)
 
 
+def uncovered(docs, got):
+    """Words of 50-word windows that a smaller document holds too, and no passage covers; all such words."""
+    words, where, need, covered = {i: words_of(t) for i, t in docs.items()}, defaultdict(list), defaultdict(set), defaultdict(set)
+    for i, w in words.items():
+        for j in range(len(w) - 49):
+            where[tuple(w[j:j + 50])].append((i, j))
+    for places in where.values():
+        for i, j in places:
+            if i != min(places)[0]:
+                need[i].update(range(j, j + 50))
+    for r in got:
+        assert r["n_words"] >= 50 and 100 * r["n_match"] >= 80 * r["n_words"] and r["source_id"] < r["doc_id"]
+        covered[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    return sum(len(s - covered[i]) for i, s in need.items()), sum(map(len, need.values()))
+
+
+def test_repeats_whose_parts_stand_in_smaller_documents_are_found(spark):
+    rng = random.Random(12)
+    texts = {}
+    for case in range(20):
+        own = lambda n: [f"o{rng.randrange(10**9)}" for _ in range(n)]
+        s1, s2 = own(45), own(45)
+        texts |= {10 * case + i: " ".join(own(20) + x + own(20)) for i, x in enumerate((s1, s2, s1 + s2, s1 + s2), 1)}
+    got = substrings.passages(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["source_id"]) for r in got} >= {(10 * c + 4, 10 * c + 3) for c in range(20)}
+    assert uncovered(texts, got) == (0, 1800)
+
+
+def test_no_repeated_window_is_missed(spark):
+    docs = spark.read.parquet(f"{MID}/documents.parquet")
+    missed, total = uncovered({r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}, substrings.passages(docs).collect())
+    assert total > 10_000 and missed == 0
+
+
 def test_chains_equal_quadratic_chaining():
     rng = random.Random(5)
     for _ in range(60):
