@@ -187,6 +187,22 @@ def test_repeats_whose_parts_stand_in_smaller_documents_are_found(spark):
     assert uncovered(texts, got) == (0, 1800)
 
 
+def test_repeats_in_another_order_in_the_source_are_found(spark):
+    rng = random.Random(13)
+    texts = {}
+    own = lambda n: [f"o{rng.randrange(10**9)}" for _ in range(n)]
+    for case in range(20):
+        h1, h2, phrase = own(30), own(30), own(12)
+        texts[10 * case + 1] = " ".join(h2 + own(50) + h1 + own(50) + h1 + h2 + own(9))
+        texts[10 * case + 2] = " ".join(own(15) + h1 + h2 + own(15))
+        tail = phrase + own(10) + phrase + own(10) + phrase
+        texts[10 * case + 3], texts[10 * case + 4] = " ".join(phrase + own(60) + tail), " ".join(own(30) + tail)
+    texts |= {500: "junk " * 53, 501: "other " + "junk " * 400}
+    got = substrings.passages(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()
+    assert uncovered(texts, got) == (0, 20 * (60 + 56) + 400)
+    assert sum(r["doc_id"] == 501 for r in got) < 100
+
+
 def test_no_repeated_window_is_missed(spark):
     docs = spark.read.parquet(f"{MID}/documents.parquet")
     missed, total = uncovered({r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}, substrings.passages(docs).collect())
