@@ -220,6 +220,20 @@ def test_licences_are_found_and_inherited(spark):
     assert licenses.inherit(licenses.scan(files.limit(0))).count() == 0
 
 
+def test_licences_inside_long_lines_and_across_lines_are_found(spark):
+    rng = np.random.default_rng(3)
+    plain = lambda n: " ".join(f"w{v}" for v in rng.integers(0, 5000, n))
+    apache = "Licensed under the Apache License, Version 2.0."
+    gpl = ("# This program is free software: you can redistribute\n# it and/or modify\n# it under the terms of the GNU\n"
+           "# General Public License as published")
+    rows = [(1, f"{plain(250)} {apache} {plain(250)}"), (2, f"{plain(30)}\n{gpl}\n{plain(30)}"), (3, apache.replace(" ", "\n")), (4, plain(500)),
+            (5, f"{plain(100)} has a licence {plain(100)}"), (6, "\n".join(licenses.TEMPLATES["BSD-3-Clause"]).replace(" ", "\n")), (7, "")]
+    docs = spark.createDataFrame([*rows, *[(i, plain(40)) for i in range(10, 300)]], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    assert [out[i]["own_licence"] for i in range(1, 8)] == ["Apache-2.0", "GPL-3.0", "Apache-2.0", None, None, "BSD-3-Clause", None]
+    assert out[1]["licence_score"] > 0.99 and out[1]["licence_share"] < 0.05 and out[3]["licence_share"] > 0.99 and out[6]["licence_share"] > 0.99
+
+
 def test_fold_is_crc32_of_the_decimal_id(spark):
     from votelab.llm.common import crc_mod
     got = spark.range(50).select("id", crc_mod("id", 10).alias("m")).toPandas()

@@ -1,11 +1,12 @@
 """Licence scans: TF-IDF cosine of licence statements to templates, then inheritance along directories.
 
 1. Document frequencies of the templates' terms are counted over all texts; they weigh the terms.
-2. Every paragraph (line) of a text that names a licence, wherever it stands, is compared with all templates by
-   the cosine of sparse TF-IDF vectors; terms outside the templates count in its length. The best template at
-   or above ``limit`` is the file's own licence.
-3. A file is a licence file of its directory if its name says so or if its licence paragraphs hold at least
-   half of its words. Files without a licence of their own take that of the nearest ancestor directory with a
+2. Of a text that names a licence, every line that does so, every window of a template's number of terms (across
+   line feeds and inside long lines) and the whole text are compared with the templates by the cosine of sparse
+   TF-IDF vectors, the whole text with each licence's templates together too; terms outside the templates count in
+   the length. The best template at or above ``limit`` is the file's own licence.
+3. A file is a licence file of its directory if its name says so or if its licence paragraphs and windows hold at
+   least half of its words. Files without a licence of their own take that of the nearest ancestor directory with a
    licence file, their own directory first: distinct directories are joined with their ancestors' licences,
    and files with their directories.
 
@@ -48,6 +49,7 @@ TEMPLATES: dict[str, list[str]] = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
 }
 _TERM = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
+_WORD = re.compile(r"\S+")
 _CUE = re.compile(r"licen[cs]|copyright|copyleft|spdx|permission is hereby|redistribution|creative commons", re.IGNORECASE)
 LICENCE_FILE = r"(?i)(^|/)(un)?(licen[cs]e|copying|notice)[^/]*$"
 
@@ -77,6 +79,8 @@ class Matcher:
 
     def __init__(self, templates: dict[str, list[str]], n: int, df: dict[str, int]):
         rows = [(name, Counter(terms(t))) for name in sorted(templates) for t in templates[name]]
+        self.sizes = np.array([sum(c.values()) for _, c in rows])
+        rows += [(name, Counter(terms("\n".join(templates[name])))) for name in sorted(templates) if len(templates[name]) > 1]
         self.names = [name for name, _ in rows]
         self.place = {t: i for i, t in enumerate(sorted({t for _, c in rows for t in c}))}
         self.idf = np.array([np.log((n + 1) / (df.get(t, 0) + 1)) + 1 for t in self.place])
@@ -87,8 +91,8 @@ class Matcher:
                 self.rows[i, self.place[t]] = k * self.idf[self.place[t]]
         self.rows /= np.linalg.norm(self.rows, axis=1, keepdims=True)
 
-    def best(self, paragraph: str) -> tuple[float, str]:
-        """``(cosine, licence)`` of the nearest template."""
+    def best(self, paragraph: str, whole: bool = False) -> tuple[float, str]:
+        """``(cosine, licence)`` of the nearest template (``whole``: or of a licence's templates together)."""
         at, weight, square = [], [], 0.0
         for t, k in Counter(terms(paragraph)).items():
             if (i := self.place.get(t)) is None:
@@ -99,24 +103,69 @@ class Matcher:
                 square += weight[-1] ** 2
         if not at:
             return 0.0, ""
-        cos = self.rows[:, at] @ np.array(weight) / np.sqrt(square)
+        cos = self.rows[: None if whole else len(self.sizes), at] @ np.array(weight) / np.sqrt(square)
         i = int(cos.argmax())
         return float(cos[i]), self.names[i]
 
+    def windows(self, found: list[str]) -> tuple[float, str, np.ndarray]:
+        """``(cosine, licence, terms in windows at or above LIMIT)`` of the best window of a template's length. Of windows
+        that overlap, only the better one's terms are marked."""
+        own = {t: len(self.place) + i for i, t in enumerate(dict.fromkeys(t for t in found if t not in self.place))}
+        ids = np.array([self.place.get(t, own.get(t, 0)) for t in found], np.int64)
+        known = ids < len(self.place)
+        at = np.where(known, ids, 0)
+        weight = np.where(known, self.idf[at], self.rare)
+        square = np.append(0, np.cumsum(weight ** 2))
+        best, inside, good = (0.0, ""), np.zeros(len(ids), bool), []
+        for r, m in enumerate(self.sizes.tolist()):
+            if m > len(ids):
+                continue
+            dot = np.append(0, np.cumsum(np.where(known, self.rows[r, at] * weight, 0)))
+            dot = dot[m:] - dot[:-m]
+            # a repeated term only makes a window longer, so this bounds its cosine from above
+            starts = np.flatnonzero(dot >= (LIMIT - 1e-6) * np.sqrt(square[m:] - square[:-m]))
+            for part in np.array_split(starts, len(starts) // 1024 + 1):
+                if not len(part):
+                    continue
+                i = part[:, None] + np.arange(m)
+                same = ids[i][:, :, None] == ids[i][:, None, :]
+                cos = dot[part] / np.sqrt((same * (weight[i] ** 2)[:, None, :]).sum(axis=(1, 2)))
+                good += [(-round(c, 9), s, m) for c, s in zip(cos.tolist(), part.tolist()) if c >= LIMIT]
+                top = int(cos.argmax())
+                if cos[top] >= LIMIT and (-round(cos[top], 9), self.names[r]) < (-round(best[0], 9), best[1]):
+                    best = float(cos[top]), self.names[r]
+        for _, s, m in sorted(good):
+            if not inside[s: s + m].any():
+                inside[s: s + m] = True
+        return *best, inside
+
     def scan(self, text: str) -> tuple[str | None, float, float]:
-        """``(licence, cosine, share of words in licence paragraphs)`` of a text's best paragraph."""
+        """``(licence, cosine, share of words in licence paragraphs and windows)`` of a text's best part."""
         if not _CUE.search(text):
             return None, 0.0, 0.0
-        best, words, named = (0.0, ""), 0, 0
+        low = text.lower()
+        starts = np.array([m.start() for m in _WORD.finditer(low)], np.int64)
+        best, words, named = (0.0, ""), 0, np.zeros(len(starts), bool)
         for line in text.split("\n"):
             n = len(line.split())
-            words += n
             if _CUE.search(line):
                 got = self.best(line)
-                named += n if got[0] >= LIMIT else 0
+                named[words: words + n] |= got[0] >= LIMIT
                 if got[0] > best[0]:
                     best = got
-        return (best[1], best[0], named / max(words, 1)) if best[0] >= LIMIT else (None, best[0], 0.0)
+            words += n
+        got = self.best(text, whole=True)
+        if got[0] > best[0]:
+            best = got
+        if got[0] >= LIMIT:
+            named[:] = True
+        found = [(m.start(), m[0]) for m in _TERM.finditer(low)]
+        *got, inside = self.windows([t for _, t in found])
+        if got[0] > best[0] + 1e-9:
+            best = tuple(got)
+        if inside.any():
+            named[np.searchsorted(starts, np.array([s for s, _ in found])[inside], side="right") - 1] = True
+        return (best[1], best[0], float(named.sum()) / max(words, 1)) if best[0] >= LIMIT else (None, best[0], 0.0)
 
 
 def scan(df: DataFrame, text: str = "text", templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
