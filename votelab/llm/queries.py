@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import local_table
 from ..sources.tables import read_table
-from . import bpe, chat, decontam, langid, licenses, loglinear, nbsvm, neardup, rules, substrings
+from . import bpe, chat, decontam, langid, licenses, loglinear, nbsvm, neardup, rules, substrings, whitening
 from .common import crc_mod
 
 QUERIES = {}
@@ -154,3 +154,15 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "/", F.coalesce("source", F.lit("unknown")), F.floor(F.col("doc_id") / 1000).cast("string"), F.col("doc_id").cast("string")).alias("path"))
     out = licenses.inherit(licenses.scan(docs).drop("text"))
     return out.select("doc_id", "path", "own_licence", "licence_score", "licence", "licence_from")
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whitened components of every usable vector."""
+    rows = whitening.usable_rows(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    model = whitening.train(rows)
+    error = whitening.identity_error(rows, model)
+    explained = F.array(*[F.lit(float(e)) for e in model.explained])
+    out = whitening.whiten(rows, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return out.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+                      F.get(explained, F.col("at")).cast("double").alias("explained"), F.lit(error).alias("identity_error"))
