@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import local_table
 from ..sources.tables import read_table
-from . import bpe, chat, decontam, langid, licenses, loglinear, nbsvm, neardup, rules, substrings, whitening
+from . import bpe, chat, decontam, langid, licenses, loglinear, nbsvm, neardup, phrases, rules, substrings, whitening
 from .common import crc_mod
 
 QUERIES = {}
@@ -166,3 +166,32 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = whitening.whiten(rows, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
     return out.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
                       F.get(explained, F.col("at")).cast("double").alias("explained"), F.lit(error).alias("identity_error"))
+
+
+_PHRASES_SQL = r"""
+WITH w AS (
+  SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^.,;:!?\x0A-\x0D]+')) AS p FROM documents)),
+g AS (SELECT lang, k, unnest(list_transform(generate_series(1, len(w) - k + 1), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g
+      FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k),
+c AS (SELECT lang, k, g, count(*) AS f FROM g GROUP BY lang, k, g HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+cut AS (SELECT lang, k, g, f, j, array_to_string(string_split(g, ' ')[1:j], ' ') AS p, array_to_string(string_split(g, ' ')[j + 1:k], ' ') AS q
+        FROM (SELECT *, unnest(generate_series(1, k - 1)) AS j FROM c WHERE k > 1)),
+s AS (SELECT cut.lang, cut.k, cut.g AS phrase, cut.f AS a, x.f AS l, y.f AS r, n.n, j,
+        (1000::HUGEINT * cut.f * n.n) // (x.f::HUGEINT * y.f) AS score
+      FROM cut JOIN c x ON x.lang = cut.lang AND x.g = p JOIN c y ON y.lang = cut.lang AND y.g = q JOIN n ON n.lang = cut.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+o AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.k > b.k AND 100 * c.f >= 100 * b.a
+                                        AND contains(' ' || c.g || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r,
+  CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM o QUALIFY rank <= 2000
+"""
+
+
+@query("op11_phrases", _PHRASES_SQL)
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The collocations of every language."""
+    return phrases.mine(read_table(spark, sf_dir, "documents"))
