@@ -4,12 +4,12 @@ whole table and derives the digest columns of its contract."""
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import local_table
 from ..sources.tables import read_table
-from . import bpe, chat, decontam, langid, licenses, loglinear, nbsvm, neardup, phrases, rules, substrings, whitening
+from . import bpe, chat, decontam, langid, licenses, loglinear, nbsvm, neardup, phrases, pii, rules, substrings, whitening
 from .common import crc_mod
 
 QUERIES = {}
@@ -195,3 +195,16 @@ FROM o QUALIFY rank <= 2000
 def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The collocations of every language."""
     return phrases.mine(read_table(spark, sf_dir, "documents"))
+
+
+@query("op12_pii")
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The personal data of every document."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pii.spans(docs, pii.train(docs))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return out.select("doc_id", *map(count, ("email", "ip", "card", "phone")), F.sha2(pii.listing(base), 256).alias("base_sha256"), pii.listing(F.col("spans")).alias("spans"))
