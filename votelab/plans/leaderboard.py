@@ -120,7 +120,11 @@ def combo_rows(gold: DataFrame, pred: DataFrame, members: list[str], rule, kind:
 def per_language(gold: DataFrame, pred: DataFrame, members: list[str], rule: str = "majority",
                  kind: str = "binary", min_size: int = 2, max_size: int | None = None,
                  misaligned: str = "raise") -> DataFrame:
-    """(combo, lang, 10 metrics) for every available (combo, language)."""
+    """(combo, lang, 10 metrics) for every available (combo, language). Binary combos beyond the size of the combo
+    table are swept by vote masks (:mod:`votelab.plans.masks`)."""
+    if kind == "binary" and E.n_combos(len(members), min_size, max_size) > E.MAX_BROADCAST_COMBOS:
+        from . import masks
+        return masks.per_language(gold, pred, members, rule, min_size, max_size, misaligned)
     rows = combo_rows(gold, pred, members, rule, kind, min_size, max_size, misaligned)
     keys = ["combo", "lang"]
     if kind == "binary" or kind == "binary_union":

@@ -13,6 +13,7 @@ from ..operators import metrics as M
 from ..registry import register
 from ..sources import fixtures as fx
 from . import leaderboard as L
+from . import masks
 from . import paired as PA
 
 MEMBERS = [m for m, _, _ in fx.MEMBERS]
@@ -63,6 +64,25 @@ def leaderboard_union_intensity(spark: SparkSession, sf: str) -> DataFrame:
                             MEMBERS, "union", "intensity"))
 
 
+def _by_masks(spark: SparkSession, sf: str, rule: str) -> DataFrame:
+    per = masks.per_language(fx.gold_table(spark, sf), fx.pred_table(spark, sf), MEMBERS, rule)
+    lb = M.average_over(per, ["combo"], M.METRICS)
+    return _r(lb.select(F.col("combo").alias("model"), *[f"avg_{m}" for m in M.METRICS],
+                        F.lit({"majority": "majority voting", "union": "union rule"}[rule]).alias("process"), "n_langs"))
+
+
+@register("leaderboard_masks", lambda: O.leaderboard_sql("majority", "binary"))
+def leaderboard_masks(spark: SparkSession, sf: str) -> DataFrame:
+    """M9, majority, every combo's counts by the transform over vote masks (the way beyond 2^16 combos)."""
+    return _by_masks(spark, sf, "majority")
+
+
+@register("leaderboard_masks_union", lambda: O.leaderboard_sql("union", "binary"))
+def leaderboard_masks_union(spark: SparkSession, sf: str) -> DataFrame:
+    """M9, union rule, every combo's counts by the transform over vote masks."""
+    return _by_masks(spark, sf, "union")
+
+
 @register("leaderboard_models", lambda: O.leaderboard_sql("majority", "binary", "single model", 1, 1))
 def leaderboard_models(spark: SparkSession, sf: str) -> DataFrame:
     """Every member alone (combos of size 1), averaged over languages."""
