@@ -259,10 +259,57 @@ def vote_fixed_paired(pred: DataFrame, gold: DataFrame, models: list[str], rule:
         _fixed_decision(len(models), rule, kind, misaligned).alias("value"))
 
 
+def fingerprints(pred: DataFrame) -> DataFrame:
+    """(lang, model, n, h1, h2): order-free fingerprints of the multiset of a model's cells ``(id, label)`` in a
+    language: the count and two independent sums of 64-bit hashes. One partial aggregate; a row per task and group
+    is all that is shuffled."""
+    def total(*cols) -> Column:
+        return F.sum(F.xxhash64(*cols).cast("decimal(20,0)"))
+    return pred.groupBy("lang", "model").agg(
+        F.count("*").alias("n"), total(F.lit(1), "id", "label", F.col("id").isNull()).alias("h1"),
+        total(F.lit(2), "label", "id", F.col("label").isNull()).alias("h2"))
+
+
+def _language_key() -> Column:
+    return F.coalesce(F.concat(F.lit("l"), F.col("lang")), F.lit("n"))
+
+
+def misaligned_languages(pred: DataFrame) -> list[str | None] | None:
+    """The languages whose members can't be proved aligned: their members' fingerprints differ, or agree on cells that
+    are repeated. Where they agree, one member stands for all of them, so only its cells are counted one by one.
+    None if there are too many languages to name."""
+    most = MAX_INLINE_LANGS * MAX_MEMBERS
+    found = fingerprints(pred).limit(most + 1).collect()
+    if len(found) > most:
+        return None
+    prints: dict[str | None, dict] = {}
+    for r in found:
+        prints.setdefault(r["lang"], {})[r["model"]] = (r["n"], r["h1"], r["h2"])
+    bad = [lang for lang, own in prints.items() if len(set(own.values())) > 1]
+    stands = [(lang, own) for lang, own in prints.items() if lang not in bad]
+    if not stands:
+        return bad
+    one = F.create_map(*[F.lit(x) for lang, own in stands for x in ("n" if lang is None else f"l{lang}", max(own, key=lambda m: m or ""))])
+    repeated = pred.where(F.col("model").eqNullSafe(F.element_at(one, _language_key()))).groupBy("lang", "id", "label").count().where("count > 1")
+    return bad + [r["lang"] for r in repeated.select("lang").distinct().collect()]
+
+
 def alignment_violations(pred: DataFrame) -> DataFrame:
     """(kind, lang, model, id, n). ``duplicate``: a (lang, model, id, label) cell occurs n > 1
     times. ``missing``: a model with rows in the language has no rows for this id. Empty means the
-    members are aligned; callers raise otherwise (see :func:`assert_aligned`)."""
+    members are aligned; callers raise otherwise (see :func:`assert_aligned`).
+
+    Languages whose members have equal fingerprints and no repeated cell hold no violation; only the others'
+    rows are listed one by one, so aligned data is never shuffled whole."""
+    bad = misaligned_languages(pred)
+    if bad is not None:
+        keys = ["n" if lang is None else f"l{lang}" for lang in bad]
+        pred = pred.where(_language_key().isin(keys) if keys else F.lit(False))
+    return list_violations(pred)
+
+
+def list_violations(pred: DataFrame) -> DataFrame:
+    """The exact listing of :func:`alignment_violations`, over all rows given."""
     dup = pred.groupBy("lang", "model", "id", "label").count().where("count > 1") \
         .groupBy("lang", "model", "id").agg(F.max("count").alias("n")) \
         .select(F.lit("duplicate").alias("kind"), "lang", "model", "id", F.col("n").cast("long"))
