@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import decode as D
 from ..functions import text as X
+from ..operators import bayes as NB
 from ..operators import metrics as M
 from ..operators import schema as S
 from ..operators import scoring as SC
@@ -144,6 +145,40 @@ def train_baseline_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return scores.groupBy("label").agg(F.count("*").alias("n_scored"), F.sum(outside.cast("long")).alias("n_outside"))
 
 
+def _naive_bayes_sql() -> str:
+    from .queries_ops import POOL_CTES
+    held = "substr(md5('42|' || CAST(id AS VARCHAR)), 1, 8) < '33333333'"
+    words = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+             "'[^\\x20\\x09-\\x0D]+')")
+    micro = "CAST(round(ln(CAST({0} AS DOUBLE) / CAST({1} AS DOUBLE)) * 1000000) AS BIGINT)"
+    return fx.with_ctes(
+        f"SELECT r.lang, r.id, r.label, p.prior + CAST(coalesce(w.added, 0) AS BIGINT) AS log_odds, "
+        f"CASE WHEN p.prior + coalesce(w.added, 0) >= 0 THEN 1 ELSE 0 END AS value "
+        f"FROM (SELECT DISTINCT lang, id, label FROM lines WHERE held) r JOIN prior p USING (label) "
+        f"LEFT JOIN (SELECT t.lang, t.id, t.label, sum(o.w) AS added FROM spoken t JOIN odds o USING (label, word) WHERE t.held GROUP BY t.lang, t.id, t.label) w "
+        f"ON r.id = w.id AND r.label = w.label AND r.lang IS NOT DISTINCT FROM w.lang",
+        {**POOL_CTES,
+         "lines": f"SELECT lang, id, {held} AS held, {words} AS words, 'quality' AS label, quality AS y FROM pool "
+                  f"UNION ALL SELECT lang, id, {held}, {words}, 'toxic', toxic FROM pool",
+         "spoken": "SELECT lang, id, held, label, y, unnest(words) AS word FROM lines",
+         "prior": f"SELECT label, {micro.format('(sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) + 1)', '(sum(CASE WHEN y = 1 THEN 0 ELSE 1 END) + 1)')} AS prior "
+                  "FROM lines WHERE NOT held GROUP BY label",
+         "counted": "SELECT label, word, count(*) AS n, sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS n1 FROM spoken WHERE NOT held GROUP BY label, word",
+         "sums": "SELECT label, count(*) AS v, sum(n) AS n, sum(n1) AS n1 FROM counted GROUP BY label",
+         "odds": f"SELECT c.label, c.word, {micro.format('(c.n1 + 1)', '(s.n1 + s.v)')} - {micro.format('(c.n - c.n1 + 1)', '(s.n - s.n1 + s.v)')} AS w "
+                 "FROM counted c JOIN sums s USING (label)"})
+
+
+@register("train_naive_bayes", _naive_bayes_sql)
+def train_naive_bayes(spark: SparkSession, sf: str) -> DataFrame:
+    """T4: naive Bayes by word counts, fitted on the training split of the pool: every held-out row's log odds
+    (millionths) and decision per label."""
+    labels = ["quality", "toxic"]
+    pool = T.with_split(S.train_pool(fx.train_raw_by_lang(spark, sf)))
+    out = NB.score(pool.where("split = 'test'"), NB.fit(pool.where("split = 'train'"), labels), labels)
+    return out.select("lang", "id", "label", "log_odds", (F.col("log_odds") >= 0).cast("int").alias("value"))
+
+
 @register("stream_parse_responses", parse_intensity_sql)
 def stream_parse_responses(spark: SparkSession, sf: str) -> DataFrame:
     """ST1: replies arrive in two drops of files; each availableNow run parses only the new files,
