@@ -27,13 +27,25 @@ class Automaton(NamedTuple):
     weight: list[np.ndarray]
 
     def dumps(self) -> bytes:
-        low = lambda a: a.astype(np.int32) if not len(a) or int(a.max()) < 1 << 31 else a
-        return pickle.dumps((_raw(self.langs), _raw(self.words), *[[low(a) for a in x] for x in self[2:]]), 5)
+        """Compact bytes: narrow labels, steps between the sorted source states, one byte for small weights."""
+        steps = [np.diff(p, prepend=0) for p in self.parent]
+        many = [np.flatnonzero(w >= 255) for w in self.weight]
+        return pickle.dumps((_raw(self.langs), _raw(self.words), [_narrow(p) for p in steps], [_narrow(x) for x in self.label],
+                             [np.minimum(w, 255).astype(np.uint8) for w in self.weight], [_narrow(i) for i in many],
+                             [w[i] for w, i in zip(self.weight, many)]), 5)
 
 
 def loads(blob: bytes) -> Automaton:
-    langs, words, *rest = pickle.loads(blob)
-    return Automaton(_array(*langs), _array(*words), *[[a.astype(np.int64) for a in x] for x in rest])
+    langs, words, steps, label, small, many, value = pickle.loads(blob)
+    weight = [w.astype(np.int64) for w in small]
+    for w, i, v in zip(weight, many, value):
+        w[i] = v
+    return Automaton(_array(*langs), _array(*words), [np.cumsum(p, dtype=np.int64) for p in steps], [x.astype(np.int64) for x in label], weight)
+
+
+def _narrow(a: np.ndarray) -> np.ndarray:
+    """The least unsigned type that holds the values."""
+    return a.astype(np.min_scalar_type(int(a.max(initial=0))))
 
 
 def _raw(a: pa.Array) -> tuple[bytes, np.ndarray]:

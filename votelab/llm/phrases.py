@@ -172,8 +172,8 @@ def counted(docs: DataFrame, length: int, seen, ranges: int, least: int) -> Data
         return _table(rows, ["level", "part", "blob", "size"], [pa.int32(), pa.int64(), pa.binary(), pa.int64()])
 
     for fan in fans[1:]:
-        blobs = blobs.groupBy("part", "salt").applyInArrow(unite(fan, -(-ranges // fan)), _BLOB)
-    return blobs.groupBy("part").applyInArrow(finish, "level int, part long, blob binary, size long")
+        blobs = blobs.repartition(ranges, "part", "salt").groupBy("part", "salt").applyInArrow(unite(fan, -(-ranges // fan)), _BLOB)
+    return blobs.repartition(ranges, "part").groupBy("part").applyInArrow(finish, "level int, part long, blob binary, size long")
 
 
 def bit_map(found: DataFrame, level: int, size: int):
