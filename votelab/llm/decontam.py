@@ -5,7 +5,8 @@ item, so for each partition the document is seen through windows fitted to the p
 its smallest size, three blocks a window, so that every run as long as an item of the partition lies whole in
 some window. Universal-hash minima of a window and of an item agree with probability at least 0.25 each where
 the item is contained at the limit; one agreement of 40 makes a candidate (a pair at the limit is missed with
-probability 1e-5 or less). Every candidate is confirmed on the exact shingle sets of the whole
+probability 1e-5 or less). An item that repeats shingles may fill no window, nor its share of one; such items are
+looked up exactly instead, by as many of their shingles as a document that contains them cannot lack all of. Every candidate is confirmed on the exact shingle sets of the whole
 document and the item.
 
 Items are the query set: they are sent to the tasks in blocks of bounded size, one pass over the documents a
@@ -61,15 +62,22 @@ class Partition:
 
 
 class Index:
-    """Test items by size."""
+    """Test items by size; those that repeat shingles by their shingles."""
 
-    def __init__(self, texts: list[str | None], k: int):
+    def __init__(self, texts: list[str | None], k: int, percent: int = 80):
         self.k, self.sets, sizes = k, [], []
         for g in tb.groups(pa.array(texts, pa.string())):
             h, off = _shingles(g, k)
             self.sets += [np.unique(h[s:e]) for s, e in zip(off, off[1:])]
             sizes += np.diff(off).tolist()
-        level = np.array([int(n).bit_length() - 1 for n in sizes], int)
+        again = np.array([n != len(x) for n, x in zip(sizes, self.sets)], bool)
+        level = np.where(again, -1, np.array([int(n).bit_length() - 1 for n in sizes], int))
+        # of d shingles, a container lacks at most d less the needed ones
+        asked = [(i, self.sets[i][: len(self.sets[i]) + 1 - -(-percent * len(self.sets[i]) // 100)]) for i in np.flatnonzero(again)]
+        self.asked = np.concatenate([np.empty(0, np.uint64), *[x for _, x in asked]])
+        self.asker = np.concatenate([np.empty(0, np.int64), *[np.full(len(x), i) for i, x in asked]])
+        order = np.argsort(self.asked, kind="stable")
+        self.asked, self.asker = self.asked[order], self.asker[order]
         self.partitions = []
         for c in sorted(set(level[level >= 0].tolist())):
             mine = np.flatnonzero(level == c)
@@ -77,8 +85,17 @@ class Index:
             minima = np.array([[int((x * a + b).min()) for x in low] for a, b in zip(_A, _B)], np.uint32)
             self.partitions.append(Partition(2**c, mine, minima))
 
+    def askers(self, h: np.ndarray, off: np.ndarray) -> list[tuple[int, int]]:
+        """``(document, item)`` rows of the items that ask for a shingle of the document."""
+        lo, hi = (np.searchsorted(self.asked, h, side) for side in ("left", "right"))
+        doc = tb.segment(off)
+        return [(doc[p], i) for p in np.flatnonzero(lo < hi) for i in self.asker[lo[p]: hi[p]]]
+
     def candidates(self, h: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Distinct ``(document, item)`` rows whose window and item share a minimum."""
+        """Distinct ``(document, item)`` rows whose window and item share a minimum, or an asked shingle."""
+        found = self.askers(h, off)
+        if not self.partitions:
+            return np.unique(np.array(found, np.int64).reshape(-1, 2), axis=0)
         x = (h >> np.uint64(32)).astype(np.uint32)
         size = self.partitions[0].block
         blocks = -(-np.diff(off) // size)
@@ -100,7 +117,6 @@ class Index:
             doc = tb.segment(boff)
             left = finer[doc] + (np.arange(boff[-1]) - boff[doc]) * 2
             levels.append((left, np.minimum(left + 1, finer[doc + 1] - 1)))
-        found = []
         for j in range(HASHES):
             low = (x * _A[j] + _B[j]).min(axis=0)
             for level in levels:
@@ -122,7 +138,7 @@ class Index:
     def search(self, g: tb.Group, percent: int) -> list[tuple[int, int, int]]:
         """``(document, item, common shingles)`` of the items contained in the group's documents."""
         h, off = _shingles(g, self.k)
-        if not len(h) or not self.partitions:
+        if not len(h):
             return []
         # documents without a shingle have no block
         some = np.flatnonzero(np.diff(off))
@@ -153,7 +169,7 @@ def contained(docs: DataFrame, items: DataFrame, text: str = "text", item_id: st
     for block in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()
         rows.sort(key=lambda r: (r["i"] is None, r["i"], r["t"]))
-        shared = spark.sparkContext.broadcast(([r["i"] for r in rows], Index([r["t"] for r in rows], k)))
+        shared = spark.sparkContext.broadcast(([r["i"] for r in rows], Index([r["t"] for r in rows], k, percent)))
 
         def compute(b: pa.RecordBatch, shared=shared) -> list:
             names, index = shared.value
