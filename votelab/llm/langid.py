@@ -8,11 +8,12 @@ showed is not accepted.
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and not accepted; among equal
 languages the alphabetically first wins; rows without a language are never learned from; with no row to
-learn from, every text is ``und``. Repeated rows count as often as they occur. Other input columns pass
+learn from, every text is ``und``. Copies of a row (id, text and language) are learned from once. Other input columns pass
 through unread; an output column takes the place of an input column of its name.
 
 Fitting uses a bounded sample: about ``sample_docs`` texts of at most ``sample_chars`` characters for each
-language, drawn by a hash of the id. Prediction covers every row and whole texts.
+language, drawn by a hash of id and text. Limits follow the 90 % quantile of the calibration texts, not their maximum,
+so that a few mislabelled texts among them do not raise them. Prediction covers every row and whole texts.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from .textbuf import mix
 ORDER = 4
 SAMPLE_DOCS = 500
 SAMPLE_CHARS = 50_000
+TYPICAL = 0.9      # share of a language's calibration texts that its rejection limits are derived from
 UNKNOWN = "und"
 _P = np.uint64(0xD6E8FEB86659FD93)
 
@@ -253,8 +255,8 @@ def _calibrate(model: Model, held: dict[str, list[str]]) -> None:
         model.mean[j] = np.average(ce[:, j], weights=n)
         beyond = ce[:, j] - model.mean[j]
         long = n >= np.median(n)
-        model.slack[j] = max(0.75, 2 * beyond[long].max())
-        model.slope[j] = max(6.0, 1.5 * ((beyond - model.slack[j]) * np.sqrt(n)).max())
+        model.slack[j] = max(0.75, 2 * np.quantile(beyond[long], TYPICAL))
+        model.slope[j] = max(6.0, 1.5 * np.quantile((beyond - model.slack[j]) * np.sqrt(n), TYPICAL))
         gaps.append(ce), sizes.append(n), right.append(np.full(len(n), j))
     if gaps:
         ce, n, j = np.concatenate(gaps), np.concatenate(sizes), np.concatenate(right)
@@ -273,8 +275,9 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
         return fit([], [])
     spread = float(2**32)
     share = F.create_map(*[F.lit(x) for g, n in sizes.items() for x in (g, min(1.0, 1.5 * sample_docs / n))])
-    drawn = (rows.withColumn("u", F.pmod(F.xxhash64("i"), F.lit(2**32)) / F.lit(spread))
-             .where((F.col("u") < share[F.col("g")]) & (F.length("t") <= sample_chars)).toPandas())
+    # rows that share an id, or have none, are drawn by their texts; copies of a row are drawn as one
+    drawn = (rows.withColumn("u", F.pmod(F.xxhash64("i", "t"), F.lit(2**32)) / F.lit(spread))
+             .where((F.col("u") < share[F.col("g")]) & (F.length("t") <= sample_chars)).dropDuplicates(["g", "u"]).toPandas())
     drawn = drawn.sort_values(["g", "u", "i", "t"]).groupby("g").head(sample_docs)
     return fit(drawn["t"].tolist(), drawn["g"].tolist())
 

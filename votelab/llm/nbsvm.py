@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from . import textbuf as tb
 from .common import extend
-from .rules import draw
+from .rules import bounded, draw
 
 BITS = 18
 SAMPLE_ROWS = 6_000
@@ -161,7 +161,8 @@ def train(df: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
     """A model from the rows of ``df`` that ``labels`` marks (a bounded sample, see above)."""
     drawn = draw(labels, label, doc_id, sample_rows)
     rows = (df.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).where(F.length("t") <= sample_chars)
-            .join(F.broadcast(drawn), "i").withColumn("u", F.xxhash64("i", F.lit(11))).toPandas().sort_values(["u", "i", "y", "t"]))
+            .join(F.broadcast(drawn), "i"))
+    rows = bounded(rows, sample_rows).withColumn("u", F.xxhash64("i", F.lit(11))).toPandas().sort_values(["u", "i", "y", "t"])
     return fit(rows["t"].tolist(), rows["y"].to_numpy(float))
 
 

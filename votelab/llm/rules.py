@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbuf as tb
-from .common import extend
+from .common import extend, fresh
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -226,8 +226,8 @@ def train(df: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
           sample_rows: int = SAMPLE_ROWS) -> Trees:
     """Trees from the rows of ``df`` that ``labels`` marks (a bounded sample, see above)."""
     drawn = draw(labels, label, doc_id, sample_rows)
-    stats = with_statistics(df.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).where("t is not null")
-                            .join(F.broadcast(drawn), "i"), "t").drop("t").toPandas().sort_values(["i", "y", *FEATURES])
+    rows = df.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).where("t is not null").join(F.broadcast(drawn), "i")
+    stats = with_statistics(bounded(rows, sample_rows), "t").drop("t").toPandas().sort_values(["i", "y", *FEATURES])
     return fit(stats[list(FEATURES)].to_numpy(float), stats["y"].to_numpy(float), constraints=list(FEATURES.values()))
 
 
@@ -238,6 +238,18 @@ def draw(labels: DataFrame, label: str, doc_id: str, rows: int) -> DataFrame:
     return marked.where(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, rows / max(n, 1)))).distinct()
 
 
+def bounded(rows: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` of the ``rows (i, t, ...)``, by a hash of id and text, where ids repeat."""
+    n = rows.count()
+    if n <= most:
+        return rows
+    u = fresh("u")
+    some = rows.withColumn(u, F.xxhash64("i", "t", F.lit(7)))
+    # the limit meets few rows more than it keeps, copies of a row apart
+    near = some.where(F.pmod(F.col(u), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.5 * most / n)))
+    return near.orderBy(F.pmod(F.col(u), F.lit(1 << 30)), u, *[c for c in rows.columns if c != "t"]).limit(most).drop(u)
+
+
 def apply_rules(df: DataFrame, trees: Trees, text: str = "text", limit: float = 0.5) -> DataFrame:
     """``df`` with its statistics, ``score``, ``base_failed`` (the plain rules) and ``kept``."""
     out = with_statistics(df, text, trees)
