@@ -217,10 +217,9 @@ def test_chains_equal_quadratic_chaining():
         score = []
         for j in range(len(runs)):
             gaps = [(s[j] - s[i] - n[i], t[j] - t[i] - n[i], score[i]) for i in range(j)]
-            # the best predecessor by score less gap costs; too far a gap starts a new chain
-            ok = [(v - substrings.GAP_COST * (a + b), a, b) for a, b, v in gaps if a >= 0 and b >= 0]
-            best = max(ok, default=(0, 0, 0))
-            score.append(n[j] + (best[0] if best[0] > 0 and max(best[1:]) <= substrings.MAX_GAP else 0))
+            # the best of the predecessors within reach
+            ok = [v - substrings.GAP_COST * (a + b) for a, b, v in gaps if 0 <= a <= substrings.MAX_GAP and 0 <= b <= substrings.MAX_GAP]
+            score.append(n[j] + max(0, max(ok, default=0)))
         paths = substrings.chain(s, t, n)
         assert sorted(i for p in paths for i in p) == list(range(len(runs)))
         p = paths[0]
@@ -228,6 +227,32 @@ def test_chains_equal_quadratic_chaining():
         assert got == pytest.approx(max(score))
 
 
+def test_far_runs_hide_no_near_ones(spark):
+    """Pairs that share a long run, then have own words, then share a passage with two words inserted."""
+    rng = random.Random(8)
+    vocab = vocabulary(30_000, 4)
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    rows = []
+    for i in range(20):
+        far, first, second = text(500), text(30), text(30)
+        rows += [(2 * i, " ".join(far + text(200) + first + second)), (2 * i + 1, " ".join(far + text(200) + first + text(2) + second))]
+    got = substrings.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["source_id"]) for r in got if r["start_word"] >= 650} == {(2 * i + 1, 2 * i) for i in range(20)}
+    assert {(r["doc_id"], r["source_id"]) for r in got if r["end_word"] <= 600} == {(2 * i + 1, 2 * i) for i in range(20)}
+
+
+def test_items_of_repeated_words_are_found(spark):
+    """Items of few distinct shingles: a document holds each of them once, or a share of them."""
+    one = [(i, " ".join([f"w{i}"] * 34)) for i in range(300)]
+    cycle = [(300 + i, " ".join([f"c{i}x{j}" for j in range(10)] * 6)) for i in range(50)]
+    docs = ([(i, f"some words before {' '.join([f'w{i}'] * 5)} and behind") for i in range(300)]
+            + [(300 + i, " ".join(f"c{i}x{j % 10}" for j in range(12 if i % 2 else 11))) for i in range(50)])
+    got = decontam.contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(one + cycle, "item_id long, text string"))
+    # of a cycle's ten shingles twelve words hold eight, eleven hold seven
+    want = {(i, i) for i in range(300)} | {(300 + i, 300 + i) for i in range(1, 50, 2)}
+    assert {(r["doc_id"], x["item_id"]) for r in got.collect() for x in r["leaks"]} == want
+
+
 def test_contained_items_match_brute_force(spark):
     rng = random.Random(6)
     vocab = vocabulary(3000, 2)

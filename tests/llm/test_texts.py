@@ -1,5 +1,6 @@
 """BPE, text buffers, language ID, quality operators and licences."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -135,6 +136,43 @@ def plain_counts(text):
     return [len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(rep)]
 
 
+def test_rows_without_id_or_of_one_id_are_drawn_like_others(spark):
+    rng = random.Random(12)
+    text = lambda c: " ".join("".join(rng.choice(c) for _ in range(5)) for _ in range(12))
+    rows = [(None if i % 2 else i, text("abcdefgh"), "xx") for i in range(6000)] + [(7, text("klmnopqr"), "yy") for _ in range(3000)]
+    seen = []
+    fit, langid.fit = langid.fit, lambda t, g: seen.append((t, g)) or fit(t, g)
+    try:
+        langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    finally:
+        langid.fit = fit
+    texts, langs = seen[0]
+    assert langs.count("xx") == langs.count("yy") == langid.SAMPLE_DOCS
+    null = {t for i, t, _ in rows if i is None}
+    assert 150 < sum(t in null for t in texts) < 350
+
+
+def test_garbage_among_the_labelled_texts_is_still_rejected():
+    rng = random.Random(13)
+    words = ["".join(rng.choice("aeioubcdlmnrst") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    clean = lambda: " ".join(rng.choice(words) for _ in range(60))
+    garbage = lambda: " ".join("".join(rng.choice("qxzjkvwyphg") for _ in range(7)) for _ in range(50))
+    texts = [garbage() if i % 26 == 0 else clean() for i in range(500)]
+    model = langid.fit(texts, ["xx"] * len(texts))
+    assert model.predict([clean() for _ in range(100)])[2].sum() >= 99
+    assert model.predict([garbage() for _ in range(50)])[2].sum() == 0
+
+
+def test_samples_of_repeated_ids_are_bounded(spark):
+    docs = spark.createDataFrame([(1, f"text number {i} of the one id") for i in range(3000)] + [(i, f"other {i}") for i in range(2, 50)],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 50)], "doc_id long, quality int")
+    rows = docs.select(F.col("doc_id").alias("i"), F.col("text").alias("t")).join(rules.draw(labels, "quality", "doc_id", 100), "i")
+    assert rows.count() > 3000 and rules.bounded(rows, 100).count() == 100 and rules.bounded(rows.where("i > 1"), 100).count() == 48
+    copies = spark.createDataFrame([(1, "same", 0)] * 500, "i long, t string, y int")
+    assert rules.bounded(copies, 100).count() <= 100
+
+
 def test_statistics_match_plain_counts(spark, docs, odd):
     both = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
     for r in rules.with_statistics(both).collect():
