@@ -67,6 +67,13 @@ def scan_texts(spark: SparkSession, sf: str) -> DataFrame:
         "lang", F.col("id").cast("long").alias("id"), "text")
 
 
+@register("scan_texts_ranges", lambda: ORACLE["scan_texts"])
+def scan_texts_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """S1 + P2: the same files read in byte ranges, as files over 64 MB are."""
+    root = write_gold_tree(spark, sf)
+    return IO.scan_texts(spark, f"{root}/*/part-*.csv", split_over=0).select("lang", F.col("id").cast("long").alias("id"), "text")
+
+
 @register("scan_predictions", W("SELECT lang, model, id, label, pred AS value FROM pred "
                                 "WHERE NOT coalesce(lang = 'es' AND label = 'toxic', false)"))
 def scan_predictions(spark: SparkSession, sf: str) -> DataFrame:

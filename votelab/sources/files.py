@@ -9,7 +9,9 @@ Reading a directory of CSV files with different headers in one ``spark.read.csv`
 by position (a file headed ``id,fear,joy`` silently swaps joy and fear). So the scan reads only the
 header line of each file (the same driver-side work Spark's own header handling does), groups the
 files by header, issues one read per distinct header, and unions the long forms by name. Label
-values are never inferred: they are read as strings and coerced explicitly.
+values are never inferred: they are read as strings and coerced explicitly. Files with texts, which
+may hold line breaks, are read whole by Spark's multi-line reader up to ``SPLIT_OVER`` bytes and in
+byte ranges (``csv_splits``) beyond, so a large file is many tasks' work; both give the same rows.
 """
 
 from __future__ import annotations
@@ -22,14 +24,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.schema import coerce_label
+from . import csv_splits
 from .gates import lang_from_file, model_from_file
 
 CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "mode": "FAILFAST"}
 
 
-def csv_options(header: tuple[str, ...]) -> dict[str, str]:
-    """Only texts hold line breaks: files without a text column stay splittable."""
-    return {**CSV_OPTIONS, "multiLine": str(any(c.lower() == "text" for c in header)).lower()}
+# Bytes beyond which a file with texts is read in ranges; a smaller one is a fair task's work.
+SPLIT_OVER = 64 << 20
+
+
+def has_text(header: tuple[str, ...]) -> bool:
+    return any(c.lower() == "text" for c in header)
+
+
+def read_group(spark: SparkSession, header: tuple[str, ...], files: dict[str, int], split_over: int | None = None) -> DataFrame:
+    """The string columns of ``files`` (path: bytes) of one ``header``, and ``__path``. Only texts hold line breaks: files
+    without a text column are split by Spark's own reader."""
+    large = [f for f, size in files.items() if has_text(header) and size > (SPLIT_OVER if split_over is None else split_over)]
+    small = [f for f in files if f not in set(large)]
+    parts = [csv_splits.read(spark, large, header, CSV_OPTIONS)] if large else []
+    if small:
+        schema = ", ".join(f"`{c}` string" for c in header)
+        df = spark.read.options(**CSV_OPTIONS, multiLine=str(has_text(header)).lower()).schema(schema).csv(small)
+        parts.append(df.select("*", F.col("_metadata.file_path").alias("__path")))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def _fs(spark: SparkSession, path: str):
@@ -38,11 +57,14 @@ def _fs(spark: SparkSession, path: str):
     return jvm, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def list_files(spark: SparkSession, pattern: str) -> list[str]:
-    """File paths matching a glob (Hadoop file system: local, HDFS or object store alike)."""
-    jvm, fs = _fs(spark, pattern)
-    sts = fs.globStatus(jvm.org.apache.hadoop.fs.Path(pattern)) or []
-    return sorted(st.getPath().toString() for st in sts if st.isFile())
+def list_files(spark: SparkSession, pattern) -> dict[str, int]:
+    """Paths and sizes of the files matching a glob, or any of several (Hadoop file system: local, HDFS or object store
+    alike)."""
+    found = {}
+    for p in [pattern] if isinstance(pattern, str) else pattern:
+        jvm, fs = _fs(spark, p)
+        found.update((st.getPath().toString(), st.getLen()) for st in fs.globStatus(jvm.org.apache.hadoop.fs.Path(p)) or [] if st.isFile())
+    return dict(sorted(found.items()))
 
 
 def read_header(spark: SparkSession, path: str) -> tuple[str, ...]:
@@ -62,12 +84,14 @@ def read_header(spark: SparkSession, path: str) -> tuple[str, ...]:
 HEADER_READ_THREADS = 32
 
 
-def group_by_header(spark: SparkSession, files: list[str]) -> dict[tuple[str, ...], list[str]]:
-    groups: dict[tuple[str, ...], list[str]] = {}
+def group_by_header(spark: SparkSession, files: dict[str, int]) -> dict[tuple[str, ...], dict[str, int]]:
+    """``{header: {path: bytes}}``; a file without a line has no header and is in no group."""
+    groups: dict[tuple[str, ...], dict[str, int]] = {}
     with ThreadPoolExecutor(max_workers=max(1, min(HEADER_READ_THREADS, len(files)))) as pool:
         headers = list(pool.map(lambda f: read_header(spark, f), files))
     for f, h in zip(files, headers):
-        groups.setdefault(h, []).append(f)
+        if h:
+            groups.setdefault(h, {})[f] = files[f]
     return groups
 
 
@@ -79,19 +103,18 @@ def scan_long(spark: SparkSession, pattern, model_from_dir: bool = False, missin
     parent folder. Labels are the columns other than id/text, lower-cased; a file
     without label columns contributes no rows (P5), and neither does an empty cell: an absent label is
     not a 0 (``missing_as_zero``: the training reading, in which it is)."""
-    files = [f for p in ([pattern] if isinstance(pattern, str) else pattern) for f in list_files(spark, p)]
+    files = list_files(spark, pattern)
     parts = []
     for header, group in group_by_header(spark, files).items():
-        schema = ", ".join(f"`{c}` string" for c in header)
-        df = spark.read.options(**csv_options(header)).schema(schema).csv(group)
-        path = F.col("_metadata.file_path")
+        df = read_group(spark, header, group)
+        path = F.col("__path")
         keys = [lang_from_file(path).alias("lang")]
         if model_from_dir:
             keys.append(model_from_file(path).alias("model"))
         labels = [c for c in header if c.lower() not in ("id", "text")]
-        base = df.select(*keys, F.col(f"`{next(c for c in header if c.lower() == 'id')}`").alias("id"), *[F.col(f"`{c}`") for c in labels])
         if not labels:
             continue
+        base = df.select(*keys, F.col(f"`{next(c for c in header if c.lower() == 'id')}`").alias("id"), *[F.col(f"`{c}`") for c in labels])
         items = F.array(*[F.struct(F.lit(c.lower()).alias("label"), F.col(f"`{c}`").alias("v")) for c in labels])
         long = base.select(*[k for k in base.columns if k in ("lang", "model", "id")], F.explode(items).alias("x"))
         if not missing_as_zero:
@@ -103,18 +126,18 @@ def scan_long(spark: SparkSession, pattern, model_from_dir: bool = False, missin
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def scan_texts(spark: SparkSession, pattern: str) -> DataFrame:
-    """The (lang, id, text) part of gold files (what a scorer may read, P2)."""
+def scan_texts(spark: SparkSession, pattern: str, split_over: int | None = None) -> DataFrame:
+    """The (lang, id, text) part of gold files (what a scorer may read, P2); files of more than ``split_over`` bytes
+    (default: ``SPLIT_OVER``) are read in ranges."""
     files = list_files(spark, pattern)
     parts = [spark.sql("SELECT CAST(NULL AS STRING) AS lang, CAST(NULL AS STRING) AS id, CAST(NULL AS STRING) AS text WHERE false")]
     for header, group in group_by_header(spark, files).items():
         if "text" not in [c.lower() for c in header]:
             continue
-        schema = ", ".join(f"`{c}` string" for c in header)
-        df = spark.read.options(**csv_options(header)).schema(schema).csv(group)
+        df = read_group(spark, header, group, split_over)
         idc = next(c for c in header if c.lower() == "id")
         txt = next(c for c in header if c.lower() == "text")
-        parts.append(df.select(lang_from_file(F.col("_metadata.file_path")).alias("lang"),
+        parts.append(df.select(lang_from_file(F.col("__path")).alias("lang"),
                                F.col(f"`{idc}`").alias("id"), F.col(f"`{txt}`").alias("text")))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
@@ -122,15 +145,14 @@ def scan_texts(spark: SparkSession, pattern: str) -> DataFrame:
 def scan_pool(spark: SparkSession, pattern) -> DataFrame:
     """S1 + S2: every gold file with labels as one wide training pool (lang, id, text, labels...): headers
     lower-cased, files unioned by name, labels coerced, a missing label 0 (P7, P8)."""
-    files = [f for p in ([pattern] if isinstance(pattern, str) else pattern) for f in list_files(spark, p)]
+    files = list_files(spark, pattern)
     parts = []
     for header, group in group_by_header(spark, files).items():
         low = [c.lower() for c in header]
         if not set(low) - {"id", "text"}:
             continue
-        schema = ", ".join(f"`{c}` string" for c in header)
-        df = spark.read.options(**csv_options(header)).schema(schema).csv(group)
-        parts.append(df.select(lang_from_file(F.col("_metadata.file_path")).alias("lang"),
+        df = read_group(spark, header, group)
+        parts.append(df.select(lang_from_file(F.col("__path")).alias("lang"),
                                *[F.col(f"`{c}`").alias(c.lower()) for c in header]))
     if not parts:
         raise ValueError(f"no label files under {pattern}")
