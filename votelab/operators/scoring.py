@@ -4,7 +4,8 @@ T3: texts ``(lang, id, text)`` -> long scores ``(lang, model, id, label, score)`
 scorers run with ``mapInPandas``: Arrow batches in, one instance of each scorer per Python worker and
 call (loaded on first use, not per row), long rows out. Several scorers share one pass over the texts. Preprocessing and truncation stay JVM-side before the
 Python boundary. The default scorer is a small deterministic keyword lexicon standing in for a
-transformer; real models are the caller's (any object with ``labels`` and ``score(texts)``).
+transformer; real models are the caller's (any object with ``labels`` and ``score(texts)``). A scorer with a method
+``score_words`` gets the batch's words instead, which are found once for all such scorers.
 
 T4: the trainer is re-aimed at ``pyspark.ml``: RegexTokenizer -> HashingTF -> IDF -> one
 LogisticRegression per label on the train split; probabilities of the held-out split become scores.
@@ -16,32 +17,40 @@ import re
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.keywords import PLAIN, Words
 from ..session import ship_package
 
 SCORES_SCHEMA = "lang string, model string, id long, label string, score double"
 
 
 class LexiconScorer:
-    """score(label) = 1 - 0.5 ** hits, hits = keyword matches per 100 words (vectorised pandas)."""
+    """score(label) = 1 - 0.5 ** hits, hits = keyword matches per 100 words (vectorised numpy). Keywords match whole
+    words, without regard to the case of ASCII letters; those that are no single word are found by a regex."""
 
     def __init__(self, lexicon: dict[str, list[str]], name: str = "lexicon"):
         self.name = name
         self.labels = list(lexicon)
+        self.lexicon = lexicon
+        # alternatives of one regex exclude each other at a place, so such a list isn't split
         self.patterns = {lab: re.compile(r"\b(?:" + "|".join(map(re.escape, words)) + r")\b", re.I | re.ASCII)
-                         for lab, words in lexicon.items()}
+                         for lab, words in lexicon.items() if not all(map(PLAIN.fullmatch, words))}
 
     def score(self, texts: pd.Series) -> pd.DataFrame:
-        words = texts.str.count(r"\S+", flags=re.ASCII).clip(lower=1)
+        return self.score_words(Words(texts), texts)
+
+    def score_words(self, words: Words, texts: pd.Series) -> pd.DataFrame:
+        per = 100.0 / np.maximum(words.spaced(), 1)
         out = {}
-        for lab, pat in self.patterns.items():
-            hits = texts.str.count(pat) * 100.0 / words
-            out[lab] = 1.0 - 0.5 ** hits
+        for lab, keys in self.lexicon.items():
+            n = texts.str.count(self.patterns[lab]).to_numpy() if lab in self.patterns else words.hits(keys)
+            out[lab] = 1.0 - 0.5 ** (n * per)
         return pd.DataFrame(out, index=texts.index)
 
 
@@ -88,12 +97,17 @@ def score_texts(texts: DataFrame, factory=None, preprocess: bool = True,
         for pdf in batches:
             if pdf.empty:
                 continue
+            texts = pdf["text"].fillna("")
+            words = None
             for n, scorer in enumerate(_scorers(call, factories)):
-                sc = scorer.score(pdf["text"].fillna(""))
-                long = sc.assign(**{k: pdf[k].values for k in keys}).melt(
-                    id_vars=keys, var_name="label", value_name="score")
-                long["model"] = getattr(scorer, "name", f"scorer{n}")
-                yield long[out_cols]
+                if hasattr(scorer, "score_words"):
+                    words = words or Words(texts)
+                    sc = scorer.score_words(words, texts)
+                else:
+                    sc = scorer.score(texts)
+                for label in sc.columns:
+                    long = pdf[keys].assign(label=label, score=sc[label].to_numpy(), model=getattr(scorer, "name", f"scorer{n}"))
+                    yield long[out_cols]
 
     return prepared.mapInPandas(run, schema)
 
