@@ -44,11 +44,21 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _once(x: Column, f) -> Column:
+    """``f(x)`` with ``x`` computed once a row, however often ``f`` names it."""
+    return F.transform(F.array(x), f)[0]
+
+
 def replace_emoticons(text, emoticons: list[tuple[str, str]] = EMOTICONS) -> Column:
-    out = _c(text)
+    """The replacements in list order; a text without an emoticon's first character is let through by one scan."""
+    t = out = _c(text)
     for emo, word in emoticons:
         out = F.replace(out, F.lit(emo), F.lit(f" {word} "))
-    return out
+    if not emoticons or not all(emo for emo, _ in emoticons):
+        return out
+    first = "".join(f"\\x{{{cp:X}}}" for cp in sorted({ord(emo[0]) for emo, _ in emoticons}))
+    # words may bring in first characters, but only where an emoticon was found before
+    return F.when(t.rlike(f"[{first}]"), out).otherwise(t)
 
 
 @lru_cache(maxsize=1)
@@ -136,13 +146,17 @@ def replace_emojis(text, names=None) -> Column:
 
 
 def preprocess_text(text, names=None) -> Column:
-    return replace_emojis(replace_emoticons(text), names)
+    return _once(replace_emoticons(text), lambda t: replace_emojis(t, names))
 
 
 def truncate_words(text, n: int = 512) -> Column:
-    """The split stops behind the n-th word, so the rest of a long text is copied once and never cut up."""
-    t = F.btrim(_c(text), F.lit(" \t\n\x0b\f\r"))
-    return F.array_join(F.slice(F.split(t, r"\s+", n + 1), 1, n), " ")
+    """Words that single spaces part are cut off without a regex split; elsewhere the split stops behind the n-th word,
+    so the rest of a long text is copied once and never cut up."""
+    def cut(t: Column) -> Column:
+        parts = F.array_join(F.slice(F.split(t, r"\s+", n + 1), 1, n), " ")
+        return F.when(t.rlike(r"[\t\n\x0b\f\r]| \s"), parts).otherwise(F.substring_index(t, " ", n))
+
+    return _once(F.btrim(_c(text), F.lit(" \t\n\x0b\f\r")), cut)
 
 
 # ---------------------------------------------------------------- DuckDB text (oracle side)
