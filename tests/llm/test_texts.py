@@ -71,8 +71,17 @@ def test_bpe_equals_the_tokenizers_library(spark, docs, odd):
         assert r["decoded"] == t.decode(want, skip_special_tokens=False)
 
 
+def test_every_code_point_is_split_as_by_the_tokenizers_library():
+    codec, t = bpe.Codec(*bpe._spec(word_vocabulary())), Tokenizer.from_file(word_vocabulary())
+    strings = [f"a{chr(i)}b {chr(i)}1 x{chr(i)}" for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    blocks = [" ".join(strings[i: i + 200]) for i in range(0, len(strings), 200)]
+    want = t.encode_batch(blocks, add_special_tokens=False)
+    differ = [i for i, (x, w) in enumerate(zip(blocks, want)) if np.frombuffer(codec.encode(x), np.int32).tolist() != w.ids]
+    assert differ == []
+
+
 def test_forced_cuts_never_change_a_word():
-    codec = bpe.Codec(bpe.load_spec(word_vocabulary()))
+    codec = bpe.Codec(*bpe._spec(word_vocabulary()))
     assert 0 < sum(codec.joins) < 65536
     rng = np.random.default_rng(3)
     for _ in range(300):

@@ -6,8 +6,9 @@ their ids are concatenated. The result equals merging the whole word.
 
 Defined results: a null or empty text has no ids and decodes to the empty string; special tokens in a text
 are matched before normalisation, as the vocabulary file says; other input columns pass through unread, and
-an output column takes the place of an input column of its name. Letters of Unicode versions that the
-installed libraries don't agree on may be split otherwise than by other libraries.
+an output column takes the place of an input column of its name; repeated rows are encoded each, and there are no
+ties; very long texts are encoded whole; an empty table gives an empty table. Letters and numbers are those that the
+installed tokenizers library knows, also where the Unicode tables of Python are newer.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ import json
 import re
 import unicodedata
 from array import array
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from .common import extend, worker_cache
 
@@ -58,7 +61,7 @@ class _Words(dict):
     def __missing__(self, run: str) -> bytes:
         ids = self.older.get(run)
         if ids is None:
-            ids = array("i", [i for w in self.codec.pattern.findall(run) for i in self.codec.word_ids(w)]).tobytes()
+            ids = array("i", [i for w in self.codec.split(run) for i in self.codec.word_ids(w)]).tobytes()
         if len(run) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:
                 self.older = dict(self)
@@ -67,11 +70,35 @@ class _Words(dict):
         return ids
 
 
+@cache
+def newer_characters() -> str:
+    """Letters and numbers of this Python that are neither for the tokenizers library, whose Unicode tables are
+    older. Asked of the library itself, so the two agree whatever is installed."""
+    known = regex.compile(r"[\p{L}\p{N}]")
+    mine = "".join(c for i in range(0x110000) if not 0xD800 <= i < 0xE000 and known.match(c := chr(i)))
+    left = pre_tokenizers.Split(Regex(r"[\p{L}\p{N}]+"), "removed").pre_tokenize_str(mine)
+    return "".join(piece for piece, _ in left)
+
+
+@cache
+def newer_capitals() -> dict[str, str]:
+    """Lower case of the letters that Python's own Unicode tables lack and the tokenizers library folds."""
+    known, lower = regex.compile(r"\p{L}"), normalizers.Lowercase().normalize_str
+    lacking = [c for i in range(0x110000) if unicodedata.category(c := chr(i)) == "Cn" and known.match(c)]
+    return {c: low for c in lacking if (low := lower(c)) != c}
+
+
 class Codec:
-    """A byte-level BPE vocabulary with a word-end suffix, read from a tokenizers JSON file."""
+    """A byte-level BPE vocabulary with a word-end suffix, read from a tokenizers JSON file. ``newer``: letters and
+    numbers that count as neither; ``capitals``: lower case that ``str.lower`` lacks."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, newer: str = "", capitals: dict[str, str] | None = None):
         j = json.loads(spec)
+        self.lower = str.maketrans(capitals or {})
+        self.capital = re.compile("[" + "".join(capitals) + "]") if capitals else None
+        self.newer = frozenset(newer)
+        #: a private-use character, which is no letter, number or white space, for each of them
+        self.plain_sign = dict.fromkeys(map(ord, newer), "\ue000")
         model = j["model"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
         self.vocab: dict[str, int] = model["vocab"]
@@ -99,10 +126,18 @@ class Codec:
         self.special_re = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words = _Words(self)
 
+    def split(self, run: str) -> list[str]:
+        """The words of a run of characters without white space."""
+        if run.isascii() or self.newer.isdisjoint(run):
+            return self.pattern.findall(run)
+        return [run[m.start(): m.end()] for m in self.pattern.finditer(run.translate(self.plain_sign))]
+
     def normalise(self, text: str) -> str:
         """NFC and lower case letter by letter (white space is dropped later, so it needs no folding)."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            if self.capital and self.capital.search(text):
+                text = text.translate(self.lower)
         return text.lower()
 
     def encode(self, text: str) -> bytes:
@@ -170,12 +205,12 @@ class Codec:
         return [x for x in s if x >= 0]
 
 
-def _codec(spec: str) -> Codec:
-    held = worker_cache("bpe")
-    if hash(spec) not in held:
+def _codec(spec: tuple) -> Codec:
+    held, key = worker_cache("bpe"), (hash(spec[0]), hash(spec[1]))
+    if key not in held:
         held.clear()
-        held[hash(spec)] = Codec(spec)
-    return held[hash(spec)]
+        held[key] = Codec(*spec)
+    return held[key]
 
 
 def load_spec(path: str) -> str:
@@ -185,6 +220,11 @@ def load_spec(path: str) -> str:
         return f.read()
 
 
+def _spec(path: str) -> tuple:
+    """What a ``Codec`` is built from."""
+    return load_spec(path), newer_characters(), newer_capitals()
+
+
 def _ids_array(parts: list[bytes]) -> pa.ListArray:
     off = np.zeros(len(parts) + 1, np.int32)
     np.cumsum([len(p) // 4 for p in parts], out=off[1:])
@@ -193,7 +233,7 @@ def _ids_array(parts: list[bytes]) -> pa.ListArray:
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """``df`` with the token ids of ``text``, and with their decoded text too where ``decoded`` names it."""
-    spec = df.sparkSession.sparkContext.broadcast(load_spec(path))
+    spec = df.sparkSession.sparkContext.broadcast(_spec(path))
 
     def compute(b: pa.RecordBatch) -> list:
         codec = _codec(spec.value)
@@ -209,7 +249,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the text of its id lists (null reads as empty; special tokens are kept)."""
-    spec = df.sparkSession.sparkContext.broadcast(load_spec(path))
+    spec = df.sparkSession.sparkContext.broadcast(_spec(path))
 
     def compute(b: pa.RecordBatch) -> list:
         codec = _codec(spec.value)
