@@ -50,6 +50,27 @@ def crc_mod(doc_id, m: int):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % m
 
 
+def repeats_ids(docs: DataFrame, doc_id: str = "doc_id") -> bool:
+    """Whether rows share an id (nulls aside)."""
+    return not docs.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").isEmpty()
+
+
+def with_text_ids(docs: DataFrame, out: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` with a column ``out`` that tells rows of one id and different texts apart: the id itself for the least
+    text of an id, and a number from 2^62 on, a hash of id and text, for the others. Null ids stay null, and equal
+    rows stay equal."""
+    own = F.col(doc_id).cast("long")
+    if not repeats_ids(docs, doc_id):
+        return docs.withColumn(out, own)
+    key, least = fresh("key"), fresh("least")
+    # a row an id that occurs with several texts
+    first = docs.groupBy(F.col(doc_id).alias(key)).agg(F.min(text).alias(least), F.max(F.xxhash64(text)).alias("h"), F.min(F.xxhash64(text)).alias("l"))
+    first = written(first.where(F.col(key).isNotNull() & (F.col("h") != F.col("l"))).select(key, least), "text-ids")
+    other = F.xxhash64(F.col(doc_id), F.col(text)).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    same = F.col(key).isNull() | F.col(text).eqNullSafe(F.col(least))
+    return docs.join(first, docs[doc_id] == F.col(key), "left").withColumn(out, F.when(same, own).otherwise(other)).drop(key, least)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], col: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most about ``most`` bytes of ``col``, or one longer value."""
     for b in batches:
