@@ -138,6 +138,15 @@ def test_planted_passages_are_found_and_cut(spark):
     assert substrings.passages(empty).count() == 0 and substrings.cut(empty, substrings.passages(empty)).count() == 0
 
 
+def test_other_texts_of_an_id_are_not_cut(spark):
+    texts, p = planted()
+    rows = [*texts.items(), (11, "zz other words " * 60), (16, "zz a text of its own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("marked", F.lit("x")).withColumn("row", F.lit(1))
+    left = [(r["doc_id"], r["text"]) for r in substrings.cut(docs, substrings.passages(docs)).collect()]
+    assert (11, "zz other words " * 60) in left and (16, "zz a text of its own") in left
+    assert not [t for i, t in left if i in (11, 16) and {*p} & {*words_of(t)}]
+
+
 def test_repeated_windows_are_covered(spark):
     docs = spark.read.parquet(f"{MID}/documents.parquet")
     words = {r["doc_id"]: words_of(r["text"]) for r in docs.select("doc_id", "text").collect()}
@@ -390,6 +399,22 @@ def test_pipeline_keeps_clean_documents_and_drops_planted_ones(spark):
     assert empty.count() == 0
 
 
+def test_pipeline_keeps_different_texts_of_one_id(spark):
+    texts, p = planted()
+    own = lambda n: " ".join(f"zz{n}{i}" for i in range(60))
+    rows = [*texts.items(), (10, own("a")), (10, own("b")), (10, own("b")), (11, own("c")), (None, own("d")), (50, own("c") + " end")]
+    docs = spark.createDataFrame([(i, t, "en", None, 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.one_of_each(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = sorted((r["doc_id"] or -1, r["text"]) for r in kept.collect())
+    assert [t for i, t in got if i == 10] == sorted([texts[10], own("a"), own("b")])
+    # the text of id 11 and that of id 50 are near copies; ids of their own stand before further texts of an id
+    assert (11, own("c")) not in got and (50, own("c") + " end") in got and (-1, own("d")) in got
+    cut = sorted((r["doc_id"] or -1, r["text"], r["n_chars"]) for r in corpus_pipeline.unrepeated(spark, kept, "").collect())
+    assert [t for i, t, _ in cut if i == 10] == sorted([texts[10], own("a"), own("b")])
+    assert not [t for i, t, _ in cut if i in (11, 16) and {*p} & {*words_of(t)}]
+
+
 def test_chat_query_digests(spark):
     from votelab.llm.queries import QUERIES
     got = {r["conv_id"]: r for r in QUERIES["op5_chat"](spark, "/root/testdata/sf0.001").collect()}
