@@ -62,12 +62,33 @@ def test_dynamic_overwrite_keeps_other_partitions(spark):
     assert got == {"c1": 1.0, "c2": 5.0}
 
 
-def test_append_keeps_runs(spark):
+def test_append_keeps_runs_and_ignores_retries(spark):
     d = scratch_path(spark, "app")
     a = spark.createDataFrame([("x", 1.0)], "k string, v double")
-    IO.append_results(a, d, "r1")
-    IO.append_results(a, d, "r2")
-    assert sorted(r.run_id for r in spark.read.parquet(d).collect()) == ["r1", "r2"]
+    assert IO.append_results(a, d, "001") and IO.append_results(a, d, "r/2")
+    assert not IO.append_results(a, d, "r/2")
+    assert sorted(r.run_id for r in IO.read_results(spark, d).collect()) == ["001", "r/2"]
+    # an attempt that failed before its commit, and a run without rows
+    a.withColumn("run_id", F.lit("r3")).write.parquet(f"{d}/rows/{IO.ATTEMPT}=lost")
+    assert IO.append_results(a.limit(0), d, "r4")
+    assert IO.read_results(spark, d).count() == 2 and IO.read_results(spark, d).columns == ["k", "v", "run_id"]
+    assert IO.append_results(a, d, "r3") and IO.read_results(spark, d).count() == 3
+
+
+def test_second_of_two_attempts_at_once_does_not_count(spark, monkeypatch):
+    d = scratch_path(spark, "app2")
+    a = spark.createDataFrame([("x", 1.0)], "k string, v double")
+    names = iter(["one", "two"])
+    monkeypatch.setattr(IO.uuid, "uuid4", lambda: type("U", (), {"hex": next(names)})())
+    inner = IO.json.dumps
+    def late(x):
+        # the other attempt tries to commit between this one's create and its write
+        monkeypatch.setattr(IO.json, "dumps", inner)
+        assert not IO.append_results(a, d, "r1")
+        return inner(x)
+    monkeypatch.setattr(IO.json, "dumps", late)
+    assert IO.append_results(a, d, "r1")
+    assert IO.read_results(spark, d).count() == 1
 
 
 def test_streaming_resume_adds_nothing_twice(spark):
@@ -86,6 +107,23 @@ def test_streaming_resume_adds_nothing_twice(spark):
     assert out.count() == 2 * replies.count()
 
 
+def test_a_good_reply_replaces_an_error_once(spark):
+    base = scratch_path(spark, "resumed")
+    src, sink, ckpt = f"{base}/in", f"{base}/out", f"{base}/ckpt"
+    catalog = spark.createDataFrame([("en", "toxic")], "lang string, label string")
+    good = lambda n: '{"choices":[{"message":{"content":"toxic(%d)"}}]}' % n
+
+    def drop(*rows):
+        spark.createDataFrame([("en", i, r) for i, r in rows], ST.REPLIES_SCHEMA).write.mode("append").parquet(src)
+        n = ST.run_resumed(spark, src, sink, ckpt, catalog)
+        return n, {r.id: r.value for r in spark.read.parquet(sink).collect()}, spark.read.parquet(sink).count()
+
+    assert drop((1, good(1)), (2, fx.ERROR_REPLY), (3, None), (4, "no json"), (1, good(1))) == (1, {1: 1}, 1)
+    assert drop((2, good(2)), (1, good(3)), (3, fx.ERROR_REPLY)) == (1, {1: 1, 2: 2}, 2)
+    assert drop((2, good(1)), (3, good(3))) == (1, {1: 1, 2: 2, 3: 3}, 3)
+    assert ST.run_resumed(spark, src, sink, ckpt, catalog) == 0
+
+
 def test_score_texts_batches(spark):
     from votelab.operators.scoring import score_texts
     texts = spark.createDataFrame([("en", 1, "I hate this stupid thing :("), ("en", 2, "the study results, however")],

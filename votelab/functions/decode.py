@@ -79,6 +79,11 @@ def reply_content(raw) -> Column:
     return F.lower(F.coalesce(F.get_json_object(_c(raw), CONTENT_PATH), F.lit("")))
 
 
+def usable_reply(raw) -> Column:
+    """Whether a stored reply has content (S9): error replies and missing ones don't."""
+    return F.get_json_object(_c(raw), CONTENT_PATH).isNotNull()
+
+
 def label_list(content) -> Column:
     return F.transform(F.split(_c(content), ",", -1), lambda x: py_strip(x))
 

@@ -113,12 +113,14 @@ def train_pool_from_files(spark: SparkSession, sf: str) -> DataFrame:
     f"SELECT *, 'r1' AS run_id FROM ({O.leaderboard_sql('majority', 'binary')}) "
     f"UNION ALL SELECT *, 'r2' AS run_id FROM ({O.leaderboard_sql('majority', 'binary')})"))
 def sink_append(spark: SparkSession, sf: str) -> DataFrame:
-    """Leaderboard rows appended twice under two run ids (re-runs add rows, nothing is lost)."""
+    """Leaderboard rows appended under two run ids (re-runs add rows, nothing is lost), the second of them retried
+    (which adds none)."""
     root = scratch_path(spark, "results-append")
     lb = _r(L.leaderboard(fx.gold_table(spark, sf), fx.pred_table(spark, sf), MEMBERS, "majority"))
     IO.append_results(lb, root, "r1")
     IO.append_results(lb, root, "r2")
-    return spark.read.parquet(root)
+    IO.append_results(lb, root, "r2")
+    return IO.read_results(spark, root)
 
 
 @register("sink_results", lambda: (

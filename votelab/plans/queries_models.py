@@ -198,3 +198,28 @@ def stream_parse_responses(spark: SparkSession, sf: str) -> DataFrame:
         raise RuntimeError(f"incremental runs read {n1}, {n2}, {n3} replies; expected {total} in the first two")
     return spark.read.parquet(sink).select("lang", "id", "label", "value")
 
+
+#: Replies to requests that were made again: of an error reply, and of a usable one (which stands).
+REQUESTED_AGAIN, REPEATED = "Quality(1), Toxic(2)", "Quality(3), Toxic(3)"
+
+
+def _resumed_sql() -> str:
+    replies = fx.duck_ctes()["responses_b"]
+    again = fx._wrap_sql(f"'{REQUESTED_AGAIN}'")
+    return parse_intensity_sql({"responses_b": f"SELECT lang, id, CASE WHEN id % 17 = 0 THEN {again} ELSE raw END AS raw FROM ({replies})"})
+
+
+@register("stream_resumed_replies", _resumed_sql)
+def stream_resumed_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """ST1 + S9: every input's reply arrives, some as errors and some twice; then errors are requested again and some
+    usable replies are repeated with other content. Each input has its first usable reply's values, once."""
+    src, sink, ckpt = (scratch_path(spark, n) for n in ("resumed-in", "resumed-parsed", "resumed-ckpt"))
+    replies, catalog = fx.responses_b(spark, sf), S.label_catalog(fx.gold_table(spark, sf))
+    replies.unionByName(replies.where(F.col("id") % 7 == 0)).write.mode("append").parquet(src)
+    ST.run_resumed(spark, src, sink, ckpt, catalog)
+    failed = ~D.usable_reply("raw")
+    again = replies.where(failed | (F.col("id") % 5 == 0)).withColumn(
+        "raw", F.when(failed, fx._wrap(F.lit(REQUESTED_AGAIN))).otherwise(fx._wrap(F.lit(REPEATED))))
+    again.write.mode("append").parquet(src)
+    ST.run_resumed(spark, src, sink, ckpt, catalog)
+    return spark.read.parquet(sink).select("lang", "id", "label", "value")

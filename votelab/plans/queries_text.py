@@ -87,10 +87,10 @@ def parse_label_list(spark: SparkSession, sf: str) -> DataFrame:
     return D.parse_replies(fx.responses_a(spark, sf), _catalog(spark, sf), "labels")
 
 
-def parse_intensity_sql() -> str:
+def parse_intensity_sql(extra: dict[str, str] | None = None) -> str:
     pairs = D.intensity_pairs_sql(D.reply_content_sql("r.raw"))
     return W(f"SELECT r.lang, r.id, c.label, CAST({D.intensity_for_sql(pairs, 'c.label')} AS BIGINT) AS value "
-             f"FROM responses_b r JOIN catalog c ON c.lang = r.lang", CATALOG_SQL)
+             f"FROM responses_b r JOIN catalog c ON c.lang = r.lang", {**CATALOG_SQL, **(extra or {})})
 
 
 @register("parse_intensity_list", parse_intensity_sql)

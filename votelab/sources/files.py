@@ -17,9 +17,13 @@ byte ranges (``csv_splits``) beyond, so a large file is many tasks' work; both g
 from __future__ import annotations
 
 import csv
+import hashlib
+import json
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +31,8 @@ from ..operators.schema import coerce_label
 from . import csv_splits
 from .gates import lang_from_file, model_from_file
 
+ATTEMPT = "__attempt"  # partition column of appended results
+
 CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "mode": "FAILFAST"}
 
 
@@ -190,9 +196,39 @@ def write_predictions(pred: DataFrame, path: str) -> None:
     pred.write.mode("overwrite").partitionBy("model", "lang").parquet(path)
 
 
-def append_results(df: DataFrame, path: str, run_id: str) -> None:
-    """Append result rows tagged with a run id (re-runs add rows, they do not overwrite)."""
-    df.withColumn("run_id", F.lit(run_id)).write.mode("append").parquet(path)
+def _manifest(path: str, run_id: str) -> str:
+    return f"{path}/commits/{hashlib.sha256(run_id.encode()).hexdigest()}.json"
+
+
+def append_results(df: DataFrame, path: str, run_id: str) -> bool:
+    """Result rows of a run, tagged with its id. A new run adds its rows to those of earlier ones; a run that is
+    retried adds nothing more. Each attempt writes a folder of its own, and a manifest file that only one attempt of
+    a run can create makes it count, so attempts that failed or came second are never read. Returns whether this
+    attempt counts. A column ``run_id`` of ``df`` gives way."""
+    spark, manifest = df.sparkSession, _manifest(path, run_id)
+    jvm, fs = _fs(spark, manifest)
+    target = jvm.org.apache.hadoop.fs.Path(manifest)
+    if fs.exists(target):
+        return False
+    attempt = f"a{uuid.uuid4().hex}"
+    df.withColumn("run_id", F.lit(run_id)).write.parquet(f"{path}/rows/{ATTEMPT}={attempt}")
+    try:
+        out = fs.create(target, False)
+    except Py4JJavaError:
+        if fs.exists(target):
+            return False
+        raise
+    try:
+        out.write(bytearray(json.dumps({"run_id": run_id, ATTEMPT: attempt}).encode()))
+    finally:
+        out.close()
+    return True
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all runs that ``append_results`` committed to ``path``. Folders of other attempts are pruned."""
+    counted = spark.read.schema(f"run_id string, {ATTEMPT} string").json(f"{path}/commits").select(ATTEMPT)
+    return spark.read.option("mergeSchema", "true").parquet(f"{path}/rows").join(counted, ATTEMPT, "left_semi").drop(ATTEMPT)
 
 
 def overwrite_results(df: DataFrame, path: str, partition_cols: list[str]) -> None:

@@ -2,7 +2,7 @@
 
 Replies land as files in a folder; a Structured Streaming query with the file source picks up each
 file once (the checkpoint remembers what was read), parses the replies with the same native
-expressions as the batch path (C9-C11, stateless) and appends long rows to a parquet sink. With
+expressions as the batch path (C9-C11, stateless) and adds long rows to a parquet sink, a folder a micro-batch. With
 ``trigger(availableNow=True)`` a run processes what is there and stops, so re-running after new
 files arrive adds only their rows, and a run with nothing new adds none (the resume gate, S9).
 The checkpoint and sink live under the shared folder, so a lost executor or driver restart resumes
@@ -11,10 +11,12 @@ from the last committed batch.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import decode as D
 
+BATCH = "__batch"  # partition column of the sink
 REPLIES_SCHEMA = "lang string, id long, raw string"
 
 
@@ -24,20 +26,51 @@ def parse_stream(replies: DataFrame, catalog: DataFrame, kind: str = "intensity"
     return D.parse_replies(replies, catalog, "intensity" if kind == "intensity" else "labels")
 
 
+def _run(replies: DataFrame, sink_dir: str, checkpoint_dir: str, catalog: DataFrame, kind: str) -> int:
+    """Parse what ``replies`` has to give, then stop. Each micro-batch replaces its own folder of the sink, so one
+    that is repeated after a failure adds nothing, and its replies are counted while it is written. Returns their
+    number."""
+    catalog = catalog.persist()
+    read = [0]
+
+    def parsed(batch: DataFrame, number: int) -> None:
+        seen = Observation()
+        counted = batch.observe(seen, F.count(F.lit(1)).alias("n"))
+        parse_stream(counted, catalog, kind).write.mode("overwrite").parquet(f"{sink_dir}/{BATCH}={number}")
+        read[0] += seen.get["n"]
+
+    try:
+        q = (replies.writeStream.foreachBatch(parsed).option("checkpointLocation", checkpoint_dir)
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        catalog.unpersist()
+    return read[0]
+
+
+def _arriving(spark: SparkSession, source_dir: str, file_format: str) -> DataFrame:
+    return spark.readStream.schema(REPLIES_SCHEMA).format(file_format).load(source_dir)
+
+
 def run_incremental(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
                     catalog: DataFrame, kind: str = "intensity", file_format: str = "parquet") -> int:
     """Process every reply file not processed yet, then stop. Returns the reply rows read by this run."""
-    stream = spark.readStream.schema(REPLIES_SCHEMA).format(file_format).load(source_dir)
-    parsed = parse_stream(stream, catalog, kind)
-    # the count needs every micro-batch's progress, not only the last hundred
-    conf, kept = "spark.sql.streaming.numRecentProgressUpdates", 1_000_000
+    return _run(_arriving(spark, source_dir, file_format), sink_dir, checkpoint_dir, catalog, kind)
+
+
+def run_resumed(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
+                catalog: DataFrame, kind: str = "intensity", file_format: str = "parquet") -> int:
+    """The resume gate (S9) as a stream: each input's first usable reply is parsed, once. Error replies give no rows
+    and leave their input pending, so a good reply that was requested again takes their place; repeats of a usable
+    reply, in this run or a later one, are dropped. Of several usable replies that arrive in one micro-batch any one
+    stands. Replies without a language or id are keyed by the null. Returns the replies parsed by this run.
+
+    The state is one key an input, hash partitioned, kept in RocksDB and saved in the checkpoint."""
+    good = _arriving(spark, source_dir, file_format).where(D.usable_reply("raw")).dropDuplicates(["lang", "id"])
+    conf, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     before = spark.conf.get(conf)
-    spark.conf.set(conf, str(kept))
+    spark.conf.set(conf, provider)
     try:
-        q = (parsed.writeStream.format("parquet").outputMode("append")
-             .option("checkpointLocation", checkpoint_dir).option("path", sink_dir)
-             .trigger(availableNow=True).start())
-        q.awaitTermination()
+        return _run(good, sink_dir, checkpoint_dir, catalog, kind)
     finally:
         spark.conf.set(conf, before)
-    return sum(int(p["numInputRows"]) for p in q.recentProgress)
