@@ -65,12 +65,7 @@ def run_resumed(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_
     reply, in this run or a later one, are dropped. Of several usable replies that arrive in one micro-batch any one
     stands. Replies without a language or id are keyed by the null. Returns the replies parsed by this run.
 
-    The state is one key an input, hash partitioned, kept in RocksDB and saved in the checkpoint."""
+    The state is one key an input, hash partitioned and saved in the checkpoint. The session's state store provider
+    keeps it: Spark's default in memory, RocksDB (a session setting) on disk, at some MB a partition however few the keys."""
     good = _arriving(spark, source_dir, file_format).where(D.usable_reply("raw")).dropDuplicates(["lang", "id"])
-    conf, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get(conf)
-    spark.conf.set(conf, provider)
-    try:
-        return _run(good, sink_dir, checkpoint_dir, catalog, kind)
-    finally:
-        spark.conf.set(conf, before)
+    return _run(good, sink_dir, checkpoint_dir, catalog, kind)
