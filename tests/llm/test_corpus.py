@@ -212,6 +212,37 @@ def test_repeats_in_another_order_in_the_source_are_found(spark):
     assert sum(r["doc_id"] == 501 for r in got) < 100
 
 
+def edited(words, places):
+    return [f"edit{i}" if i in places else w for i, w in enumerate(words)]
+
+
+def test_inexact_repeats_whose_parts_stand_in_smaller_documents_are_found(spark):
+    """No 50 words in a row are equal, and the smallest documents with the seeds hold halves only."""
+    rng = random.Random(14)
+    texts, own = {}, lambda n: [f"o{rng.randrange(10**9)}" for _ in range(n)]
+    for case in range(20):
+        s1, s2 = own(40), own(40)
+        for i, x in enumerate((s1, s2, s1 + s2, edited(s1 + s2, (20, 60)), s1 + s2[:5]), 1):
+            texts[10 * case + i] = " ".join(own(20) + x + own(20))
+        texts[10 * case + 6] = texts[10 * case + 3]        # a copy of the source adds no row
+    got = substrings.passages(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()
+    found = [(r["doc_id"], r["source_id"], r["start_word"], r["end_word"], r["n_match"]) for r in got if r["doc_id"] % 10 == 4]
+    assert sorted(found) == [(10 * c + 4, 10 * c + 3, 20, 100, 78) for c in range(20)]
+    assert not [r for r in got if r["doc_id"] % 10 in (1, 2, 3, 5)]
+
+
+def test_inexact_repeats_in_another_order_in_the_source_are_found(spark):
+    rng = random.Random(15)
+    texts, own = {}, lambda n: [f"o{rng.randrange(10**9)}" for _ in range(n)]
+    for case in range(20):
+        h1, h2 = own(40), own(40)
+        texts[10 * case + 1] = " ".join(h2 + own(50) + h1 + own(50) + h1 + h2 + own(9))
+        texts[10 * case + 2] = " ".join(own(15) + edited(h1 + h2, (20, 60)) + own(15))
+    texts |= {500: "start " + "junk " * 30 + " ".join(own(200)), 501: "other " + "junk " * 40 + " ".join(own(90))}
+    got = substrings.passages(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["start_word"], r["end_word"], r["n_match"]) for r in got) == [(10 * c + 2, 15, 95, 78) for c in range(20)]
+
+
 def test_no_repeated_window_is_missed(spark):
     docs = spark.read.parquet(f"{MID}/documents.parquet")
     missed, total = uncovered({r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}, substrings.passages(docs).collect())
