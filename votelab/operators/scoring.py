@@ -19,13 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.keywords import PLAIN, Words
-from ..session import ship_package
+from ..session import scratch_path, ship_package
 
 SCORES_SCHEMA = "lang string, model string, id long, label string, score double"
 
@@ -121,26 +120,25 @@ def train_baseline(pool: DataFrame, labels: list[str], split_col: str = "split",
     from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
     from pyspark.ml.functions import vector_to_array
 
-    feats = Pipeline(stages=[
+    # The pool is read and its texts are split into terms once: both splits' term counts are written to the shared
+    # folder for the document frequencies, all label fits (each caches its own blocks) and the scoring.
+    terms = Pipeline(stages=[
         RegexTokenizer(inputCol="text", outputCol="tokens", pattern=r"\W+", minTokenLength=2),
         HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features),
-        IDF(inputCol="tf", outputCol="features"),
     ])
     base = pool.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
-    train = base.where(F.col(split_col) == "train")
-    test = base.where(F.col(split_col) == "test")
-    fmodel = feats.fit(train)
-    # Featurised once and kept (memory, spilling to disk) for all label fits; a lost block is
-    # recomputed from lineage. Released once the fits are done.
-    train_f = fmodel.transform(train).select("features", *[F.col(lab).cast("double").alias(lab) for lab in labels])
-    train_f = train_f.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        fitted = [LogisticRegression(featuresCol="features", labelCol=lab, maxIter=20, regParam=0.01,
-                                     probabilityCol=f"prob_{k}", rawPredictionCol=f"raw_{k}",
-                                     predictionCol=f"pred_{k}").fit(train_f)
-                  for k, lab in enumerate(labels)]
-    finally:
-        train_f.unpersist()
+    counted = terms.fit(base).transform(base.where(F.col(split_col).isin("train", "test"))).select(
+        "lang", "id", split_col, "tf", *[F.col(lab).cast("double").alias(lab) for lab in labels])
+    path = scratch_path(pool.sparkSession, "baseline-terms")
+    counted.write.parquet(path)
+    counted = pool.sparkSession.read.schema(counted.schema).parquet(path)
+    train, test = (counted.where(F.col(split_col) == x) for x in ("train", "test"))
+    fmodel = IDF(inputCol="tf", outputCol="features").fit(train)
+    train_f = fmodel.transform(train).select("features", *labels)
+    fitted = [LogisticRegression(featuresCol="features", labelCol=lab, maxIter=20, regParam=0.01,
+                                 probabilityCol=f"prob_{k}", rawPredictionCol=f"raw_{k}",
+                                 predictionCol=f"pred_{k}").fit(train_f)
+              for k, lab in enumerate(labels)]
     # The held-out split is featurised and scored by every label model in one pass (the models are
     # row-wise maps), then turned into long rows.
     scored = fmodel.transform(test).select("lang", "id", "features")
