@@ -243,6 +243,28 @@ def test_inexact_repeats_in_another_order_in_the_source_are_found(spark):
     assert sorted((r["doc_id"], r["start_word"], r["end_word"], r["n_match"]) for r in got) == [(10 * c + 2, 15, 95, 78) for c in range(20)]
 
 
+def test_phrases_of_many_documents_meet_where_a_passage_is_possible(spark, monkeypatch):
+    """40 documents share 24 words and nothing else; two hold the words in a longer passage that is edited too often for
+    seeds, two in one whose halves stand in smaller documents. Only those meet, and they are found."""
+    rng, met, aligned = random.Random(16), {}, substrings._aligned
+    own = lambda n: [f"o{rng.randrange(10**9)}" for _ in range(n)]
+    phrase, tail, s1, s2 = own(24), own(40), own(40), own(40)
+    texts = {i: own(60) + phrase + own(60) for i in range(1, 41)}
+    texts |= {50: own(20) + phrase + tail + own(20), 51: own(20) + phrase + edited(tail, range(4, 36, 5)) + own(20)}
+    texts |= {60: own(20) + s1 + own(20), 61: own(20) + s2 + own(20), 62: own(20) + s1 + phrase + s2 + own(20),
+              63: own(20) + edited(s1 + phrase + s2, (20, 84)) + own(20)}
+
+    def noting(found, one, k, min_words, percent, name):
+        met[name] = {tuple(r) for r in found.select("id", "source").distinct().collect()}
+        return aligned(found, one, k, min_words, percent, name)
+
+    monkeypatch.setattr(substrings, "_aligned", noting)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    got = {(r["doc_id"], r["source_id"], r["start_word"], r["end_word"], r["n_match"]) for r in substrings.passages(docs).collect()}
+    assert {(51, 50, 20, 84, 57), (63, 62, 20, 124, 102)} <= got
+    assert (51, 50) in met["rest"] and len(met["rest"]) < 40
+
+
 def test_no_repeated_window_is_missed(spark):
     docs = spark.read.parquet(f"{MID}/documents.parquet")
     missed, total = uncovered({r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}, substrings.passages(docs).collect())
