@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -265,6 +266,54 @@ def test_phrases_of_many_documents_meet_where_a_passage_is_possible(spark, monke
     assert (51, 50) in met["rest"] and len(met["rest"]) < 40
 
 
+def test_places_that_meet_are_listed_not_multiplied(spark, monkeypatch):
+    """Two documents hold a paragraph 30 times each: a row a pair of seeds goes through the shuffle, not one a pair of places."""
+    rng, met, aligned = random.Random(17), [], substrings._aligned
+    own = lambda n: [f"o{rng.randrange(10**9)}" for _ in range(n)]
+    s1, s2 = own(40), own(40)
+    texts = {1: own(20) + s1 + own(20), 2: own(20) + s2 + own(20)}
+    texts[3] = sum((own(12) + s1 + s2 for _ in range(30)), [])
+    texts[4] = sum((own(12) + edited(s1 + s2, (20, 60)) for _ in range(30)), [])
+
+    def noting(found, one, k, min_words, percent, name):
+        met.append(found.count())
+        return aligned(found, one, k, min_words, percent, name)
+
+    monkeypatch.setattr(substrings, "_aligned", noting)
+    got = substrings.passages(spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["source_id"]) for r in got} == {(4, 3)} and len({r["start_word"] for r in got}) == 30
+    assert met[1] < 200
+
+
+def test_crossed_places_come_once_and_pairs_stay_whole(monkeypatch):
+    lists = [[1, 7], [30], [4, 9, 11], [35]], [[1, 7], [40], [4, 9, 11], [50]], [[2], [3], [5], [6]]
+    cols = [pa.array(x) for x in ([8, 8, 9], [1, 1, 1], *zip(*lists), [70, 70, 90])]
+    cols[2:6] = [pa.array(x, pa.list_(pa.int32())) for x in zip(*[(a, b, c, d) for a, b, c, d in lists])]
+    b = pa.RecordBatch.from_arrays(cols, [*substrings.MET, "pair"])
+    want = {(8, 1, p, q) for p, q in [(1, 4), (1, 9), (1, 11), (7, 4), (7, 9), (7, 11), (30, 35), (40, 50)]} | {(9, 1, 2, 5), (9, 1, 3, 6)}
+    monkeypatch.setattr(substrings, "ANCHORS", 1)
+    parts = [[*zip(*(c.tolist() for c in x[:4]))] for x in substrings._crossed_in_turn(b, 5)]
+    assert [{r[0] for r in x} for x in parts] == [{8}, {9}] and sorted(sum(parts, [])) == sorted(want)
+
+
+def test_winnowing_and_matches_of_many_equal_those_of_one():
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        off = np.append(0, np.cumsum(rng.integers(0, rng.choice([4, 30]), 6)))
+        h, window = rng.integers(0, 9, off[-1]).astype(np.uint64), int(rng.choice([1, 3, 10]))
+        one = [off[i] + substrings._winnow(h[off[i]: off[i + 1]], window) for i in range(6)]
+        assert substrings._winnowed(h, off, window).tolist() == np.concatenate(one).tolist()
+        a, b = (rng.integers(0, 4, n).astype(np.uint64) for n in rng.integers(0, 25, 2))
+        row = [0] * (len(b) + 1)
+        for x in a.tolist():
+            new = [0]
+            for j, y in enumerate(b.tolist()):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        assert substrings._matched(a, b) == row[-1]
+
+
+
 def test_no_repeated_window_is_missed(spark):
     docs = spark.read.parquet(f"{MID}/documents.parquet")
     missed, total = uncovered({r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}, substrings.passages(docs).collect())
