@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -34,7 +34,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         stamp = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if stamp == before or stamp[0] == 0:
             break
-        before = stamp
-        e = written(_small_star(_large_star(e)), name)
+        before, last = stamp, e
+        e = written(_small_star(_large_star(last)), name)
+        dropped(last)
     return e.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(
         e.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbuf as tb
-from .common import pieces, prepare, worker_cache, written
+from .common import dropped, pieces, prepare, worker_cache, written
 from .components import components
 
 BANDS, ROWS = 25, 5
@@ -255,6 +255,7 @@ def link(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 3
     hubs = written(keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("many")).where("many > 1").select("key", "hub"),
                    "neardup-hubs")
     members = written(keyed.join(hubs, "key"), "neardup-members")
+    dropped(hubs)
     ids = written(members.select(F.col("rep").alias("id")).distinct(), "neardup-ids")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     sets = written(_sets(rows.join(wanted, "id", "left_semi"), k).distinct(), "neardup-sets")
@@ -271,6 +272,7 @@ def link(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 3
     tied = shared.join(named.join(classes, class_key).select("id", F.col("rep").alias("b")), "id").select("a", "b").where("a <> b")
     edges = written(_confirm(near, sets, percent).unionByName(tied), "neardup-edges")
     first = written(components(edges), "neardup-components")
+    dropped(ids, edges)
 
     # what buckets still hold across components
     placed = members.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
@@ -280,8 +282,10 @@ def link(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 3
     parts = first if more.isEmpty() else written(
         components(more.unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b")))), "neardup-final")
 
+    classed = written(described.select("id", *class_key), "neardup-classed")
+    dropped(described, members, sets, one, rest, more, *([] if parts is first else [first]))
     best = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(*class_key, F.coalesce("component", "rep").alias("component_id"))
-    out = described.select("id", *class_key).join(best, class_key, "left")
+    out = classed.join(best, class_key, "left")
     own = F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component_id"))).otherwise(F.col("id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
